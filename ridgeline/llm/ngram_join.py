@@ -35,9 +35,9 @@ between attempts of a task (tables read from files keep it).
 Defined results: null and empty texts, and texts without words, have an empty
 set, no links and their own id; texts under five words have their whole
 sequence as one shingle; equal texts share a component; rows that share an id
-are one node with the links of all of them; rows with a null id get their set
-size and a null component, and take no part; an empty table gives an empty
-result; columns other than id and text aren't used.
+are separate documents, each with its own text's component; rows with a null id
+get their set size and a null component, and take no part; an empty table gives
+an empty result; columns other than id and text aren't used.
 """
 
 from __future__ import annotations
@@ -297,7 +297,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     everything = connected_components(edges.unionByName(more), scratch)
 
     rows = labelled.unionByName(active.select("doc_id", "n", "label"))
-    # Rows that share an id are one node.
     out = rows.join(everything, rows["label"] == everything["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label").alias("component_id"))
     nameless = source.where(F.col("doc_id").isNull()).select("doc_id", _set_size()(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     out = scratch.keep(out.unionByName(nameless))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat_format, quality_rules, sharding, token_counts
+from ridgeline.llm import chat_format, ngram_join, quality_rules, sharding, token_counts
 from ridgeline.llm.shared import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sh AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') for i in generate_series(1, len(ws) - 4)]) END) AS s
+  FROM toks
+), sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM documents
+  UNION
+  SELECT reach.d, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT d AS doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes ON d = sizes.doc_id GROUP BY d
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -131,9 +156,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_chat_formatting, op3_quality_rules, op5_sharding, op10_token_counts]
+    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op5_sharding, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
