@@ -259,14 +259,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     answered = asked.groupBy("part").applyInPandas(_count(parts), ANSWER)
     found, found_path = scratch.table(answered.groupBy("block").applyInPandas(_prefixes, PREFIXES))
 
-    with_words = found.where("n > 0")
-    classes = with_words.groupBy("key1", "key2").agg(F.min("doc_id").alias("label"))
+    # Equal texts have equal prefixes: one row of each text stands for all.
+    classes = found.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("label"), F.min("row").alias("rep"))
     labelled, labelled_path = scratch.table(
-        found.where("row is null").drop("row", "shared", "pre1", "pre2", "pre3").join(classes, ["key1", "key2"], "left")
+        found.select("doc_id", "n", "key1", "key2").join(classes.drop("rep"), ["key1", "key2"], "left")
         .select("doc_id", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("label"))
     )
     active, active_path = scratch.table(
-        found.where("row is not null").join(classes, ["key1", "key2"]).withColumn("s", F.size("shared").cast("long"))
+        found.where("row is not null").join(classes, ["key1", "key2"]).where("row = rep").withColumn("s", F.size("shared").cast("long"))
     )
     scratch.drop(found_path)
     lists, lists_path = scratch.table(active.select("row", "label", "n", "s", F.explode("pre1").alias("token")))
@@ -288,16 +288,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     )
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    members = placed.join(mixed.select("token", "main"), "token")
-    left = members.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "s", "comp")])
-    right = members.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "s", "comp")])
-    rest = left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & _may_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b")))
+    members = placed.join(mixed.select("token", "main"), "token").join(active.select("row", "pre1", "pre2", "pre3"), "row")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1", "pre2", "pre3")]
+    left, right = members.where("comp <> main").select("token", *side("a")), members.select("token", *side("b"))
+    # Of the tokens that a pair shares, only the smallest makes it a candidate, and only if the other orders agree.
+    rest = left.join(right, "token").where(
+        (F.col("comp_a") != F.col("comp_b"))
+        & _may_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))
+        & F.arrays_overlap("pre2_a", "pre2_b")
+        & F.arrays_overlap("pre3_a", "pre3_b")
+        & (F.col("token") == F.array_min(F.array_intersect("pre1_a", "pre1_b")))
+    )
     rest = rest.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
     more = _verified(rest, active).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     everything = connected_components(edges.unionByName(more), scratch)
 
-    rows = labelled.unionByName(active.select("doc_id", "n", "label"))
-    out = rows.join(everything, rows["label"] == everything["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label").alias("component_id"))
+    out = labelled.join(everything, labelled["label"] == everything["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label").alias("component_id"))
     nameless = source.where(F.col("doc_id").isNull()).select("doc_id", _set_size()(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     out = scratch.keep(out.unionByName(nameless))
     scratch.drop(labelled_path, active_path, lists_path, placed_path, edges_path)
