@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat_format, ngram_join, quality_rules, sharding, token_counts
+from ridgeline.llm import bin_packing, chat_format, ngram_join, quality_rules, sharding, substring_dedup, token_counts
 from ridgeline.llm.shared import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,10 @@ FROM rated
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -144,6 +148,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -156,7 +164,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op5_sharding, op10_token_counts]
+    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op4_best_fit_packing, op5_sharding, op8_substring_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
