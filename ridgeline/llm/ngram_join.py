@@ -8,8 +8,9 @@ Method. If |A| = n, a partner misses at most n - ceil(0.8 n) of A's shingles;
 under any one order of all shingles, partners share one of the first
 n - ceil(0.8 n) + 1. Three orders are used, all rare shingles first and each
 with its own classes of rarity and its own permutation inside a class. A pair
-is a candidate if its documents share a prefix shingle under every order; then
-the whole sets are intersected.
+is a candidate if its documents' prefixes under every order share a shingle,
+and so many that the rest may make up what a link needs; then the whole sets
+are intersected.
 
 1. `_requests` hashes texts, folds equal word sequences together, and sends
    each block's shingles to a counting partition, six bytes a shingle.
@@ -238,9 +239,9 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _verified(pairs: DataFrame, active: DataFrame) -> DataFrame:
     """(a, b, label_a, label_b) of the pairs of rows that share prefixes under the other orders and then link."""
-    side = lambda x: active.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "shared", "pre2", "pre3")])
+    side = lambda x: active.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "s", "shared", "pre2", "pre3")])
     both = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
-    both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
+    both = both.where(_agree("pre2") & _agree("pre3"))
     common = F.size(F.array_intersect("shared_a", "shared_b"))
     return both.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("label_a", "label_b")
 
@@ -250,6 +251,17 @@ def _may_link(n_a, s_a, n_b, s_b):
     return (100 + PERCENT) * F.least(s_a, s_b) >= PERCENT * (n_a + n_b)
 
 
+def _agree(prefix: str):
+    """Whether two documents' prefixes under one order allow a link.
+
+    The document whose prefix ends first has all it shares with the other
+    either in both prefixes or after its own.
+    """
+    common = F.size(F.array_intersect(f"{prefix}_a", f"{prefix}_b"))
+    after = F.greatest(*[F.col(f"s_{x}") - F.size(f"{prefix}_{x}") for x in "ab"])
+    return (common > 0) & ((100 + PERCENT) * (common + after) >= PERCENT * (F.col("n_a") + F.col("n_b")))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
     spark = docs.sparkSession
@@ -288,16 +300,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     )
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    members = placed.join(mixed.select("token", "main"), "token").join(active.select("row", "pre1", "pre2", "pre3"), "row")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1", "pre2", "pre3")]
+    members = placed.join(mixed.select("token", "main"), "token").join(active.select("row", "pre1"), "row")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1")]
     left, right = members.where("comp <> main").select("token", *side("a")), members.select("token", *side("b"))
-    # Of the tokens that a pair shares, only the smallest makes it a candidate, and only if the other orders agree.
+    # Of the tokens that a pair shares, only the first makes it a candidate.
     rest = left.join(right, "token").where(
         (F.col("comp_a") != F.col("comp_b"))
         & _may_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))
-        & F.arrays_overlap("pre2_a", "pre2_b")
-        & F.arrays_overlap("pre3_a", "pre3_b")
         & (F.col("token") == F.array_min(F.array_intersect("pre1_a", "pre1_b")))
+        & _agree("pre1")
     )
     rest = rest.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
     more = _verified(rest, active).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
