@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bin_packing, chat_format, ngram_join, quality_rules, sharding, substring_dedup, token_counts
+from ridgeline.llm import bin_packing, chat_format, ngram_join, quality_rules, sharding, substring_dedup, token_counts, token_packing, topk_search
 from ridgeline.llm.shared import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +148,29 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.pack_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a * coalesce(c.e[i], 0) for a, i in q.e]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
@@ -164,9 +187,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op4_best_fit_packing, op5_sharding, op8_substring_dedup, op10_token_counts]
+    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op4_best_fit_packing, op5_sharding, op6_token_packing, op7_exact_topk, op8_substring_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_exact_topk": OP7_SQL}
