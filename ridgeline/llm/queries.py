@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bin_packing, chat_format, ngram_join, quality_rules, sharding, substring_dedup, token_counts, token_packing, topk_search
+from ridgeline.llm import bin_packing, chat_format, ngram_join, piece_matching, quality_rules, sharding, substring_dedup, token_counts, token_packing, topk_search
 from ridgeline.llm.shared import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_matching.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -187,7 +192,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op4_best_fit_packing, op5_sharding, op6_token_packing, op7_exact_topk, op8_substring_dedup, op10_token_counts]
+    found = [op1_ngram_join, op2_chat_formatting, op3_quality_rules, op4_best_fit_packing, op5_sharding, op6_token_packing, op7_exact_topk, op8_substring_dedup, op9_sentencepiece, op10_token_counts]
     return {f.__name__: f for f in found}
 
 

@@ -9,20 +9,21 @@ Texts are cut into paragraphs of two kinds, both by content alone:
 
 Paragraphs with equal words meet by hash. For lines, MinHash bands are tuned to
 a recall of 0.99 at the threshold (5-word shingles, Jaccard 0.8); lines that
-share a band are verified on their exact shingle sets, and links make
-components. A piece has so few shingles that one other word inside it puts it
+share a band are joined and verified on their exact shingle sets, and links
+make components. A piece has so few shingles that one other word inside it puts it
 under the threshold, so its one band is the hash of all its words.
 
-A component that occurs in two documents or more repeats. Its first occurrence
-(smallest id, then place) stays and the others go; neighbouring occurrences are
-merged to passages, and those of at least `PASSAGE_WORDS` words are removed.
+A component that occurs in two documents or more repeats. It stays in the
+document with the smallest id and goes from the others; neighbouring
+occurrences are merged to passages, and those of at least `PASSAGE_WORDS` words
+are removed.
 
 Scale: one Arrow pass makes a row of numbers for each paragraph; counts combine
 on the map side and joins are on paragraph hashes, which AQE splits where one
 is hot (a line that a third of all documents hold). Bands keep one row for each
-distinct line, and colliding lines are tried against the smallest of their
-band, then, across components, against those not in the band's main component,
-so no group makes all its pairs. Texts move only for lines that collide.
+distinct line. Only lines that share a band with a different one are fetched
+and verified, and the verifying join is the prefix-filtered one, so a group of
+colliding lines doesn't make all its pairs.
 
 Defined results: null and empty texts have no paragraphs; rows with a null id
 take no part in the search and stay whole; rows that share an id count as one
@@ -40,8 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm.shared import Scratch, connected_components
-from ridgeline.llm.texthash import WordHasher, byte_batches, mix, shingles, windows
+from ridgeline.llm.ngram_join import near_duplicates
+from ridgeline.llm.shared import Scratch
+from ridgeline.llm.texthash import WordHasher, byte_batches, mix, windows
 
 THRESHOLD_PERCENT = 80
 RECALL = 0.99
@@ -175,56 +177,24 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-def _shingle_sets():
-    def sets(texts: pd.Series) -> pd.Series:
-        hasher, out = WordHasher(lower=True), []
-        for _, group in byte_batches(list(texts), 1 << 20):
-            text, value = shingles(hasher.words(group), len(group), SHINGLE)
-            bounds = np.searchsorted(text, np.arange(len(group) + 1))
-            out += [value[bounds[k] : bounds[k + 1]].view(np.int64) for k in range(len(group))]
-        return pd.Series(out)
-
-    sets.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(sets, "array<long>")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line hashes whose sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("hash").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("hash").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= THRESHOLD_PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
 def near_lines(source: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of line hashes that link to a different one."""
+    """(node, component) of line hashes that link to a different line."""
     bands, rows = tuned_bands()
     lines = source.mapInPandas(_signatures(bands, rows), LINES)
     # Equal lines have equal bands: one of them stands for all.
     distinct = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end", "bands")).alias("at"))
     banded, banded_path = scratch.table(distinct.select("hash", "at.doc_id", "at.start", "at.end", F.explode("at.bands").alias("band")))
-    shared = banded.groupBy("band").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high")
-    hits, hits_path = scratch.table(banded.join(shared, "band").select("band", "hash", "doc_id", "start", "end", "low"))
+    shared = banded.groupBy("band").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("band")
+    wanted, wanted_path = scratch.table(banded.join(shared, "band").select("hash", F.col("doc_id").alias("_doc"), "start", "end").distinct())
     scratch.drop(banded_path)
-    wanted = hits.select("hash", "doc_id", "start", "end").distinct()
-    texts = wanted.withColumnsRenamed({"doc_id": "_doc"}).join(source, F.col("_doc") == F.col("doc_id"))
-    # Offsets are bytes of the UTF-8 text. Where rows share an id, only the text that holds the line gives its hash.
+    texts = wanted.join(source, F.col("_doc") == F.col("doc_id"))
+    # Offsets are bytes of the UTF-8 text.
     line = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
-    sets, sets_path = scratch.table(texts.select("hash", _shingle_sets()(line).alias("shingles")).groupBy("hash").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")))
-    edges, edges_path = scratch.table(_alike(hits.where("hash <> low").select(F.col("hash").alias("a"), F.col("low").alias("b")).distinct(), sets))
-    joined = connected_components(edges, scratch)
-    placed = hits.join(joined, hits["hash"] == joined["node"], "left").select("band", "hash", F.coalesce("component", "hash").alias("comp"))
-    placed, placed_path = scratch.table(placed)
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    members = placed.join(mixed.select("band", "main"), "band")
-    left = members.where("comp <> main").select("band", F.col("hash").alias("a"), F.col("comp").alias("ca"))
-    right = members.select("band", F.col("hash").alias("b"), F.col("comp").alias("cb"))
-    rest = left.join(right, "band").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    out = connected_components(edges.unionByName(_alike(rest, sets)), scratch)
-    scratch.drop(hits_path, sets_path, edges_path, placed_path)
-    return out
+    colliding, colliding_path = scratch.table(texts.select(F.col("hash").alias("doc_id"), line.alias("text")))
+    verified = near_duplicates(colliding, scratch)
+    out = scratch.keep(verified.where("component_id <> doc_id").select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")))
+    scratch.drop(wanted_path, colliding_path)
+    return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -232,22 +202,18 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", te
 
     first and n_words count words; start and end are bytes of the UTF-8 text.
     component_id is the smallest paragraph component in the passage; kept is
-    true for a passage of first occurrences only.
+    true in the document where it stays.
     """
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found, found_path = scratch.table(source.mapInPandas(_occurrences, OCCURRENCES))
-    linked = near_lines(source, scratch)
-    counted = found.groupBy("kind", "hash").agg(
-        F.min(F.struct("doc_id", "first")).alias("at"), F.max("doc_id").alias("last")
-    )
-    counted = counted.join(linked, (F.col("kind") == 1) & (F.col("hash") == F.col("node")), "left").withColumn("component", F.coalesce("component", "hash"))
-    # A component repeats if its smallest and largest id differ.
-    groups = counted.groupBy("kind", "component").agg(F.min("at").alias("origin"), F.max("last").alias("last")).where("origin.doc_id < last")
-    repeats = counted.select("kind", "hash", "component").join(groups.select("kind", "component", "origin"), ["kind", "component"])
-    hits = found.join(repeats, ["kind", "hash"]).withColumn(
-        "kept", (F.col("doc_id") == F.col("origin.doc_id")) & (F.col("first") == F.col("origin.first"))
-    )
-    hits, hits_path = scratch.table(hits.select("doc_id", "first", "words", "start", "end", "component", "kept").distinct())
+    pieces, lines = found.drop("kind"), found.where("kind = 1").drop("kind")
+    repeats = pieces.groupBy("hash").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
+    hits = pieces.join(repeats, "hash").withColumn("component", F.col("hash"))
+    near = lines.join(near_lines(source, scratch), F.col("hash") == F.col("node")).drop("node")
+    origins = near.groupBy("component").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
+    hits = hits.unionByName(near.join(origins, "component"))
+    hits = hits.select("doc_id", "first", "words", "start", "end", "component", (F.col("doc_id") == F.col("origin")).alias("kept"))
+    hits, hits_path = scratch.table(hits.distinct())
     scratch.drop(found_path)
     # Neighbouring occurrences of the same verdict make a passage: gaps and islands in each document.
     before = Window.partitionBy("doc_id", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
