@@ -18,10 +18,10 @@ are intersected.
    blocks that asked, only for shingles that occur in two documents or more.
 3. `_prefixes` takes the prefixes. Shingles without an answer are a document's
    own; a document with enough of them can have no partner and is done.
-4. Candidates of a shingle's posting list meet its most central member (fewest
-   own shingles) first. Those links are contracted to components; only pairs
-   of different components are tried after that, so a group of n near copies
-   costs about n checks, not n * n.
+4. Rows of a shingle's posting list meet its most central one (fewest own
+   shingles) first, then one outside its largest component. Those links are
+   contracted to components; at last all pairs of different components are
+   tried, so a group of n near copies costs about n checks, not n * n.
 
 Scale: shuffles are in proportion to the text and have no hot key: shingles
 spread by hash, a shingle frequent inside a block goes as one count, and the
@@ -59,6 +59,7 @@ PERCENT = 80
 HOT = 64
 BLOCK_SHINGLES = 1_000_000
 BLOCK_DOCS = 60_000
+ROUNDS, NEAREST = 3, 3
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
@@ -262,6 +263,33 @@ def _agree(prefix: str):
     return (common > 0) & ((100 + PERCENT) * (common + after) >= PERCENT * (F.col("n_a") + F.col("n_b")))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(token, main): tokens whose rows are of several components, and the largest of these."""
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
+    return mixed.where("comps > 1").drop("comps")
+
+
+def _met(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each row with up to NEAREST of the members chosen for its tokens, those with which it shares most.
+
+    At first a token's most central row is chosen, then one that isn't of its largest component.
+    """
+    chosen = placed
+    rank = [(F.col("n") - F.col("s")).alias("own"), F.col("row")]
+    if turn:
+        placed = placed.join(_mixed(placed), "token")
+        chosen = placed.where("comp <> main")
+        rank = [F.xxhash64("comp", F.lit(turn)).alias("own"), F.col("row")]
+    chosen = chosen.groupBy("token").agg(F.min(F.struct(*rank, "n", "s", "comp")).alias("c"))
+    met = placed.join(chosen, "token").where(
+        (F.col("comp") != F.col("c.comp")) & _may_link(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s"))
+    )
+    met = met.groupBy("row", F.col("c.row").alias("other")).agg(F.count("*").alias("k"))
+    met = met.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "other")), False), 1, NEAREST).alias("best"))
+    return met.select(F.col("row").alias("a"), F.explode("best.other").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
     spark = docs.sparkSession
@@ -283,24 +311,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     scratch.drop(found_path)
     lists, lists_path = scratch.table(active.select("row", "label", "n", "s", F.explode("pre1").alias("token")))
 
-    # Each row against the most central member of its lists, where they may link.
-    central = lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "row", "n", "s", "label")).alias("c"))
-    first = lists.join(central, "token").where(
-        (F.col("row") != F.col("c.row")) & (F.col("label") != F.col("c.label")) & _may_link(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s"))
-    )
-    first = first.groupBy("row", F.col("c.row").alias("other")).agg(F.count("*").alias("k"))
-    first = first.groupBy("row").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("other"))
-    edges, edges_path = scratch.table(_verified(first.select(F.col("row").alias("a"), F.col("other").alias("b")), active))
-    edges = edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    joined = connected_components(edges, scratch)
+    edges, joined, paths = None, None, []
+    for turn in range(ROUNDS):
+        placed = lists if joined is None else lists.join(joined, lists["label"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "label")).drop("node", "component")
+        pairs, pairs_path = scratch.table(_met(placed, turn) if turn else _met(lists.withColumn("comp", F.col("label")), turn))
+        links, links_path = scratch.table(_verified(pairs, active))
+        paths += [pairs_path, links_path]
+        links = links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        edges = links if edges is None else edges.unionByName(links)
+        joined = connected_components(edges, scratch)
 
     # What is left: pairs of different components that share a token. One of the two isn't of the token's largest component.
     placed, placed_path = scratch.table(
         lists.join(joined, lists["label"] == joined["node"], "left").select("row", "n", "s", "token", F.coalesce("component", "label").alias("comp"))
     )
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    members = placed.join(mixed.select("token", "main"), "token").join(active.select("row", "pre1"), "row")
+    mixed = _mixed(placed)
+    members = placed.join(mixed, "token").join(active.select("row", "pre1"), "row")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1")]
     left, right = members.where("comp <> main").select("token", *side("a")), members.select("token", *side("b"))
     # Of the tokens that a pair shares, only the first makes it a candidate.
@@ -317,7 +343,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     out = labelled.join(everything, labelled["label"] == everything["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label").alias("component_id"))
     nameless = source.where(F.col("doc_id").isNull()).select("doc_id", _set_size()(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     out = scratch.keep(out.unionByName(nameless))
-    scratch.drop(labelled_path, active_path, lists_path, placed_path, edges_path)
+    scratch.drop(labelled_path, active_path, lists_path, placed_path, *paths)
     return out
 
 
