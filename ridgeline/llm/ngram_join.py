@@ -18,8 +18,8 @@ are intersected.
    blocks that asked, only for shingles that occur in two documents or more.
 3. `_prefixes` takes the prefixes. Shingles without an answer are a document's
    own; a document with enough of them can have no partner and is done.
-4. Rows of a shingle's posting list meet its most central one (fewest own
-   shingles) first, then one outside its largest component. Those links are
+4. Rows of a shingle's posting list meet its most central one (with the least
+   rare shingles) first, then ones outside its largest component. Those links are
    contracted to components; at last all pairs of different components are
    tried, so a group of n near copies costs about n checks, not n * n.
 
@@ -64,7 +64,7 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
 ANSWER = "block long, kind int, idx binary, tokens binary, info binary"
-PREFIXES = "doc_id long, key1 long, key2 long, n long, row long, shared array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
+PREFIXES = "doc_id long, key1 long, key2 long, n long, row long, odd double, shared array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -214,7 +214,10 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     token = np.concatenate([hot_token, *[np.frombuffer(x, "<u8") for x in answers["tokens"]]]).astype(np.uint64)
     level = np.concatenate([np.full(len(hot_idx), HOT, np.uint8), *[np.frombuffer(x, np.uint8) for x in answers["info"]]]).astype(np.int64)
     n = info["n"].astype(np.int64)
-    quota = np.where(info["sent"], prefix_size(n) - (n - np.bincount(idx, minlength=len(n))), 0)
+    own = n - np.bincount(idx, minlength=len(n))
+    quota = np.where(info["sent"], prefix_size(n) - own, 0)
+    # How rare a document's shingles are: close to 0 for the centre of a large group.
+    odd = (np.bincount(idx, weights=HOT - level, minlength=len(n)) + own * (HOT - 1)) / np.maximum(n, 1)
     live = quota > 0
     take = live[idx]
     idx, token, level = idx[take], token[take], level[take]
@@ -230,6 +233,7 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame({"doc_id": info["id"], "key1": info["key1"], "key2": info["key2"], "n": n})
     out["row"] = pd.array(np.where(live, (int(key[0]) << 16) + np.arange(len(n)), 0), dtype="Int64")
     out.loc[~live, "row"] = pd.NA
+    out["odd"] = odd
     for name, values in zip(("shared", "pre1", "pre2", "pre3"), arrays, strict=True):
         column = np.full(len(n), None, object)
         for k, value in zip(doc, values, strict=True):
@@ -273,14 +277,14 @@ def _mixed(placed: DataFrame) -> DataFrame:
 def _met(placed: DataFrame, turn: int) -> DataFrame:
     """(a, b): each row with up to NEAREST of the members chosen for its tokens, those with which it shares most.
 
-    At first a token's most central row is chosen, then one that isn't of its largest component.
+    At first a token's most central row is chosen (the least odd one), then the
+    most central and any other that isn't of its largest component.
     """
     chosen = placed
-    rank = [(F.col("n") - F.col("s")).alias("own"), F.col("row")]
     if turn:
         placed = placed.join(_mixed(placed), "token")
         chosen = placed.where("comp <> main")
-        rank = [F.xxhash64("comp", F.lit(turn)).alias("own"), F.col("row")]
+    rank = [(F.col("odd") if turn < 2 else F.xxhash64("comp", F.lit(turn))).alias("first"), F.col("row")]
     chosen = chosen.groupBy("token").agg(F.min(F.struct(*rank, "n", "s", "comp")).alias("c"))
     met = placed.join(chosen, "token").where(
         (F.col("comp") != F.col("c.comp")) & _may_link(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s"))
@@ -309,7 +313,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
         found.where("row is not null").join(classes, ["key1", "key2"]).where("row = rep").withColumn("s", F.size("shared").cast("long"))
     )
     scratch.drop(found_path)
-    lists, lists_path = scratch.table(active.select("row", "label", "n", "s", F.explode("pre1").alias("token")))
+    lists, lists_path = scratch.table(active.select("row", "label", "n", "s", "odd", F.explode("pre1").alias("token")))
 
     edges, joined, paths = None, None, []
     for turn in range(ROUNDS):
