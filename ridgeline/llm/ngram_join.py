@@ -57,9 +57,10 @@ from ridgeline.llm.texthash import WordHasher, byte_batches, mix, shingles
 WORDS = 5
 PERCENT = 80
 HOT = 64
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
+PARTS_A_PARTITION = 3
 BLOCK_DOCS = 60_000
-ROUNDS, NEAREST = 3, 3
+ROUNDS, NEAREST = 3, 1
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
@@ -297,7 +298,7 @@ def _met(placed: DataFrame, turn: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
     spark = docs.sparkSession
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 65_536)
+    parts = min(PARTS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), 65_536)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     asked = source.where(F.col("doc_id").isNotNull()).mapInPandas(_requests(parts), REQUEST)
     answered = asked.groupBy("part").applyInPandas(_count(parts), ANSWER)
