@@ -116,7 +116,7 @@ def _field(spark, sf_dir):
 
 def laplacian(spark, sf_dir):
     field, neighbours = _field(spark, sf_dir)
-    return P.smooth_elevation(field, neighbours, 3).select("point", r6("elev", 9))
+    return P.smooth_elevation(field, neighbours, 3).select("point", r6("elev", 11))
 
 
 LAPLACIAN = f"""WITH {V_SQL}, p AS (SELECT *, CASE WHEN idx % 12 = 0 THEN 'n' || CAST((idx // 12 + edge) % 40 AS VARCHAR) ELSE edge || '-' || idx END AS point FROM v),
@@ -126,7 +126,7 @@ f0 AS (SELECT point, min(elev) AS elev FROM p GROUP BY point),
 """ + ",\n".join(
     f"f{k} AS (SELECT f.point, coalesce(0.5 * f.elev + 0.5 * z, f.elev) AS elev FROM f{k - 1} f LEFT JOIN (SELECT nb.point, avg(elev) AS z FROM nb JOIN f{k - 1} g ON nb.other = g.point GROUP BY nb.point) USING (point))"
     for k in (1, 2, 3)
-) + f"\nSELECT point, {rounded('elev', 9)} AS elev FROM f3"
+) + f"\nSELECT point, {rounded('elev', 11)} AS elev FROM f3"
 
 
 def polyline_validity(spark, sf_dir):
