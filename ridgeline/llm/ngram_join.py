@@ -60,7 +60,7 @@ HOT = 64
 BLOCK_SHINGLES = 500_000
 PARTS_A_PARTITION = 3
 BLOCK_DOCS = 60_000
-ROUNDS, NEAREST = 3, 1
+ROUNDS, NEAREST = 1, 2
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
