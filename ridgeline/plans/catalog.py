@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.plans import networks, polylines, routes
+from ridgeline.plans import areas, networks, polylines, routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL: dict[str, tuple[Query, str | None]] = polylines.QUERIES | networks.QUERIES | routes.QUERIES
+_ALL: dict[str, tuple[Query, str | None]] = polylines.QUERIES | networks.QUERIES | routes.QUERIES | areas.QUERIES
 
 
 def queries() -> dict[str, Query]:
