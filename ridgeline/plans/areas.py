@@ -98,13 +98,13 @@ FROM (SELECT *, CAST(unnest(generate_series(0, p_size * 70 - 1, 2048)) AS INTEGE
 
 def raster_sample(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    cells = e.where("vec_id < 400").select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "elev"))
+    cells = e.select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "elev"))
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     points = ev.select("event_id", (F.col("event_id") % 700 / F.lit(10.0) - 2).alias("lon"), (F.lit(400.0) - F.col("event_id") % 430).alias("lat"))
-    return A.sample_grid(points, cells, 0.0, 400.0, 64, 400, 1.0).select("event_id", F.col("elev").cast("double").alias("elev"))
+    return A.sample_grid(points, cells, 0.0, 400.0, 64, 1_000_000, 1.0).select("event_id", F.col("elev").cast("double").alias("elev"))
 
 
-SAMPLE = """WITH c AS (SELECT vec_id AS row, generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS elev FROM embeddings WHERE vec_id < 400),
+SAMPLE = """WITH c AS (SELECT vec_id AS row, generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS elev FROM embeddings),
 p AS (SELECT event_id, floor((event_id % 700) / 10.0::DOUBLE - 2) AS col, floor(400 - (400 - CAST(event_id % 430 AS DOUBLE))) AS row FROM events)
 SELECT event_id, CAST(elev AS DOUBLE) AS elev FROM p LEFT JOIN c ON p.row = c.row AND p.col = c.col"""
 
