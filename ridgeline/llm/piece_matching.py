@@ -21,7 +21,8 @@ Scale: one Arrow pass and no shuffle; memory is bounded by the batch (texts of
 `BATCH_BYTES`), the parts indexed at once, and the cache of parts.
 
 Defined results: null and empty texts have no ids; rows that share an id are
-encoded one by one; an empty table gives an empty result; extra columns pass
+encoded one by one; a word mark that stands in a text itself decodes to a space,
+as in the library; an empty table gives an empty result; extra columns pass
 through.
 """
 

@@ -18,8 +18,8 @@ component take no part; shorter vectors count as padded with zeros; ties go to
 the smaller id; the query's own row (its id) is no candidate for it; rows that
 share an id are separate candidates; rows with a null id take no part; fewer
 candidates than k are all returned; an empty table gives an empty result; extra
-columns aren't used. Scores must fit 64 bits: a component of 2**23 or more in
-size is computed exactly in Python integers and an overflowing score is an error.
+columns aren't used. Products that a double can't hold exactly are computed in
+Python integers; scores and components beyond 64 bits are set to their bounds.
 """
 
 from __future__ import annotations
@@ -116,10 +116,7 @@ def _exact_best(query: np.ndarray, own: int, ids: np.ndarray, values: np.ndarray
     whole = [int(x) for x in query]
     scores = [(-sum(a * int(b) for a, b in zip(whole, values[:, j], strict=True)), int(ids[j])) for j in range(len(ids)) if ids[j] != own]
     scores.sort()
-    for score, _ in scores[:k]:
-        if not -(2**63) <= -score < 2**63:
-            raise OverflowError("a score doesn't fit 64 bits")
-    return [i for _, i in scores[:k]], [-s for s, _ in scores[:k]]
+    return [i for _, i in scores[:k]], [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in scores[:k]]
 
 
 def _searcher(k: int):
@@ -136,7 +133,7 @@ def _searcher(k: int):
                 for j, own in enumerate(query_ids.tolist()):
                     query = np.ascontiguousarray(queries[:, j])
                     found, scores = best_of_block(query, own, ids, values, k) if small else _exact_best(query, own, ids, values, k)
-                    out.append((np.full(len(found), own, np.int64), np.asarray(found, np.int64), np.asarray(scores).astype(np.int64)))
+                    out.append((np.full(len(found), own, np.int64), np.asarray(found, np.int64), np.asarray(scores, None if small else np.int64).astype(np.int64)))
                 parts = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), parts, strict=True)))
 
