@@ -189,7 +189,7 @@ def test_entries_round_trip(spark, tmp_path):
     root, nodes = str(tmp_path), spark.range(3)
     records.write_entry(spark, root, "k1", {"nodes": nodes}, {"area": "a"})
     records.write_entry(spark, root, "k2", {"nodes": nodes}, {"area": "b"})
-    (tmp_path / "areas/k2/manifest.json").write_text("{broken")
+    records.write_text(spark, f"{root}/areas/k2/manifest.json", "{broken")
     assert [r["key"] for r in records.read_index(spark, root).collect()] == ["k1"]
     assert records.read_entry(spark, root, "k1", ("nodes",))["nodes"].count() == 3
     with pytest.raises(records.CorruptEntry):
