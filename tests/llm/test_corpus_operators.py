@@ -168,7 +168,9 @@ def test_ngram_join_brute_force(spark, scratch):
     assert kept == set(comps)
 
 
-def test_one_of_each_edges(edge, nothing, scratch):
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_one_of_each_edges(edge, nothing, scratch, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
     got = ngram_join.one_of_each(edge, scratch)
     assert got.columns == edge.columns
     ids = sorted(r["doc_id"] for r in got.where("doc_id is not null").collect())
