@@ -51,6 +51,7 @@ MOST_HASHES = 16
 LINE_WORDS = 20
 REACH = 5
 PASSAGE_WORDS = 20
+BROADCAST_SPANS = 500_000
 JOIN_GAP = 6
 SHINGLE = 5
 
@@ -244,11 +245,17 @@ def without_spans(text, spans):
 
 
 def drop_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least_words: int = PASSAGE_WORDS) -> DataFrame:
-    """`docs` without its repeated passages; texts without any are untouched. A column n_chars is set to the new length."""
+    """`docs` without its repeated passages; texts without any are untouched. A column n_chars is set to the new length.
+
+    Up to `BROADCAST_SPANS` passages (an id and two offsets each, about 50 MB as
+    a hash table) are sent to the texts. Beyond, texts and passages are joined
+    by a shuffle, which moves every text once.
+    """
     gone = repeated_passages(docs, scratch, key, text, least_words).where(~F.col("kept"))
     spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = F.broadcast(spans) if gone.count() <= BROADCAST_SPANS else spans.hint("merge")
     joined = docs.join(spans, docs[key] == spans["_id"], "left")
-    cut = F.when(F.col("_spans").isNull(), docs[text]).otherwise(without_spans(docs[text], F.col("_spans")))
+    cut = F.when(spans["_spans"].isNull(), docs[text]).otherwise(without_spans(docs[text], spans["_spans"]))
     out = joined.withColumn(text, cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))

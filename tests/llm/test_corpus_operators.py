@@ -425,7 +425,9 @@ def test_substring_dedup(spark, scratch):
     assert all(t == before[i] for i, t in after if i not in gone)
 
 
-def test_substring_edges(edge, nothing, scratch):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_substring_edges(edge, nothing, scratch, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_SPANS", most)
     found = substring_dedup.repeated_passages(edge, scratch).collect()
     assert {r["doc_id"] for r in found} == {1, 2, 3, 4, 10, 11}
     cut = substring_dedup.drop_repeats(edge, scratch)
