@@ -306,7 +306,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     found, found_path = scratch.table(answered.groupBy("block").applyInPandas(_prefixes, PREFIXES))
 
     # Equal texts have equal prefixes: one row of each text stands for all.
-    classes = found.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("label"), F.min("row").alias("rep"))
+    # Written, so that the joins below read it from its own exchange and AQE can split a key with many copies.
+    classes, classes_path = scratch.table(
+        found.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("label"), F.min("row").alias("rep"))
+    )
     labelled, labelled_path = scratch.table(
         found.select("doc_id", "n", "key1", "key2").join(classes.drop("rep"), ["key1", "key2"], "left")
         .select("doc_id", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("label"))
@@ -314,7 +317,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     active, active_path = scratch.table(
         found.where("row is not null").join(classes, ["key1", "key2"]).where("row = rep").withColumn("s", F.size("shared").cast("long"))
     )
-    scratch.drop(found_path)
+    scratch.drop(found_path, classes_path)
     lists, lists_path = scratch.table(active.select("row", "label", "n", "s", "odd", F.explode("pre1").alias("token")))
 
     edges, joined, paths = None, None, []

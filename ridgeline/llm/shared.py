@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         if mark[0] == 0:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that the join reads it from its own exchange and AQE can split a hot node.
+        lowest, lowest_path = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
@@ -89,7 +90,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
             small.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         )
         links, new_path = scratch.table(small.distinct())
-        scratch.drop(path)
+        scratch.drop(path, lowest_path)
         path, (before, mark) = new_path, (mark, _mark(links))
         if mark == before:
             break
