@@ -51,7 +51,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import Scratch, connected_components
+from ridgeline.llm.shared import Scratch, connected_components, split_by_ids
 from ridgeline.llm.texthash import WordHasher, byte_batches, mix, shingles
 
 WORDS = 5
@@ -61,7 +61,6 @@ BLOCK_SHINGLES = 500_000
 PARTS_A_PARTITION = 3
 BLOCK_DOCS = 60_000
 ROUNDS, NEAREST = 1, 2
-BROADCAST_IDS = 2_000_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
@@ -370,11 +369,9 @@ def _set_size():
 def one_of_each(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without the near duplicates of another: the smallest id of each component stays, and rows with a null id.
 
-    Up to `BROADCAST_IDS` removed ids (8 bytes each, about 100 MB as a hash
-    table) are sent to the texts. Beyond, texts and ids are joined by a shuffle,
-    which moves every text once.
+    Only texts whose id may be a removed one meet the removed ids in a shuffle;
+    the others pass by (`split_by_ids`).
     """
-    gone = near_duplicates(docs, scratch, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    few = gone.count() <= BROADCAST_IDS
-    gone = F.broadcast(gone.distinct()) if few else gone.distinct().hint("merge")
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, scratch, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    some, rest = split_by_ids(docs, key, gone)
+    return rest.unionByName(some.join(gone.hint("merge"), some[key] == gone["_gone"], "left_anti"))

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILTER_BITS = 1 << 27
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where none is configured (tests)."""
@@ -63,6 +65,26 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def split_by_ids(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(some, rest): rows of `docs` whose key may be in the one column of `ids`, and rows whose key is not.
+
+    A bit for each of FILTER_BITS hashes says whether any id has it. The bits are
+    4 KB rows, at most 16 MB together however many ids there are, so they are sent to
+    all tasks, and only `some` has to meet the ids in a shuffle. Beyond tens of
+    millions of ids the bits fill up and `some` nears all of `docs`; results
+    stay the same. Rows with a null key may be in either part.
+    """
+    place = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(FILTER_BITS))
+    held = ids.select(place(F.col(ids.columns[0])).alias("place"))
+    bits = held.groupBy(F.shiftright("place", 15).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("__bits"))
+    at = place(docs[key])
+    within = at.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(within, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, within.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    known = docs.join(F.broadcast(bits), F.shiftright(at, 15) == F.col("__bucket"), "left")
+    return known.where(may).select(docs.columns), known.where(~may).select(docs.columns)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long); component is the smallest node reachable.
 

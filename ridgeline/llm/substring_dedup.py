@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ridgeline.llm.ngram_join import near_duplicates
-from ridgeline.llm.shared import Scratch
+from ridgeline.llm.shared import Scratch, split_by_ids
 from ridgeline.llm.texthash import WordHasher, byte_batches, mix, windows
 
 THRESHOLD_PERCENT = 80
@@ -51,7 +51,6 @@ MOST_HASHES = 16
 LINE_WORDS = 20
 REACH = 5
 PASSAGE_WORDS = 20
-BROADCAST_SPANS = 500_000
 JOIN_GAP = 6
 SHINGLE = 5
 
@@ -247,16 +246,16 @@ def without_spans(text, spans):
 def drop_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least_words: int = PASSAGE_WORDS) -> DataFrame:
     """`docs` without its repeated passages; texts without any are untouched. A column n_chars is set to the new length.
 
-    Up to `BROADCAST_SPANS` passages (an id and two offsets each, about 50 MB as
-    a hash table) are sent to the texts. Beyond, texts and passages are joined
-    by a shuffle, which moves every text once.
+    Only texts whose id may be that of a removed passage meet the passages in a
+    shuffle; the others pass by (`split_by_ids`).
     """
     gone = repeated_passages(docs, scratch, key, text, least_words).where(~F.col("kept"))
     spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    spans = F.broadcast(spans) if gone.count() <= BROADCAST_SPANS else spans.hint("merge")
-    joined = docs.join(spans, docs[key] == spans["_id"], "left")
-    cut = F.when(spans["_spans"].isNull(), docs[text]).otherwise(without_spans(docs[text], spans["_spans"]))
-    out = joined.withColumn(text, cut)
+    some, rest = split_by_ids(docs, key, gone.select("doc_id"))
+    joined = some.join(spans.hint("merge"), some[key] == spans["_id"], "left")
+    untouched = spans["_spans"].isNull()
+    new_text = F.when(untouched, some[text]).otherwise(without_spans(some[text], spans["_spans"]))
+    new = {text: new_text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(untouched, some["n_chars"]).otherwise(F.length(new_text).cast(docs.schema["n_chars"].dataType))
+    return rest.unionByName(joined.select([new.get(c, some[c]).alias(c) for c in docs.columns]))

@@ -16,6 +16,7 @@ from ridgeline.llm import (
     ngram_join,
     piece_matching,
     quality_rules,
+    shared,
     sharding,
     substring_dedup,
     texthash,
@@ -168,9 +169,9 @@ def test_ngram_join_brute_force(spark, scratch):
     assert kept == set(comps)
 
 
-@pytest.mark.parametrize("most", [0, 2_000_000])
-def test_one_of_each_edges(edge, nothing, scratch, monkeypatch, most):
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+@pytest.mark.parametrize("bits", [1, 8, 1 << 27])
+def test_one_of_each_edges(edge, nothing, scratch, monkeypatch, bits):
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
     got = ngram_join.one_of_each(edge, scratch)
     assert got.columns == edge.columns
     ids = sorted(r["doc_id"] for r in got.where("doc_id is not null").collect())
@@ -179,6 +180,21 @@ def test_one_of_each_edges(edge, nothing, scratch, monkeypatch, most):
     assert ngram_join.one_of_each(nothing, scratch).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 18, 1 << 27])
+def test_split_by_ids(spark, monkeypatch, bits):
+    """No id is missed at any size of the filter, and a large filter sets the others aside."""
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
+    docs = spark.range(-3000, 3000).selectExpr("if(id = 0, null, id) as doc_id", "id as size")
+    ids = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("x"))
+    some, rest = shared.split_by_ids(docs, "doc_id", ids)
+    inside, outside = [r["size"] for r in some.collect()], [r["size"] for r in rest.collect()]
+    assert sorted(inside + outside) == list(range(-3000, 3000)) and some.columns == docs.columns
+    assert {i for i in range(-3000, 3000) if i and i % 7 == 0} <= set(inside)
+    assert len(inside) < 900 or bits < 1 << 27
+    none, everything = shared.split_by_ids(docs, "doc_id", ids.limit(0))
+    assert none.count() == 0 and everything.count() == 6000
+
+
 def features(text):
     text = text or ""
     own = words(text)
@@ -425,9 +441,9 @@ def test_substring_dedup(spark, scratch):
     assert all(t == before[i] for i, t in after if i not in gone)
 
 
-@pytest.mark.parametrize("most", [0, 500_000])
-def test_substring_edges(edge, nothing, scratch, monkeypatch, most):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_SPANS", most)
+@pytest.mark.parametrize("bits", [1, 8, 1 << 27])
+def test_substring_edges(edge, nothing, scratch, monkeypatch, bits):
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
     found = substring_dedup.repeated_passages(edge, scratch).collect()
     assert {r["doc_id"] for r in found} == {1, 2, 3, 4, 10, 11}
     cut = substring_dedup.drop_repeats(edge, scratch)
