@@ -1,11 +1,14 @@
 """Substring dedup by paragraph MinHash banding.
 
-Texts are cut into paragraphs of two kinds, both by content alone:
+Texts are cut into paragraphs of three kinds, all by content alone:
 
 * lines of at least `LINE_WORDS` words;
 * pieces between words whose hash is largest within `REACH` words on either
   side, so that a passage pasted into the middle of a line is cut alike
-  wherever it stands. Pieces never cross a change of text.
+  wherever it stands. Pieces never cross a change of text;
+* seeds: of every `SEED_WORDS` consecutive windows of `SEED_WORDS` words, the
+  first one with the smallest hash. Any run of `2 * SEED_WORDS - 1` = 51 words
+  holds one, and seeds that follow each other in a run leave no gap.
 
 Paragraphs with equal words meet by hash. For lines, MinHash bands are tuned to
 a recall of 0.99 at the threshold (5-word shingles, Jaccard 0.8); lines that
@@ -14,8 +17,11 @@ make components. A piece has so few shingles that one other word inside it puts
 under the threshold, so its one band is the hash of all its words.
 
 A component that occurs in two documents or more repeats. It stays in the
-document with the smallest id and goes from the others; neighbouring
-occurrences are merged to passages, and those of at least `PASSAGE_WORDS` words
+document with the smallest id and goes from the others. Seeds at the ends of
+a repeated run are extended word by word, as far as another document on the
+right side of the verdict (a smaller id for words that go) has the same words:
+hashes of the 1 to `SEED_WORDS - 1` words beside the seed are met by equality,
+so a hot seed makes no pairs. Neighbouring occurrences are merged to passages, and those of at least `PASSAGE_WORDS` words
 are removed.
 
 Scale: one Arrow pass makes a row of numbers for each paragraph; counts combine
@@ -51,10 +57,12 @@ MOST_HASHES = 16
 LINE_WORDS = 20
 REACH = 5
 PASSAGE_WORDS = 20
+SEED_WORDS = 26
 JOIN_GAP = 6
 SHINGLE = 5
 
 OCCURRENCES = "kind int, hash long, doc_id long, first int, words int, start int, end int"
+BESIDE = "doc_id long, first int, side int, kept boolean, hash long, low long, high long, asks boolean, level int, byte int, key long"
 LINES = "hash long, doc_id long, start int, end int, bands array<long>"
 
 
@@ -99,6 +107,19 @@ def _spans(begins: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, after, mix(value ^ (after - first).astype(np.uint64))
 
 
+def _seeds(found: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """First words of the seeds: the first smallest window of every SEED_WORDS consecutive ones inside a text."""
+    n = len(text) - 2 * (SEED_WORDS - 1)
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low, span = np.arange(len(found)), 1
+    while span < SEED_WORDS:  # spans double, and the last two overlap
+        step = min(span, SEED_WORDS - span)
+        left, right = low[:-step], low[step:]
+        low, span = np.where(found[right] < found[left], right, left), span + step
+    return np.unique(low[:n][text[:n] == text[len(text) - n :]])
+
+
 def _line_begins(raw: bytes, words, n_texts: int, bounds: np.ndarray) -> np.ndarray:
     """Whether each word is the first of its line."""
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
@@ -121,27 +142,107 @@ def _blocks(batches: Iterator[pd.DataFrame]):
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for ids, _, words, line in _blocks(batches):
         position = np.arange(len(words.hash)) - np.searchsorted(words.text, words.text)
-        out = []
+        found = windows(words.hash, SEED_WORDS)
+        seeds = _seeds(found, words.text)
+        spans = [(2, seeds, seeds + SEED_WORDS, found[seeds])]
         for kind, begins, least in ((0, _cuts(words.hash, words.text, REACH), SHINGLE), (1, line, LINE_WORDS)):
             first, after, value = _spans(begins, words.hash)
             keep = after - first >= least
-            first, after, value = first[keep], after[keep], value[keep]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "kind": np.full(len(first), kind, np.int32),
-                        "hash": value.view(np.int64),
-                        "doc_id": ids[words.text[first]],
-                        "first": position[first].astype(np.int32),
-                        "words": (after - first).astype(np.int32),
-                        "start": words.start[first].astype(np.int32),
-                        "end": words.end[after - 1].astype(np.int32),
-                    }
-                )
+            spans.append((kind, first[keep], after[keep], value[keep]))
+        out = [
+            pd.DataFrame(
+                {
+                    "kind": np.full(len(first), kind, np.int32),
+                    "hash": value.view(np.int64),
+                    "doc_id": ids[words.text[first]],
+                    "first": position[first].astype(np.int32),
+                    "words": (after - first).astype(np.int32),
+                    "start": words.start[first].astype(np.int32),
+                    "end": words.end[after - 1].astype(np.int32),
+                }
             )
+            for kind, first, after, value in spans
+        ]
         yield pd.concat(out, ignore_index=True)
 
 
+def _beside(all_levels: bool):
+    """For each side of a seed, the hash of the seed and the words beside it: of each number of words, or of the most."""
+    columns = [x.split()[0] for x in BESIDE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            for at, texts in byte_batches(list(batch["text"]), 1 << 20):
+                words, rows = hasher.words(texts), batch.iloc[at : at + len(texts)]
+                text = np.repeat(np.arange(len(texts)), rows["first"].map(len).to_numpy())
+                ends = pd.DataFrame({c: np.concatenate(rows[c].to_list()) for c in columns[1:8]})
+                ends.insert(0, "doc_id", rows["doc_id"].to_numpy(np.int64)[text])
+                begin, after = (np.searchsorted(words.text, text, way) for way in ("left", "right"))
+                place = begin + ends["first"].to_numpy(np.int64)
+                # Rows that share an id may have other words there.
+                same = place + SEED_WORDS <= after
+                same[same] = windows(words.hash, SEED_WORDS)[place[same]].view(np.int64) == ends["hash"].to_numpy(np.int64)[same]
+                ends, begin, after, place = ends[same], begin[same], after[same], place[same]
+                left = ends["side"].to_numpy() == 0
+                most = np.minimum(np.where(left, place - begin, after - place - SEED_WORDS), SEED_WORDS - 1)
+                key = mix(ends["hash"].to_numpy(np.int64).view(np.uint64) + ends["side"].to_numpy().astype(np.uint64))
+                for level in range(1, SEED_WORDS):
+                    ends, place, left, most, key = (x[most >= level] for x in (ends, place, left, most, key))
+                    if not len(ends):
+                        break
+                    word = np.where(left, place - level, place + SEED_WORDS - 1 + level)
+                    key = mix(key + words.hash[word])
+                    byte = np.where(left, words.start[word], words.end[word])
+                    out = ends.assign(level=np.int32(level), byte=byte.astype(np.int32), key=key.view(np.int64))
+                    yield out if all_levels else out[most == level]
+
+    return run
+
+
+def _read_beside(source: DataFrame, ends: DataFrame, scratch: Scratch, all_levels: bool) -> tuple[DataFrame, str]:
+    names = [x.split()[0] for x in BESIDE.split(", ")][1:8]
+    some, _ = split_by_ids(source, "doc_id", ends.select("doc_id"))
+    grouped = ends.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("end")).select("doc_id", *[F.col(f"end.{c}").alias(c) for c in names])
+    return scratch.table(some.join(grouped.hint("merge"), "doc_id").mapInPandas(_beside(all_levels), BESIDE))
+
+
+def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """Occurrences of the words by which repeated runs go on beyond their first and last seeds.
+
+    seeds: all occurrences of repeated seeds, (doc_id, first, hash, kept). Most
+    have the same SEED_WORDS - 1 words beside them as another one; of such
+    equals, only the one with the smallest and the one with the largest id are
+    compared with the others word by word.
+    """
+    row = Window.partitionBy("doc_id", "kept").orderBy("first")
+    open_side = lambda x, side: F.when(x.isNull() | (x > SEED_WORDS), F.lit(side))
+    sides = F.array_compact(F.array(open_side(F.col("first") - F.lag("first").over(row), 0), open_side(F.lead("first").over(row) - F.col("first"), 1)))
+    marked, marked_path = scratch.table(seeds.withColumn("asked", sides))
+    wanted = marked.select("hash", F.explode("asked").alias("side")).distinct()
+    ends = marked.join(wanted, "hash").withColumn("asks", F.array_contains("asked", F.col("side"))).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
+    ends, ends_path = scratch.table(ends.drop("asked"))
+    scratch.drop(marked_path)
+    whole, whole_path = _read_beside(source, ends, scratch, False)
+    scratch.drop(ends_path)
+    equals = whole.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    told, told_path = scratch.table(whole.drop("low", "high").join(equals, "key"))
+    scratch.drop(whole_path)
+    alone = F.col("asks") & F.when(F.col("kept"), F.col("doc_id") == F.col("high")).otherwise(F.col("doc_id") == F.col("low"))
+    asked = told.where(alone).select("hash", "side").distinct()
+    deputies = told.withColumn("asks", alone).where("asks or doc_id = low").join(asked, ["hash", "side"], "left_semi")
+    beside, beside_path = _read_beside(source, deputies, scratch, True)
+    shared = beside.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
+    held = beside.where("asks").drop("low", "high").join(shared, "key").where("if(kept, most > doc_id, least < doc_id)")
+    place = ["doc_id", "first", "side", "kept", "hash"]
+    found = held.groupBy(*place).agg(F.max(F.struct("level", "byte")).alias("at")).select(*place, "at.level", "at.byte")
+    found = found.unionByName(told.where(F.col("asks") & ~alone).select(*place, "level", "byte"))
+    first = F.when(F.col("side") == 0, F.col("first") - F.col("level")).otherwise(F.col("first") + SEED_WORDS)
+    out = scratch.keep(found.select("doc_id", first.alias("first"), F.col("level").alias("words"), F.col("byte").alias("start"), F.col("byte").alias("end"), F.col("hash").alias("component"), "kept"))
+    scratch.drop(told_path, beside_path)
+    return out
+
+
 def _signatures(bands: int, rows: int):
     salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -206,15 +307,18 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", te
     """
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found, found_path = scratch.table(source.mapInPandas(_occurrences, OCCURRENCES))
-    pieces, lines = found.drop("kind"), found.where("kind = 1").drop("kind")
+    pieces, lines = found, found.where("kind = 1")
     repeats = pieces.groupBy("hash").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
     hits = pieces.join(repeats, "hash").withColumn("component", F.col("hash"))
     near = lines.join(near_lines(source, scratch), F.col("hash") == F.col("node")).drop("node")
     origins = near.groupBy("component").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
     hits = hits.unionByName(near.join(origins, "component"))
-    hits = hits.select("doc_id", "first", "words", "start", "end", "component", (F.col("doc_id") == F.col("origin")).alias("kept"))
+    place = ["doc_id", "first", "words", "start", "end", "component"]
+    hits = hits.select(*place, (F.col("doc_id") == F.col("origin")).alias("kept"), (F.col("kind") == 2).alias("seed"))
     hits, hits_path = scratch.table(hits.distinct())
     scratch.drop(found_path)
+    seeds = hits.where("seed").select("doc_id", "first", F.col("component").alias("hash"), "kept")
+    hits = hits.drop("seed").unionByName(extensions(source, seeds, scratch))
     # Neighbouring occurrences of the same verdict make a passage: gaps and islands in each document.
     before = Window.partitionBy("doc_id", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, 0)

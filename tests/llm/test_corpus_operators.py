@@ -454,6 +454,35 @@ def test_substring_edges(edge, nothing, scratch, monkeypatch, bits):
     assert substring_dedup.drop_repeats(nothing, scratch).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [300, 2000])
+def test_substring_whole_passages(spark, scratch, vocabulary):
+    """Passages of 51 to 60 words inside lines go whole, up to the last equal word."""
+    rng = np.random.default_rng(vocabulary)
+    share = 1 / np.arange(1, vocabulary + 1)
+    draw = lambda n: [f"w{k}" for k in rng.choice(vocabulary, n, p=share / share.sum())]
+    texts, runs_of = {}, {}
+    for case in range(60):
+        passage, whole = draw(51 + case % 10), []
+        for copy in range(2):
+            before, after = draw(15 + int(rng.integers(40))), draw(15 + int(rng.integers(40)))
+            texts[2 * case + copy] = before + passage + after
+            whole.append((before, after))
+        (b0, a0), (b1, a1) = whole
+        left = next((k for k, (x, y) in enumerate(zip(b0[::-1], b1[::-1])) if x != y), min(len(b0), len(b1)))
+        right = next((k for k, (x, y) in enumerate(zip(a0, a1)) if x != y), min(len(a0), len(a1)))
+        runs_of[2 * case + 1] = (len(b1) - left, len(b1) + len(passage) + right)
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    found = [r for r in substring_dedup.repeated_passages(frame, scratch).collect() if not r.kept]
+    for doc, (first, after) in runs_of.items():
+        assert any(r.doc_id == doc and r.first <= first and r.first + r.n_words >= after for r in found), doc
+        at = [r for r in found if r.doc_id == doc and r.first == first and r.first + r.n_words == after]
+        for r in at:
+            raw = " ".join(texts[doc]).encode()
+            assert raw[r.start : r.end].decode().split() == texts[doc][first:after]
+    exact = sum((r.first, r.first + r.n_words) == runs_of.get(r.doc_id) for r in found)
+    assert exact >= 55
+
+
 def test_near_lines_meet(spark, scratch):
     line = prose(60).split()
     other = [*line[:30], "changed", *line[31:]]
