@@ -136,6 +136,15 @@ LARGEST = COMPONENTS.replace("SELECT n AS node_id, min(m) AS component FROM r GR
 SELECT node_id FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"""
 
 
+def components_whole(spark, sf_dir):
+    """Over all edges; `components` takes only those its SQL takes."""
+    return N.weak_components(flat(edges(spark, sf_dir)))
+
+
+def largest_component_whole(spark, sf_dir):
+    return N.largest_component(components_whole(spark, sf_dir))
+
+
 def truncated(spark, sf_dir):
     e = flat(edges(spark, sf_dir))
     nodes = N.endpoints(e).distinct().select("node_id", (F.col("node_id") % 100 * F.lit(0.01)).alias("lon"), (F.col("node_id") % 37 * F.lit(0.01)).alias("lat"))
@@ -261,6 +270,8 @@ QUERIES = {
     "orphan_nodes": (orphan_nodes, ORPHANS),
     "components": (components, COMPONENTS),
     "largest_component": (largest_component, LARGEST),
+    "components_whole": (components_whole, None),
+    "largest_component_whole": (largest_component_whole, None),
     "truncated_edges": (truncated, TRUNCATED),
     "normalized_edges": (normalized_edges, NORMALIZED),
     "adjacency_top5": (adjacency_top5, ADJACENCY),

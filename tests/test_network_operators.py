@@ -8,6 +8,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ridgeline.functions import tags
 from ridgeline.operators import areas, networks, polylines, routes, search
@@ -224,3 +225,32 @@ def test_sequence_hash_is_canonical(spark):
 
     frame = spark.createDataFrame([(1, 2, 3, 0), (1, 1, 2, 0)], "route long, node_u long, node_v long, key int")
     assert routes.sequence_hash(frame).first()["hash"] == hashlib.sha256(b"[[1,2,0],[2,3,0]]").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def few_lines(spark, tmp_path_factory):
+    """A folder with 90 lines of three suppliers, parallel edges among them."""
+    from ridgeline.plans import networks as plans
+
+    folder = str(tmp_path_factory.mktemp("few"))
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_suppkey between 1 and 3")
+    lines = lines.withColumns({"l_partkey": F.col("l_partkey") % 8, "l_orderkey": F.col("l_orderkey") % 11})
+    order = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+    w = Window.partitionBy("l_suppkey").orderBy(*order[1:])
+    lines.withColumn("_n", F.row_number().over(w)).where("_n <= 30").drop("_n").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    rows = plans.flat(plans.edges(spark, folder)).collect()
+    assert len(rows) == 90 and any(r.key > 0 for r in rows)
+    return folder, rows
+
+
+def test_components_of_all_edges(spark, few_lines):
+    folder, rows = few_lines
+    label = {n: n for r in rows for n in (r.node_u, r.node_v)}
+    for _ in label:
+        for r in rows:
+            label[r.node_u] = label[r.node_v] = min(label[r.node_u], label[r.node_v])
+    queries = catalog.queries()
+    assert {r.node_id: r.component for r in queries["components_whole"](spark, folder).collect()} == label
+    sizes = {c: list(label.values()).count(c) for c in label.values()}
+    top = min(sizes, key=lambda c: (-sizes[c], c))
+    assert {r.node_id for r in queries["largest_component_whole"](spark, folder).collect()} == {n for n, c in label.items() if c == top}
