@@ -156,14 +156,22 @@ TRUNCATED = f"""WITH {F_SQL}, n AS (SELECT DISTINCT unnest([node_u, node_v]) AS
 SELECT node_u, count(*) AS n FROM fl WHERE node_u IN (SELECT node_id FROM k) AND node_v IN (SELECT node_id FROM k) GROUP BY node_u"""
 
 
-def normalized_edges(spark, sf_dir):
-    e = flat(edges(spark, sf_dir)).where("key = 0")
+def _normalized(e):
     geometry = F.when(F.col("length_m") > 250, F.array(F.struct(F.lit(0.0).alias("lon"), F.lit(1.0).alias("lat")))).alias("geometry")
     nodes = N.endpoints(e).distinct().where("node_id % 5 <> 0").select("node_id", (F.col("node_id") * F.lit(0.5)).alias("lon"), (F.col("node_id") * F.lit(0.25)).alias("lat"))
     out = N.normalize_edges(e.select("node_u", "node_v", geometry), nodes)
     return out.select("node_u", "node_v", F.size("geometry").alias("n"), F.col("geometry")[0]["lon"].alias("lon0"), F.element_at("geometry", -1)["lat"].alias("lat1"))
 
 
+def normalized_edges(spark, sf_dir):
+    return _normalized(flat(edges(spark, sf_dir)).where("key = 0"))
+
+
+def normalized_edges_whole(spark, sf_dir):
+    """With parallel edges; `normalized_edges` takes only those its SQL takes."""
+    return _normalized(flat(edges(spark, sf_dir)))
+
+
 NORMALIZED = f"""WITH {F_SQL}, g AS (SELECT node_u, node_v, length_m > 250 AS has FROM fl WHERE key = 0)
 SELECT node_u, node_v, CASE WHEN has THEN 1 ELSE 2 END AS n, CASE WHEN has THEN 0.0::DOUBLE WHEN node_u % 5 <> 0 THEN node_u * 0.5::DOUBLE END AS lon0, CASE WHEN has THEN 1.0::DOUBLE WHEN node_v % 5 <> 0 THEN node_v * 0.25::DOUBLE END AS lat1 FROM g"""
 
@@ -274,6 +282,7 @@ QUERIES = {
     "largest_component_whole": (largest_component_whole, None),
     "truncated_edges": (truncated, TRUNCATED),
     "normalized_edges": (normalized_edges, NORMALIZED),
+    "normalized_edges_whole": (normalized_edges_whole, None),
     "adjacency_top5": (adjacency_top5, ADJACENCY),
     "climb_seeds": (climb_seeds, SEEDS),
     "climb_islands": (climb_islands, ISLANDS),

@@ -201,8 +201,16 @@ p AS (SELECT 1 AS depth, v AS last, [s] AS segs, g AS objective, m FROM w UNION
 SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n, max(objective) AS best, sum(m) AS length_m FROM p GROUP BY depth"""
 
 
+def walk_enumeration_whole(spark, sf_dir):
+    """Over all edges, parallel ones included; `walk_enumeration` takes only those its SQL takes."""
+    e = plans.flat(plans.edges(spark, sf_dir)).withColumn("gain", F.col("d_plus_m") + F.col("d_minus_m"))
+    segment = F.concat_ws("-", F.least("node_u", "node_v"), F.greatest("node_u", "node_v"), "key")
+    e = e.select(F.concat_ws(">", "node_u", "node_v", "key").alias("id"), "node_u", "node_v", segment.alias("segment"), "length_m", "gain")
+    return S.walks(e, 3).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.max("objective").alias("best"), F.sum("length_m").alias("length_m"))
+
+
 def grasp_routes(spark, sf_dir):
-    e = plans.flat(plans.edges(spark, sf_dir).where("key = 0 and length_m > 400")).withColumn("reusable", F.col("length_m") < 410)
+    e = plans.flat(plans.edges(spark, sf_dir)).withColumn("reusable", F.col("length_m") < 410)
     return S.search(spark, e, S.Params(theta=0.2, n=10, iterations=400, seed=7), workers=4, interval=200)
 
 
@@ -232,6 +240,7 @@ QUERIES = {
     "golden_diff": (golden_diff, GOLDEN),
     "geojson": (geojson, GEOJSON),
     "walk_enumeration": (walk_enumeration, WALKS),
+    "walk_enumeration_whole": (walk_enumeration_whole, None),
     "grasp_routes": (grasp_routes, None),
     "blocking_ids": (blocking_ids, BLOCKING),
 }

@@ -254,3 +254,24 @@ def test_components_of_all_edges(spark, few_lines):
     sizes = {c: list(label.values()).count(c) for c in label.values()}
     top = min(sizes, key=lambda c: (-sizes[c], c))
     assert {r.node_id for r in queries["largest_component_whole"](spark, folder).collect()} == {n for n, c in label.items() if c == top}
+
+
+def test_walks_of_all_edges(spark, few_lines):
+    folder, rows = few_lines
+    segment = lambda r: (min(r.node_u, r.node_v), max(r.node_u, r.node_v), r.key)
+    walks, expected = [[r] for r in rows], []
+    for depth in (1, 2, 3):
+        gains = [sum(r.d_plus_m + r.d_minus_m for r in walk) for walk in walks]
+        expected.append((depth, len(walks), max(gains), sum(float(r.length_m) for walk in walks for r in walk)))
+        walks = [[*walk, r] for walk in walks for r in rows if r.node_u == walk[-1].node_v and segment(r) not in map(segment, walk)]
+    found = catalog.queries()["walk_enumeration_whole"](spark, folder).orderBy("depth").collect()
+    assert [(r.depth, r.n, r.best, float(r.length_m)) for r in found] == expected
+
+
+def test_routes_and_geometries_of_all_edges(spark, few_lines):
+    folder, rows = few_lines
+    queries, ends = catalog.queries(), lambda found: sorted((r.node_u, r.node_v) for r in found)
+    assert ends(queries["normalized_edges_whole"](spark, folder).collect()) == ends(rows)
+    used = {(r.node_u, r.node_v, r.key) for r in queries["grasp_routes"](spark, folder).collect()}
+    by_place = {(r.node_u, r.node_v, r.key): r for r in rows}
+    assert used <= set(by_place) and any(by_place[e].length_m <= 400 or by_place[e].key for e in used)
