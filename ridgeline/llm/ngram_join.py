@@ -25,8 +25,10 @@ are intersected.
 
 Scale: shuffles are in proportion to the text and have no hot key: shingles
 spread by hash, a shingle frequent inside a block goes as one count, and the
-rest of its list is at most HOT entries a block. Joins are on shingles or rows
-and may be split by AQE. Nothing is broadcast or collected but counts.
+rest of its list is at most HOT entries a block. Counting partitions hold the
+shingles of about PART_BYTES of text and grow in number with the input, up to
+2**18 of them. Joins are on shingles or rows and may be split by AQE. Nothing
+is broadcast or collected but counts.
 
 Exactness: hashes of 54 bits or more are compared, so that two different
 shingles of one pair of documents meet with a chance of about
@@ -36,9 +38,9 @@ between attempts of a task (tables read from files keep it).
 Defined results: null and empty texts, and texts without words, have an empty
 set, no links and their own id; texts under five words have their whole
 sequence as one shingle; equal texts share a component; rows that share an id
-are separate documents, each with its own text's component; rows with a null id
-get their set size and a null component, and take no part; an empty table gives
-an empty result; columns other than id and text aren't used.
+are separate documents, each with its own text's component (nodes are texts,
+not ids), and one may go while the other stays; rows with a null id get their set size and a null component, and take no part; an empty table gives an
+empty result; columns other than id and text aren't used.
 """
 
 from __future__ import annotations
@@ -48,24 +50,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import Scratch, connected_components, split_by_ids
-from ridgeline.llm.texthash import WordHasher, byte_batches, mix, shingles
+from ridgeline.llm.shared import Scratch, connected_components, perhaps_in, split_by_ids, text_digest
+from ridgeline.llm.texthash import WordHasher, byte_batches, give_back, mix, shingles, text_groups
 
 WORDS = 5
 PERCENT = 80
 HOT = 64
-BLOCK_SHINGLES = 500_000
-PARTS_A_PARTITION = 3
+BLOCK_SHINGLES = 250_000
+PART_BYTES, LEAST_BITS, MOST_BITS = 2 << 20, 3, 18
 BLOCK_DOCS = 60_000
-ROUNDS, NEAREST = 1, 2
+NEAREST = 2
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
 ANSWER = "block long, kind int, idx binary, tokens binary, info binary"
-PREFIXES = "doc_id long, key1 long, key2 long, n long, row long, odd double, shared array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
+INFO = [("id", "<i8"), ("digest", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("n", "<i8"), ("sent", "?")]
+PREFIXES = "doc_id long, digest long, key1 long, key2 long, n long, row long, odd double, shared array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -87,6 +91,7 @@ class _Block:
 
     def __init__(self) -> None:
         self.ids: list[int] = []
+        self.digests: list[int] = []
         self.sizes: list[int] = []
         self.keys: list[bytes] = []
         self.seen: set[bytes] = set()
@@ -95,7 +100,7 @@ class _Block:
         self.tokens: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, ids: np.ndarray, texts: list[bytes], hasher: WordHasher) -> None:
+    def add(self, ids: np.ndarray, digests: np.ndarray, texts: list[bytes], hasher: WordHasher) -> None:
         words = hasher.words(texts)
         text, token = shingles(words, len(texts), WORDS)
         n = np.bincount(text, minlength=len(texts))
@@ -108,6 +113,7 @@ class _Block:
             self.seen.add(key)
             self.keys.append(key)
         self.ids += ids.tolist()
+        self.digests += digests.tolist()
         self.sizes += n.tolist()
         self.sent += fresh.tolist()
         take = fresh[text]
@@ -115,7 +121,8 @@ class _Block:
         self.tokens.append(token[take])
         self.held += int(take.sum())
 
-    def rows(self, block: int, parts: int) -> pd.DataFrame:
+    def rows(self, block: int, bits: int) -> pd.DataFrame:
+        parts = 1 << bits
         idx = np.concatenate(self.idx) if self.idx else np.zeros(0, np.int64)
         token = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
         self.idx, self.tokens = [], []
@@ -123,51 +130,64 @@ class _Block:
         hot = counts > HOT
         is_hot = hot[inverse]
         out = []
-        part = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        part = part_of(token, bits)
         listed = np.flatnonzero(~is_hot)
         listed = listed[np.argsort(part[listed], kind="stable")]
         cuts = np.searchsorted(part[listed], np.arange(parts + 1))
         for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
             own = listed[cuts[p] : cuts[p + 1]]
             out.append((int(p), block, 0, idx[own].astype("<u2").tobytes(), _pack48(token[own]), None))
-        hot_part = ((values[hot] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        hot_part = part_of(values[hot], bits)
         for p in np.unique(hot_part):
             own = np.flatnonzero(hot)[hot_part == p]
             out.append((int(p), block, 1, counts[own].astype("<u4").tobytes(), _pack48(values[own]), None))
-        info = np.zeros(len(self.ids), [("id", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("n", "<i8"), ("sent", "?")])
-        info["id"], info["n"], info["sent"] = self.ids, self.sizes, self.sent
+        info = np.zeros(len(self.ids), INFO)
+        info["id"], info["digest"], info["n"], info["sent"] = self.ids, self.digests, self.sizes, self.sent
         keys = np.frombuffer(b"".join(self.keys), "<i8").reshape(-1, 2)
         info["key1"], info["key2"] = keys[:, 0], keys[:, 1]
-        out.append((block % parts, block, 2, idx[is_hot].astype("<u2").tobytes(), token_of(token[is_hot], parts).tobytes(), info.tobytes()))
+        out.append((block % parts, block, 2, idx[is_hot].astype("<u2").tobytes(), token_of(token[is_hot], bits).tobytes(), info.tobytes()))
         return pd.DataFrame(out, columns=["part", "block", "kind", "idx", "tokens", "info"])
 
 
-def token_of(token: np.ndarray, parts: int) -> np.ndarray:
-    """The token as all later steps know it: 48 bits, and the counting partition above them."""
-    part = (token >> np.uint64(32)) % np.uint64(parts)
-    return (token & LOW48) | (part << np.uint64(48))
+def part_of(token: np.ndarray, bits: int) -> np.ndarray:
+    """The counting partition: the highest bits."""
+    return (token >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _requests(parts: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def token_of(token: np.ndarray, bits: int) -> np.ndarray:
+    """The token as all later steps know it: the 48 bits that are sent, and those that its counting partition tells."""
+    return token & (LOW48 | np.uint64(((1 << bits) - 1) << (64 - bits)))
+
+
+def counting_bits(source: DataFrame) -> int:
+    """Counting partitions, as a power of two, for about PART_BYTES of text each."""
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return min(max((size // PART_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _requests(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 24
         hasher, block, number = WordHasher(lower=True), _Block(), 0
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("idx", pa.binary()), ("tokens", pa.binary()), ("info", pa.binary())])
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(np.int64)
-            for at, texts in byte_batches(list(batch["text"]), 1 << 20, 2000):
-                block.add(ids[at : at + len(texts)], texts, hasher)
+            ids, digests = batch.column("doc_id").to_numpy(), batch.column("digest").to_numpy()
+            for at, texts in text_groups(batch.column("text"), 1 << 19, 2000):
+                block.add(ids[at : at + len(texts)], digests[at : at + len(texts)], texts, hasher)
                 if block.held >= BLOCK_SHINGLES or len(block.ids) > BLOCK_DOCS - 2000:
-                    yield block.rows(first + number, parts)
+                    yield pa.RecordBatch.from_pandas(block.rows(first + number, bits), schema, preserve_index=False)
                     block, number = _Block(), number + 1
         if block.ids:
-            yield block.rows(first + number, parts)
+            yield pa.RecordBatch.from_pandas(block.rows(first + number, bits), schema, preserve_index=False)
+        del block, hasher
+        give_back()
 
     return run
 
 
-def _count(parts: int):
+def _count(bits: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = [(r.block, 2, r.idx, r.tokens, r.info) for r in rows[rows["kind"] == 2].itertuples()]
         listed, summed = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
@@ -185,7 +205,7 @@ def _count(parts: int):
             level = np.zeros(len(values), np.uint8)
             level[order] = np.repeat(total, np.diff(np.append(begins, len(values))))
             del ranked, order
-            at, above = 0, np.uint64(int(key[0]) << 48)
+            at, above = 0, np.uint64(int(key[0]) << (64 - bits))
             for r, size in zip(listed.itertuples(), sizes, strict=True):
                 kept = np.flatnonzero(level[at : at + size] >= 2)
                 if len(kept):
@@ -208,7 +228,7 @@ def _orders(level: np.ndarray, token: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     head = rows[rows["kind"] == 2].iloc[0]
-    info = np.frombuffer(head["info"], [("id", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("n", "<i8"), ("sent", "?")])
+    info = np.frombuffer(head["info"], INFO)
     answers = rows[rows["kind"] == 0]
     hot_idx, hot_token = np.frombuffer(head["idx"], "<u2"), np.frombuffer(head["tokens"], "<u8")
     idx = np.concatenate([hot_idx, *[np.frombuffer(x, "<u2") for x in answers["idx"]]]).astype(np.int64)
@@ -231,9 +251,8 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bounds = np.searchsorted(idx[inside], np.append(doc, len(n)))
         signed = token[inside].view(np.int64)
         arrays.append([signed[bounds[k] : bounds[k + 1]] for k in range(len(doc))])
-    out = pd.DataFrame({"doc_id": info["id"], "key1": info["key1"], "key2": info["key2"], "n": n})
-    out["row"] = pd.array(np.where(live, (int(key[0]) << 16) + np.arange(len(n)), 0), dtype="Int64")
-    out.loc[~live, "row"] = pd.NA
+    out = pd.DataFrame({"doc_id": info["id"], "digest": info["digest"], "key1": info["key1"], "key2": info["key2"], "n": n})
+    out["row"] = (int(key[0]) << 16) + np.arange(len(n))
     out["odd"] = odd
     for name, values in zip(("shared", "pre1", "pre2", "pre3"), arrays, strict=True):
         column = np.full(len(n), None, object)
@@ -244,12 +263,12 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _verified(pairs: DataFrame, active: DataFrame) -> DataFrame:
-    """(a, b, label_a, label_b) of the pairs of rows that share prefixes under the other orders and then link."""
-    side = lambda x: active.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "s", "shared", "pre2", "pre3")])
+    """(a, b): the pairs of rows that share prefixes under the other orders and then link."""
+    side = lambda x: active.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "shared", "pre2", "pre3")])
     both = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
     both = both.where(_agree("pre2") & _agree("pre3"))
     common = F.size(F.array_intersect("shared_a", "shared_b"))
-    return both.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("label_a", "label_b")
+    return both.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
 def _may_link(n_a, s_a, n_b, s_b):
@@ -275,63 +294,48 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return mixed.where("comps > 1").drop("comps")
 
 
-def _met(placed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each row with up to NEAREST of the members chosen for its tokens, those with which it shares most.
-
-    At first a token's most central row is chosen (the least odd one), then the
-    most central and any other that isn't of its largest component.
-    """
-    chosen = placed
-    if turn:
-        placed = placed.join(_mixed(placed), "token")
-        chosen = placed.where("comp <> main")
-    rank = [(F.col("odd") if turn < 2 else F.xxhash64("comp", F.lit(turn))).alias("first"), F.col("row")]
-    chosen = chosen.groupBy("token").agg(F.min(F.struct(*rank, "n", "s", "comp")).alias("c"))
-    met = placed.join(chosen, "token").where(
-        (F.col("comp") != F.col("c.comp")) & _may_link(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s"))
-    )
+def _met(lists: DataFrame) -> DataFrame:
+    """(a, b): each row with up to NEAREST of its tokens' most central rows (the least odd ones), those with which it shares most tokens."""
+    chosen = lists.groupBy("token").agg(F.min(F.struct("odd", "row", "n", "s")).alias("c"))
+    met = lists.join(chosen, "token").where((F.col("row") != F.col("c.row")) & _may_link(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s")))
     met = met.groupBy("row", F.col("c.row").alias("other")).agg(F.count("*").alias("k"))
     met = met.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "other")), False), 1, NEAREST).alias("best"))
     return met.select(F.col("row").alias("a"), F.explode("best.other").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
-    spark = docs.sparkSession
-    parts = min(PARTS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), 65_536)
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    asked = source.where(F.col("doc_id").isNotNull()).mapInPandas(_requests(parts), REQUEST)
-    answered = asked.groupBy("part").applyInPandas(_count(parts), ANSWER)
+def linked_texts(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id, member) of rows (doc_id, digest, text) with an id.
+
+    Rows with the same `member` are equal or reach each other by links; component_id is their smallest id.
+    """
+    bits = counting_bits(source)
+    asked = source.mapInArrow(_requests(bits), REQUEST)
+    answered = asked.groupBy("part").applyInPandas(_count(bits), ANSWER)
     found, found_path = scratch.table(answered.groupBy("block").applyInPandas(_prefixes, PREFIXES))
 
-    # Equal texts have equal prefixes: one row of each text stands for all.
+    # Equal texts have equal prefixes: one row of each text stands for all, one with prefixes if there is any.
     # Written, so that the joins below read it from its own exchange and AQE can split a key with many copies.
+    live = F.min(F.when(F.col("pre1").isNotNull(), F.col("row")))
     classes, classes_path = scratch.table(
-        found.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("label"), F.min("row").alias("rep"))
+        found.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("label"), F.coalesce(live, F.min("row")).alias("rep"))
     )
     labelled, labelled_path = scratch.table(
-        found.select("doc_id", "n", "key1", "key2").join(classes.drop("rep"), ["key1", "key2"], "left")
-        .select("doc_id", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("label"))
+        found.select("doc_id", "digest", "n", "row", "key1", "key2").join(classes, ["key1", "key2"], "left")
+        .select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("label"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("row")).alias("rep"))
     )
     active, active_path = scratch.table(
-        found.where("row is not null").join(classes, ["key1", "key2"]).where("row = rep").withColumn("s", F.size("shared").cast("long"))
+        found.where("pre1 is not null").join(classes, ["key1", "key2"]).where("row = rep").withColumn("s", F.size("shared").cast("long"))
     )
     scratch.drop(found_path, classes_path)
-    lists, lists_path = scratch.table(active.select("row", "label", "n", "s", "odd", F.explode("pre1").alias("token")))
-
-    edges, joined, paths = None, None, []
-    for turn in range(ROUNDS):
-        placed = lists if joined is None else lists.join(joined, lists["label"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "label")).drop("node", "component")
-        pairs, pairs_path = scratch.table(_met(placed, turn) if turn else _met(lists.withColumn("comp", F.col("label")), turn))
-        links, links_path = scratch.table(_verified(pairs, active))
-        paths += [pairs_path, links_path]
-        links = links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        edges = links if edges is None else edges.unionByName(links)
-        joined = connected_components(edges, scratch)
+    lists, lists_path = scratch.table(active.select("row", "n", "s", "odd", F.explode("pre1").alias("token")))
+
+    pairs, pairs_path = scratch.table(_met(lists))
+    links, links_path = scratch.table(_verified(pairs, active))
+    joined = connected_components(links, scratch)
 
     # What is left: pairs of different components that share a token. One of the two isn't of the token's largest component.
     placed, placed_path = scratch.table(
-        lists.join(joined, lists["label"] == joined["node"], "left").select("row", "n", "s", "token", F.coalesce("component", "label").alias("comp"))
+        lists.join(joined, lists["row"] == joined["node"], "left").select("row", "n", "s", "token", F.coalesce("component", "row").alias("comp"))
     )
     mixed = _mixed(placed)
     members = placed.join(mixed, "token").join(active.select("row", "pre1"), "row")
@@ -345,16 +349,28 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
         & _agree("pre1")
     )
     rest = rest.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-    more = _verified(rest, active).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    everything = connected_components(edges.unionByName(more), scratch)
+    everything = connected_components(links.unionByName(_verified(rest, active)), scratch)
+    lowest = everything.join(active.select(F.col("row").alias("node"), "label"), "node").groupBy("component").agg(F.min("label").alias("low"))
+    named, named_path = scratch.table(everything.join(lowest, "component"))
 
-    out = labelled.join(everything, labelled["label"] == everything["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "label").alias("component_id"))
-    nameless = source.where(F.col("doc_id").isNull()).select("doc_id", _set_size()(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    out = scratch.keep(out.unionByName(nameless))
-    scratch.drop(labelled_path, active_path, lists_path, placed_path, *paths)
+    out = labelled.join(named, labelled["rep"] == named["node"], "left")
+    out = scratch.keep(out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("low", "label").alias("component_id"), F.coalesce("component", "rep").alias("member")))
+    scratch.drop(labelled_path, active_path, lists_path, placed_path, pairs_path, links_path, named_path)
     return out
 
 
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
+    source = _source(docs, key, text)
+    out = linked_texts(source.where("doc_id is not null"), scratch).select("doc_id", "n_shingles", "component_id")
+    nameless = source.where("doc_id is null").select("doc_id", _set_size()(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(nameless)
+
+
 def _set_size():
     def sizes(texts: pd.Series) -> pd.Series:
         hasher, out = WordHasher(lower=True), []
@@ -367,11 +383,25 @@ def _set_size():
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without the near duplicates of another: the smallest id of each component stays, and rows with a null id.
+    """One row of each component of near duplicates in `docs`, and all rows with a null id or without a word.
 
-    Only texts whose id may be a removed one meet the removed ids in a shuffle;
-    the others pass by (`split_by_ids`).
+    The row with the smallest id stays, of several the one with the smallest text
+    digest, and of rows with equal id and text any one. What goes is told by id
+    and text, so that an unlike row with the same id stays. Only rows whose id
+    may be a removed one meet the removed ones in a shuffle (`split_by_ids`).
     """
-    gone = near_duplicates(docs, scratch, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    some, rest = split_by_ids(docs, key, gone)
-    return rest.unionByName(some.join(gone.hint("merge"), some[key] == gone["_gone"], "left_anti"))
+    linked = linked_texts(_source(docs, key, text).where("doc_id is not null"), scratch).where("n_shingles > 0")
+    copies = linked.groupBy("member", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    first = copies.groupBy("member").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    marks = copies.join(first, "member").where(~stays | (F.col("copies") > 1))
+    marks = scratch.keep(marks.select(F.col("doc_id").alias("__marked_id"), F.col("digest").alias("__marked_digest"), stays.alias("__one_stays")))
+    meets = lambda rows, told: (rows[key] == told["__marked_id"]) & (text_digest(rows[text]) == told["__marked_digest"])
+    some, rest = split_by_ids(docs, key, marks.select("__marked_id"))
+    out = rest.unionByName(some.join(marks.hint("merge"), meets(some, marks), "left_anti"))
+    repeated = marks.where("__one_stays")
+    if repeated.isEmpty():
+        return out
+    rows = perhaps_in(docs, key, repeated.select("__marked_id"))
+    rows = rows.join(repeated.hint("merge"), meets(rows, repeated)).groupBy("__marked_id", "__marked_digest").agg(F.first(F.struct(*[rows[c] for c in docs.columns])).alias("__row"))
+    return out.unionByName(rows.select("__row.*"))

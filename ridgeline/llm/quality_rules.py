@@ -7,9 +7,9 @@ and hosts whose shrunk rate is over a threshold lose all their documents.
 
 Scale: one Arrow pass over the texts makes five numbers a document; counts by
 host combine on the map side, so a host with a third of all rows costs no more
-than another. The prior is two numbers. Verdicts are joined back by broadcast
-while there are at most `BROADCAST_HOSTS` of them; beyond, hosts are salted so
-that a hot one is spread over `SALTS` tasks.
+than another. The prior is two numbers. Rejected hosts are joined back in one
+plan at every size: Catalyst broadcasts them where their measured size allows,
+else AQE splits a host with many rows.
 
 Defined results: null text is empty and fails the word rule; documents without
 a host get no host verdict; equal rows count one by one; an empty table gives
@@ -19,19 +19,19 @@ columns made here replace those of the same names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.texthash import SPACE, WordHasher, byte_batches, windows
+from ridgeline.llm.texthash import SPACE, WordHasher, give_back, text_groups, windows
 
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 MOST_HOST_RATE = 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 10_000.0
-BROADCAST_HOSTS = 100_000
-SALTS = 64
 WINDOW = 8
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -75,13 +75,16 @@ def text_features(texts: list[bytes], hasher: WordHasher) -> dict[str, np.ndarra
 def feature_column(text: Column) -> Column:
     """A struct of FEATURES, by one Arrow function."""
 
-    def features(texts: pd.Series) -> pd.DataFrame:
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher(lower=False)
-        parts = [pd.DataFrame(text_features(group, hasher)) for _, group in byte_batches(list(texts), 1 << 20)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({x: pd.Series(dtype="int64") for x in FEATURES})
+        for texts in batches:
+            parts = [text_features(group, hasher) for _, group in text_groups(texts, 1 << 19)]
+            columns = [pa.array(np.concatenate([x[name] for x in parts] or [np.zeros(0, np.int64)]).astype(np.int64)) for name in FEATURES]
+            yield pa.StructArray.from_arrays(columns, FEATURES)
+        give_back()
 
-    features.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(features, ", ".join(f"{x} long" for x in FEATURES))(text)
+    features.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(features, ", ".join(f"{x} long" for x in FEATURES))(text)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -90,8 +93,8 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with FEATURES and base_failed."""
-    out = docs.withColumn("_features", feature_column(F.col(text)))
-    out = out.withColumns({x: F.col("_features")[x] for x in FEATURES}).drop("_features")
+    out = docs.withColumn("__features", feature_column(F.col(text)))
+    out = out.withColumns({x: F.col("__features")[x] for x in FEATURES}).drop("__features")
     return out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
@@ -117,16 +120,15 @@ def beta_prior(mean: float | None, spread: float | None, noise: float | None) ->
     return mean * strength, (1 - mean) * strength
 
 
+def rejected_hosts(rates: DataFrame, most_rate: float = MOST_HOST_RATE) -> DataFrame:
+    return rates.where(F.col("shrunk_rate") > most_rate).select(F.col("host").alias("__rejected_host"))
+
+
 def host_verdicts(docs: DataFrame, rates: DataFrame, host: str = "source", most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """`docs` with host_rejected, false for documents without a host."""
-    bad = rates.where(F.col("shrunk_rate") > most_rate).select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        joined = docs.join(F.broadcast(bad), docs[host] == bad["_host"], "left")
-    else:
-        salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_deal", F.pmod(F.xxhash64(*[c for c in docs.columns if c in ("doc_id", "text")] or [host]), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, (dealt[host] == salted["_host"]) & (dealt["_deal"] == salted["_salt"]), "left").drop("_deal", "_salt")
-    return joined.withColumn("host_rejected", F.coalesce("_bad", F.lit(False))).drop("_host", "_bad")
+    bad = rejected_hosts(rates, most_rate)
+    joined = docs.join(bad, docs[host] == bad["__rejected_host"], "left")
+    return joined.withColumn("host_rejected", F.col("__rejected_host").isNotNull()).drop("__rejected_host")
 
 
 def quality_verdicts(docs: DataFrame, scratch, host: str = "source", text: str = "text", most_rate: float = MOST_HOST_RATE) -> DataFrame:
@@ -138,8 +140,8 @@ def quality_verdicts(docs: DataFrame, scratch, host: str = "source", text: str =
 
 def keep_good(docs: DataFrame, scratch, host: str = "source", text: str = "text", most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """The rows of `docs` that pass, with its own columns. The rules run again on the texts, which is cheaper than a shuffle of them."""
-    rates = scratch.keep(host_rates(base_rules(docs.select(host, text), text), host))
-    rated = docs.withColumn("_q", feature_column(F.col(text)))
-    rated = rated.where(~base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words"))).drop("_q")
-    judged = host_verdicts(rated.withColumnsRenamed({"host_rejected": "_own_rejected"}), rates, host, most_rate)
-    return judged.where(~F.col("host_rejected")).drop("host_rejected").withColumnsRenamed({"_own_rejected": "host_rejected"}).select(docs.columns)
+    rates = scratch.keep(host_rates(base_rules(docs.select(F.col(host).alias("source"), F.col(text).alias("text")))))
+    rated = docs.withColumn("__features", feature_column(F.col(text)))
+    rated = rated.where(~base_failed(F.col("__features.n_words"), F.col("__features.n_repeat_words"))).select(docs.columns)
+    bad = rejected_hosts(rates, most_rate)
+    return rated.join(bad, rated[host] == bad["__rejected_host"], "left_anti")

@@ -3,25 +3,49 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
+import re
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILTER_BITS = 1 << 27
+RELEASE_SECONDS = 2.0
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_OWN_ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is configured (tests)."""
+    """The folder that all executors share; a local one only where none is configured and all runs in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _OWN_ROOTS.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="ridgeline-")
+        _OWN_ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for what is run inside; settings that are smaller stay."""
+    before = {}
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            before[name] = now
+            spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -35,12 +59,15 @@ class Scratch:
     the rest goes when the driver ends.
     """
 
+    released = 0.0
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.name = spark, name
 
     def table(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{checkpoint_root(self.spark)}/ridgeline/{self.name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         atexit.register(_forget, self.spark, path)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path), path
@@ -53,9 +80,16 @@ class Scratch:
             _delete(self.spark, path)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that are done."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove the shuffle files of plans that are done, from time to time."""
+        if time.monotonic() - Scratch.released >= RELEASE_SECONDS:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            Scratch.released = time.monotonic()
+
+
+def text_digest(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -65,6 +99,18 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def _bit(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """`rows` with the bits, and whether the key's bit is set: false for keys that aren't in the one column of `ids`, nearly always."""
+    place = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(FILTER_BITS))
+    held = ids.select(place(F.col(ids.columns[0])).alias("place"))
+    bits = held.groupBy(F.shiftright("place", 15).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("__bits"))
+    at = place(key)
+    within = at.bitwiseAND(F.lit(32767))
+    byte = F.ascii(F.decode(F.substring(F.col("__bits"), (F.shiftright(within, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    may = F.coalesce(F.getbit(byte, within.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(bits), F.shiftright(at, 15) == F.col("__bucket"), "left"), may
+
+
 def split_by_ids(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(some, rest): rows of `docs` whose key may be in the one column of `ids`, and rows whose key is not.
 
@@ -74,17 +120,15 @@ def split_by_ids(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame,
     millions of ids the bits fill up and `some` nears all of `docs`; results
     stay the same. Rows with a null key may be in either part.
     """
-    place = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(FILTER_BITS))
-    held = ids.select(place(F.col(ids.columns[0])).alias("place"))
-    bits = held.groupBy(F.shiftright("place", 15).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("__bits"))
-    at = place(docs[key])
-    within = at.bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(within, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(F.getbit(byte, within.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
-    known = docs.join(F.broadcast(bits), F.shiftright(at, 15) == F.col("__bucket"), "left")
+    known, may = _bit(docs, docs[key], ids)
     return known.where(may).select(docs.columns), known.where(~may).select(docs.columns)
 
 
+def perhaps_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key may be in the one column of `ids`: few others are left to meet the ids in a shuffle."""
+    return split_by_ids(rows, key, ids)[0]
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long); component is the smallest node reachable.
 

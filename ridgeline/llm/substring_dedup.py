@@ -1,40 +1,44 @@
 """Substring dedup by paragraph MinHash banding.
 
-Texts are cut into paragraphs of three kinds, all by content alone:
+Paragraphs are of three kinds, all made by content alone:
 
 * lines of at least `LINE_WORDS` words;
-* pieces between words whose hash is largest within `REACH` words on either
-  side, so that a passage pasted into the middle of a line is cut alike
-  wherever it stands. Pieces never cross a change of text;
-* seeds: of every `SEED_WORDS` consecutive windows of `SEED_WORDS` words, the
-  first one with the smallest hash. Any run of `2 * SEED_WORDS - 1` = 51 words
-  holds one, and seeds that follow each other in a run leave no gap.
-
-Paragraphs with equal words meet by hash. For lines, MinHash bands are tuned to
-a recall of 0.99 at the threshold (5-word shingles, Jaccard 0.8); lines that
-share a band are joined and verified on their exact shingle sets, and links
-make components. A piece has so few shingles that one other word inside it puts it
-under the threshold, so its one band is the hash of all its words.
+* segments between words whose hash is largest within `REACH` words on either
+  side, whatever the line breaks: about 2 * REACH + 1 words each, and every word
+  is in one, so that short lines, other wrapping and passages pasted into a line
+  meet as well;
+* sliding blocks of `2 * SEED_WORDS - 1` = 51 words. A block's MinHash over its
+  windows of `SEED_WORDS` words is one band of one row, its seed: equal blocks
+  have equal seeds, and neighbouring blocks mostly share theirs.
+
+Lines and segments have MinHash bands over 5-word shingles, tuned to a recall
+of 0.99 at Jaccard 0.8. Paragraphs that share a band are joined: each with the
+band's first one, and their exact shingle sets are compared; links make
+components. Where a band then still holds paragraphs of several components that
+have not been compared, the prefix-filtered exact join does that, so that no
+band makes all its pairs and none is cut short. Equal paragraphs share all bands
+and are folded to one before.
 
 A component that occurs in two documents or more repeats. It stays in the
 document with the smallest id and goes from the others. Seeds at the ends of
 a repeated run are extended word by word, as far as another document on the
 right side of the verdict (a smaller id for words that go) has the same words:
 hashes of the 1 to `SEED_WORDS - 1` words beside the seed are met by equality,
-so a hot seed makes no pairs. Neighbouring occurrences are merged to passages, and those of at least `PASSAGE_WORDS` words
-are removed.
+so a hot seed makes no pairs. Neighbouring occurrences are merged to passages,
+and those of at least `PASSAGE_WORDS` words are removed.
 
 Scale: one Arrow pass makes a row of numbers for each paragraph; counts combine
-on the map side and joins are on paragraph hashes, which AQE splits where one
-is hot (a line that a third of all documents hold). Bands keep one row for each
-distinct line. Only lines that share a band with a different one are fetched
-and verified, and the verifying join is the prefix-filtered one, so a group of
-colliding lines doesn't make all its pairs.
+on the map side and joins are on paragraph hashes or bands, which AQE splits
+where one is hot (a line that a third of all documents hold). A bit filter sets
+paragraphs aside that share no hash or band with another, before the joins.
+Only paragraphs that share a band with a different one are read again, from
+the documents that the filter lets through.
 
 Defined results: null and empty texts have no paragraphs; rows with a null id
 take no part in the search and stay whole; rows that share an id count as one
-document; repeats inside one document only are left alone; an empty table gives
-an empty result; extra columns pass through.
+document when repeats are counted, but each text is cut at its own passages only
+(rows are told by id and text digest); repeats inside one document only are left
+alone; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -43,27 +47,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ridgeline.llm.ngram_join import near_duplicates
-from ridgeline.llm.shared import Scratch, split_by_ids
-from ridgeline.llm.texthash import WordHasher, byte_batches, mix, windows
+from ridgeline.llm.shared import Scratch, connected_components, perhaps_in, split_by_ids, text_digest
+from ridgeline.llm.texthash import WordHasher, byte_batches, give_back, mix, shingles, text_groups, windows
 
 THRESHOLD_PERCENT = 80
 RECALL = 0.99
-MOST_HASHES = 16
+MOST_HASHES = 21
 LINE_WORDS = 20
-REACH = 5
+REACH = 24
 PASSAGE_WORDS = 20
 SEED_WORDS = 26
 JOIN_GAP = 6
 SHINGLE = 5
 
-OCCURRENCES = "kind int, hash long, doc_id long, first int, words int, start int, end int"
-BESIDE = "doc_id long, first int, side int, kept boolean, hash long, low long, high long, asks boolean, level int, byte int, key long"
-LINES = "hash long, doc_id long, start int, end int, bands array<long>"
+SEGMENT, LINE, SEED = 0, 1, 2
+OCCURRENCES = "kind int, hash long, doc_id long, digest long, first int, words int, start int, end int, bands array<long>"
+BESIDE = "doc_id long, digest long, first int, side int, kept boolean, hash long, low long, high long, asks boolean, level int, byte int, key long"
+SETS = "hash long, n long, shingles array<long>, text string"
+
+
+_SALTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
 
 def tuned_bands(threshold: float = THRESHOLD_PERCENT / 100, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -80,17 +89,26 @@ def tuned_bands(threshold: float = THRESHOLD_PERCENT / 100, recall: float = RECA
     return best[1], best[2]
 
 
+def _highest(x: np.ndarray, size: int) -> np.ndarray:
+    """The maximum of each `size` values from a place on."""
+    span = 1
+    while span < size:  # spans double, and the last two overlap
+        step = min(span, size - span)
+        x, span = np.maximum(x[:-step], x[step:]), span + step
+    return x
+
+
 def _cuts(hashes: np.ndarray, text: np.ndarray, reach: int) -> np.ndarray:
-    """Whether a piece begins at each word: the first of a text, or the one after a word with the largest hash within reach."""
-    n = len(hashes)
-    begins = np.ones(n, bool)
+    """Whether a segment begins at each word: the first of a text, or the one after a word with the largest hash within reach in its text."""
+    begins = np.ones(len(hashes), bool)
     begins[1:] = text[1:] != text[:-1]
-    if n > 1:
-        local = mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A))
-        top = np.ones(n, bool)
-        for k in range(1, reach + 1):  # windows see other texts' words only near a text's ends, where cuts don't matter
-            top[k:] &= local[k:] > local[:-k]
-            top[:-k] &= local[:-k] > local[k:]
+    if len(hashes) > 1:
+        # Zeros between texts, so that cuts don't depend on the texts beside.
+        place = np.arange(len(hashes)) + reach * np.cumsum(begins)
+        padded = np.zeros(int(place[-1]) + reach + 1, np.uint64)
+        padded[place] = mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)) | np.uint64(1)
+        around, own = _highest(padded, reach), padded[place]
+        top = (own > around[place - reach]) & (own > around[place + 1])
         begins[1:] |= top[:-1]
     return begins
 
@@ -129,41 +147,57 @@ def _line_begins(raw: bytes, words, n_texts: int, bounds: np.ndarray) -> np.ndar
     return begins
 
 
-def _blocks(batches: Iterator[pd.DataFrame]):
-    hasher = WordHasher(lower=True)
-    for batch in batches:
-        ids = batch["doc_id"].to_numpy(np.int64)
-        for at, texts in byte_batches(list(batch["text"]), 1 << 20):
-            words = hasher.words(texts)
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))
-            yield ids[at : at + len(texts)], texts, words, _line_begins(b"".join(texts), words, len(texts), bounds[:-1])
+def _signatures(found: np.ndarray, first: np.ndarray, after: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A row of band keys for each span of words; found: hashes of the SHINGLE-word windows."""
+    size = after - first - (SHINGLE - 1)
+    heads = np.cumsum(size) - size
+    inside = found[np.repeat(first - heads, size) + np.arange(size.sum())]
+    keys = np.empty((len(first), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(first), b, np.uint64)
+        for r in range(b * rows, (b + 1) * rows):
+            key = mix(key ^ np.minimum.reduceat(inside * _SALTS[r], heads))
+        keys[:, b] = key
+    return keys
+
 
+def _paragraphs(bands: int, rows: int):
+    """All paragraphs of texts, as OCCURRENCES."""
+    names = [x.split()[0] for x in OCCURRENCES.split(", ")]
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for ids, _, words, line in _blocks(batches):
+    def batch_of(words, line: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> pa.RecordBatch:
         position = np.arange(len(words.hash)) - np.searchsorted(words.text, words.text)
         found = windows(words.hash, SEED_WORDS)
         seeds = _seeds(found, words.text)
-        spans = [(2, seeds, seeds + SEED_WORDS, found[seeds])]
-        for kind, begins, least in ((0, _cuts(words.hash, words.text, REACH), SHINGLE), (1, line, LINE_WORDS)):
+        spans = [(SEED, seeds, seeds + SEED_WORDS, found[seeds])]
+        for kind, begins, least in ((SEGMENT, _cuts(words.hash, words.text, REACH), SHINGLE), (LINE, line, LINE_WORDS)):
             first, after, value = _spans(begins, words.hash)
             keep = after - first >= least
             spans.append((kind, first[keep], after[keep], value[keep]))
-        out = [
-            pd.DataFrame(
-                {
-                    "kind": np.full(len(first), kind, np.int32),
-                    "hash": value.view(np.int64),
-                    "doc_id": ids[words.text[first]],
-                    "first": position[first].astype(np.int32),
-                    "words": (after - first).astype(np.int32),
-                    "start": words.start[first].astype(np.int32),
-                    "end": words.end[after - 1].astype(np.int32),
-                }
-            )
-            for kind, first, after, value in spans
-        ]
-        yield pd.concat(out, ignore_index=True)
+        kind = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in spans])
+        first, after, value = (np.concatenate([x[k] for x in spans]) for k in (1, 2, 3))
+        shingled = windows(words.hash, SHINGLE)
+        keyed = np.concatenate([_signatures(shingled, a, b, bands, rows) for _, a, b, _ in spans[1:] if len(a)] or [np.zeros((0, bands), np.uint64)])
+        none = len(seeds)
+        offsets = np.concatenate([np.zeros(none, np.int32), np.arange(len(keyed) + 1, dtype=np.int32) * bands])
+        signatures = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keyed.reshape(-1).view(np.int64)))
+        text = words.text[first]
+        columns = [kind, value.view(np.int64), ids[text], digests[text], position[first].astype(np.int32), (after - first).astype(np.int32), words.start[first].astype(np.int32), words.end[after - 1].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), signatures], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            ids, digests = batch.column("doc_id").to_numpy(), batch.column("digest").to_numpy()
+            for at, texts in text_groups(batch.column("text"), 1 << 19):
+                words = hasher.words(texts)
+                if len(words.hash):
+                    bounds = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))
+                    line = _line_begins(b"".join(texts), words, len(texts), bounds[:-1])
+                    yield batch_of(words, line, ids[at : at + len(texts)], digests[at : at + len(texts)])
+        give_back()
+
+    return run
 
 
 def _beside(all_levels: bool):
@@ -176,14 +210,11 @@ def _beside(all_levels: bool):
             for at, texts in byte_batches(list(batch["text"]), 1 << 20):
                 words, rows = hasher.words(texts), batch.iloc[at : at + len(texts)]
                 text = np.repeat(np.arange(len(texts)), rows["first"].map(len).to_numpy())
-                ends = pd.DataFrame({c: np.concatenate(rows[c].to_list()) for c in columns[1:8]})
+                ends = pd.DataFrame({c: np.concatenate(rows[c].to_list()) for c in columns[2:9]})
+                ends.insert(0, "digest", rows["digest"].to_numpy(np.int64)[text])
                 ends.insert(0, "doc_id", rows["doc_id"].to_numpy(np.int64)[text])
                 begin, after = (np.searchsorted(words.text, text, way) for way in ("left", "right"))
                 place = begin + ends["first"].to_numpy(np.int64)
-                # Rows that share an id may have other words there.
-                same = place + SEED_WORDS <= after
-                same[same] = windows(words.hash, SEED_WORDS)[place[same]].view(np.int64) == ends["hash"].to_numpy(np.int64)[same]
-                ends, begin, after, place = ends[same], begin[same], after[same], place[same]
                 left = ends["side"].to_numpy() == 0
                 most = np.minimum(np.where(left, place - begin, after - place - SEED_WORDS), SEED_WORDS - 1)
                 key = mix(ends["hash"].to_numpy(np.int64).view(np.uint64) + ends["side"].to_numpy().astype(np.uint64))
@@ -201,21 +232,22 @@ def _beside(all_levels: bool):
 
 
 def _read_beside(source: DataFrame, ends: DataFrame, scratch: Scratch, all_levels: bool) -> tuple[DataFrame, str]:
-    names = [x.split()[0] for x in BESIDE.split(", ")][1:8]
-    some, _ = split_by_ids(source, "doc_id", ends.select("doc_id"))
-    grouped = ends.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("end")).select("doc_id", *[F.col(f"end.{c}").alias(c) for c in names])
-    return scratch.table(some.join(grouped.hint("merge"), "doc_id").mapInPandas(_beside(all_levels), BESIDE))
+    names = [x.split()[0] for x in BESIDE.split(", ")][2:9]
+    some = perhaps_in(source, "doc_id", ends.select("doc_id"))
+    grouped = ends.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*names)).alias("end")).select("doc_id", "digest", *[F.col(f"end.{c}").alias(c) for c in names])
+    # Rows with equal id and text have equal surroundings.
+    return scratch.table(some.join(grouped.hint("merge"), ["doc_id", "digest"]).mapInPandas(_beside(all_levels), BESIDE))
 
 
 def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
     """Occurrences of the words by which repeated runs go on beyond their first and last seeds.
 
-    seeds: all occurrences of repeated seeds, (doc_id, first, hash, kept). Most
+    seeds: all occurrences of repeated seeds, (doc_id, digest, first, hash, kept). Most
     have the same SEED_WORDS - 1 words beside them as another one; of such
     equals, only the one with the smallest and the one with the largest id are
     compared with the others word by word.
     """
-    row = Window.partitionBy("doc_id", "kept").orderBy("first")
+    row = Window.partitionBy("doc_id", "digest", "kept").orderBy("first")
     open_side = lambda x, side: F.when(x.isNull() | (x > SEED_WORDS), F.lit(side))
     sides = F.array_compact(F.array(open_side(F.col("first") - F.lag("first").over(row), 0), open_side(F.lead("first").over(row) - F.col("first"), 1)))
     marked, marked_path = scratch.table(seeds.withColumn("asked", sides))
@@ -234,105 +266,113 @@ def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     beside, beside_path = _read_beside(source, deputies, scratch, True)
     shared = beside.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
     held = beside.where("asks").drop("low", "high").join(shared, "key").where("if(kept, most > doc_id, least < doc_id)")
-    place = ["doc_id", "first", "side", "kept", "hash"]
+    place = ["doc_id", "digest", "first", "side", "kept", "hash"]
     found = held.groupBy(*place).agg(F.max(F.struct("level", "byte")).alias("at")).select(*place, "at.level", "at.byte")
     found = found.unionByName(told.where(F.col("asks") & ~alone).select(*place, "level", "byte"))
     first = F.when(F.col("side") == 0, F.col("first") - F.col("level")).otherwise(F.col("first") + SEED_WORDS)
-    out = scratch.keep(found.select("doc_id", first.alias("first"), F.col("level").alias("words"), F.col("byte").alias("start"), F.col("byte").alias("end"), F.col("hash").alias("component"), "kept"))
+    out = scratch.keep(found.select("doc_id", "digest", first.alias("first"), F.col("level").alias("words"), F.col("byte").alias("start"), F.col("byte").alias("end"), F.col("hash").alias("component"), "kept"))
     scratch.drop(told_path, beside_path)
     return out
 
 
-def _signatures(bands: int, rows: int):
-    salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, _, words, line in _blocks(batches):
-            first, after, value = _spans(line, words.hash)
-            found = windows(words.hash, SHINGLE)
-            keep = after - first >= LINE_WORDS
-            first, after, value = first[keep], after[keep], value[keep]
-            if not len(first):
-                continue
-            # All windows of a line, and none that cross its end.
-            size = after - first - (SHINGLE - 1)
-            at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            heads = np.cumsum(size) - size
-            lows = [np.minimum.reduceat(mix(found[at] ^ salt), heads) for salt in salts]
-            columns = []
-            for b in range(bands):
-                band = np.full(len(first), b, np.uint64)
-                for low in lows[b * rows : (b + 1) * rows]:
-                    band = mix(band ^ low)
-                columns.append(band.view(np.int64))
-            yield pd.DataFrame(
-                {
-                    "hash": value.view(np.int64),
-                    "doc_id": ids[words.text[first]],
-                    "start": words.start[first].astype(np.int32),
-                    "end": words.end[after - 1].astype(np.int32),
-                    "bands": list(np.stack(columns, axis=1)),
-                }
-            )
-
-    return run
-
-
-def near_lines(source: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of line hashes that link to a different line."""
-    bands, rows = tuned_bands()
-    lines = source.mapInPandas(_signatures(bands, rows), LINES)
-    # Equal lines have equal bands: one of them stands for all.
-    distinct = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end", "bands")).alias("at"))
-    banded, banded_path = scratch.table(distinct.select("hash", "at.doc_id", "at.start", "at.end", F.explode("at.bands").alias("band")))
-    shared = banded.groupBy("band").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("band")
-    wanted, wanted_path = scratch.table(banded.join(shared, "band").select("hash", F.col("doc_id").alias("_doc"), "start", "end").distinct())
-    scratch.drop(banded_path)
-    texts = wanted.join(source, F.col("_doc") == F.col("doc_id"))
-    # Offsets are bytes of the UTF-8 text.
-    line = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
-    colliding, colliding_path = scratch.table(texts.select(F.col("hash").alias("doc_id"), line.alias("text")))
-    verified = near_duplicates(colliding, scratch)
-    out = scratch.keep(verified.where("component_id <> doc_id").select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")))
-    scratch.drop(wanted_path, colliding_path)
-    return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SETS of some spans (hashes, starts, ends: bytes) of each text."""
+    hasher = WordHasher(lower=True)
+    for batch in batches:
+        for r in batch.itertuples():
+            raw = r.text.encode("utf-8", "surrogatepass")
+            spans = [raw[a:b] for a, b in zip(r.starts, r.ends, strict=True)]
+            names = np.asarray(r.hashes, np.int64)
+            for at, own in byte_batches(spans, 1 << 20):
+                of, token = shingles(hasher.words(own), len(own), SHINGLE)
+                cuts = np.searchsorted(of, np.arange(len(own) + 1))
+                signed = token.view(np.int64)
+                yield pd.DataFrame(
+                    {
+                        "hash": names[at : at + len(own)],
+                        "n": np.diff(cuts),
+                        "shingles": [signed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                        "text": [x.decode("utf-8", "replace") for x in own],
+                    }
+                )
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of paragraphs whose exact sets are similar enough."""
+    side = lambda x: sets.select(F.col("hash").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(100 * common >= THRESHOLD_PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def near_paragraphs(source: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of hashes of lines and segments that link to a different one: band, join by band, verify, connect."""
+    banded = found.where(F.col("kind") != SEED).select("hash", "doc_id", "digest", "start", "end", F.explode("bands").alias("band"))
+    # 31 bits of the hashes tell whether a band has different ones.
+    some_bits = F.shiftright("hash", 33).cast("int")
+    collides = banded.groupBy("band").agg(F.min(some_bits).alias("low"), F.max(some_bits).alias("high")).where("low <> high").select("band")
+    collides, collides_path = scratch.table(collides)
+    at = F.min(F.struct("doc_id", "digest", "start", "end")).alias("at")
+    members, members_path = scratch.table(perhaps_in(banded, "band", collides).join(collides, "band").groupBy("band", "hash").agg(at))
+    places = members.groupBy("hash").agg(F.min("at").alias("at")).select("hash", "at.*")
+    places = places.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("hash", "start", "end")).alias("p"))
+    places, places_path = scratch.table(places.select("doc_id", "digest", F.col("p.hash").alias("hashes"), F.col("p.start").alias("starts"), F.col("p.end").alias("ends")))
+    texts = perhaps_in(source, "doc_id", places.select("doc_id")).join(places.hint("merge"), ["doc_id", "digest"])
+    sets, sets_path = scratch.table(texts.mapInPandas(_shingle_sets, SETS).dropDuplicates(["hash"]))
+    scratch.drop(collides_path, places_path)
+
+    heads, heads_path = scratch.table(members.groupBy("band").agg(F.min("hash").alias("head")))
+    others = members.select("band", "hash").join(heads, "band").where("hash <> head")
+    links, links_path = scratch.table(_alike(others.select(F.col("head").alias("a"), F.col("hash").alias("b")).distinct(), sets))
+    joined = connected_components(links, scratch)
+    # Members of a band other than its first that are of different components have not been compared.
+    placed, placed_path = scratch.table(others.join(joined, F.col("hash") == F.col("node"), "left").select("band", "hash", F.coalesce("component", "hash").alias("comp")))
+    open_bands = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
+    rest, rest_path = scratch.table(sets.join(placed.join(open_bands, "band").select("hash").distinct(), "hash").select(F.col("hash").alias("doc_id"), "text"))
+    if not rest.isEmpty():
+        more = near_duplicates(rest, scratch).where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+        joined = connected_components(links.unionByName(more), scratch)
+    scratch.drop(members_path, sets_path, heads_path, links_path, placed_path, rest_path)
+    return joined
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, first, n_words, start, end, component_id, kept): passages that repeat across documents.
+    """(doc_id, digest, first, n_words, start, end, component_id, kept): passages that repeat across documents.
 
     first and n_words count words; start and end are bytes of the UTF-8 text.
     component_id is the smallest paragraph component in the passage; kept is
     true in the document where it stays.
     """
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found, found_path = scratch.table(source.mapInPandas(_occurrences, OCCURRENCES))
-    pieces, lines = found, found.where("kind = 1")
-    repeats = pieces.groupBy("hash").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
-    hits = pieces.join(repeats, "hash").withColumn("component", F.col("hash"))
-    near = lines.join(near_lines(source, scratch), F.col("hash") == F.col("node")).drop("node")
-    origins = near.groupBy("component").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
-    hits = hits.unionByName(near.join(origins, "component"))
-    place = ["doc_id", "first", "words", "start", "end", "component"]
-    hits = hits.select(*place, (F.col("doc_id") == F.col("origin")).alias("kept"), (F.col("kind") == 2).alias("seed"))
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    found, found_path = scratch.table(source.mapInArrow(_paragraphs(*tuned_bands()), OCCURRENCES))
+    repeats = found.groupBy("hash").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
+    repeats, repeats_path = scratch.table(repeats)
+    near = near_paragraphs(source, found, scratch)
+    place = ["doc_id", "digest", "first", "words", "start", "end"]
+    found = found.select("kind", "hash", *place)
+    equal = perhaps_in(found, "hash", repeats.select("hash")).join(repeats, "hash").withColumn("component", F.col("hash"))
+    alike, alike_path = scratch.table(perhaps_in(found.where(F.col("kind") != SEED), "hash", near.select("node")).join(near, F.col("hash") == F.col("node")).drop("node"))
+    origins = alike.groupBy("component").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
+    hits = equal.unionByName(alike.join(origins, "component"))
+    hits = hits.select(*place, "component", (F.col("doc_id") == F.col("origin")).alias("kept"), (F.col("kind") == SEED).alias("seed"))
     hits, hits_path = scratch.table(hits.distinct())
-    scratch.drop(found_path)
-    seeds = hits.where("seed").select("doc_id", "first", F.col("component").alias("hash"), "kept")
+    scratch.drop(found_path, repeats_path, alike_path)
+    seeds = hits.where("seed").select("doc_id", "digest", "first", F.col("component").alias("hash"), "kept")
     hits = hits.drop("seed").unionByName(extensions(source, seeds, scratch))
     # Neighbouring occurrences of the same verdict make a passage: gaps and islands in each document.
-    before = Window.partitionBy("doc_id", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc_id", "digest", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "digest", "kept").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, 0)
     reached = F.max(F.col("first") + F.col("words")).over(before)
     islands = hits.withColumn("_new", (F.coalesce(reached, F.lit(-(2**30))) + JOIN_GAP < F.col("first")).cast("int"))
     islands = islands.withColumn("_island", F.sum("_new").over(upto))
-    passages = islands.groupBy("doc_id", "kept", "_island").agg(
+    passages = islands.groupBy("doc_id", "digest", "kept", "_island").agg(
         F.min("first").alias("first"),
         (F.max(F.col("first") + F.col("words")) - F.min("first")).alias("n_words"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.min("component").alias("component_id"),
     )
-    out = passages.where(F.col("n_words") >= least_words).select("doc_id", "first", "n_words", "start", "end", "component_id", "kept")
+    out = passages.where(F.col("n_words") >= least_words).select("doc_id", "digest", "first", "n_words", "start", "end", "component_id", "kept")
     out = scratch.keep(out)
     scratch.drop(hits_path)
     return out
@@ -350,15 +390,16 @@ def without_spans(text, spans):
 def drop_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least_words: int = PASSAGE_WORDS) -> DataFrame:
     """`docs` without its repeated passages; texts without any are untouched. A column n_chars is set to the new length.
 
-    Only texts whose id may be that of a removed passage meet the passages in a
+    A text is cut only at passages of a row with its id and its digest. Only
+    texts whose id may be that of a removed passage meet the passages in a
     shuffle; the others pass by (`split_by_ids`).
     """
     gone = repeated_passages(docs, scratch, key, text, least_words).where(~F.col("kept"))
-    spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = gone.groupBy(F.col("doc_id").alias("__cut_id"), F.col("digest").alias("__cut_digest")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
     some, rest = split_by_ids(docs, key, gone.select("doc_id"))
-    joined = some.join(spans.hint("merge"), some[key] == spans["_id"], "left")
-    untouched = spans["_spans"].isNull()
-    new_text = F.when(untouched, some[text]).otherwise(without_spans(some[text], spans["_spans"]))
+    joined = some.join(spans.hint("merge"), (some[key] == spans["__cut_id"]) & (text_digest(some[text]) == spans["__cut_digest"]), "left")
+    untouched = spans["__cuts"].isNull()
+    new_text = F.when(untouched, some[text]).otherwise(without_spans(some[text], spans["__cuts"]))
     new = {text: new_text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(untouched, some["n_chars"]).otherwise(F.length(new_text).cast(docs.schema["n_chars"].dataType))

@@ -9,10 +9,12 @@ and the base has an inverse), and a finaliser mixes the result.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,13 +53,13 @@ class Words(NamedTuple):
 class WordHasher:
     """Hashes the words of texts, in slices of bounded size that are cut at white space."""
 
-    def __init__(self, lower: bool, slice_bytes: int = 1 << 20) -> None:
+    def __init__(self, lower: bool, slice_bytes: int = 1 << 18) -> None:
         self.table, self.slice_bytes = _byte_table(lower), slice_bytes
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, self.slice_bytes + 4096)
+            size = max(n, min(2 * len(self.powers), self.slice_bytes + 4096))
             with np.errstate(over="ignore"):
                 self.powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, _BASE, np.uint64))))
                 self.inverses = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, _INVERSE, np.uint64))))
@@ -149,6 +151,32 @@ def shingles(words: Words, n_texts: int, size: int) -> tuple[np.ndarray, np.ndar
     return text[new], value[new]
 
 
+def text_groups(texts: pa.Array, most_bytes: int, most_rows: int = 20_000) -> Iterator[tuple[int, list[bytes]]]:
+    """The same for an Arrow array of strings, read from its buffers: no text becomes a Python string."""
+    if not len(texts):
+        return
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, places, data = texts.buffers()
+    at = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = memoryview(data) if data is not None else memoryview(b"")
+    gone = np.asarray(texts.is_null()) if texts.null_count else None
+    first = 0
+    while first < len(texts):
+        last = min(int(np.searchsorted(at, at[first] + most_bytes, "right")) - 1, first + most_rows, len(texts))
+        last = max(last, first + 1)
+        yield first, [b"" if gone is not None and gone[k] else bytes(raw[at[k] : at[k + 1]]) for k in range(first, last)]
+        first = last
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and what a stage held would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def byte_batches(texts: list, most_bytes: int, most_rows: int = 20_000) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, UTF-8 texts) of consecutive rows with at most so many bytes, or one row; null is empty."""
     at, size, group = 0, 0, []
