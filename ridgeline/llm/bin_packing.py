@@ -5,9 +5,14 @@ of several permitted capacities. Items are dealt to packing groups by hash and
 each group is packed best fit decreasing:
 
 * an item goes to the open bin with the least room that still holds it;
-* if none does, a bin is opened whose capacity costs least for what it is
-  expected to hold: (capacity + bin cost) divided by the smaller of the
-  capacity and the item plus all smaller items still to come;
+* if none does, a bin is opened whose capacity costs least a unit of what it is
+  expected to hold, which is found by filling each permitted capacity with the
+  items still to come, largest first. A bin of capacity c costs
+  `BIN_COST` + c + c * c / `SQUARE_COST`: sequences cost their length, and
+  attention its square, so a long bin has to be needed or be filled better;
+* that choice looks at one bin at a time, so a group is packed once with each
+  mix of permitted capacities that has the largest, and the mix of least total
+  cost is taken;
 * at the end each bin is cut down to the smallest permitted capacity that
   holds its contents.
 
@@ -28,7 +33,8 @@ columns aren't used.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -37,6 +43,8 @@ from pyspark.sql import functions as F
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 BIN_COST = 32
+SQUARE_COST = 16384
+LOOKAHEAD = 32
 GROUP_ITEMS = 8192
 PACKED = "doc_id long, piece int, piece_start long, length long, bin_group int, bin_id long, bin_offset long, bin_capacity int, bin_used long, n_pieces int"
 
@@ -45,25 +53,37 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def opening_capacity(length: int, rest: int, capacities: tuple[int, ...], bin_cost: int) -> int:
-    """The permitted capacity of least cost a unit, for an item and the total of what may join it."""
+def bin_cost_of(capacity: int, bin_cost: int = BIN_COST) -> float:
+    return bin_cost + capacity + capacity * capacity / SQUARE_COST
+
+
+def expected_fill(room: int, rising: list[int], totals: list[int], count: int) -> int:
+    """What the first `count` of the rising lengths put into a room, the largest that fits first; after LOOKAHEAD items, all that there is."""
+    filled = 0
+    for _ in range(LOOKAHEAD):
+        if totals[count] <= room - filled:
+            return filled + totals[count]
+        count = bisect_right(rising, room - filled, 0, count)
+        if not count or not rising[count - 1]:
+            return filled
+        count -= 1
+        filled += rising[count]
+    return filled + min(room - filled, totals[count])
+
+
+def opening_capacity(length: int, rising: list[int], totals: list[int], count: int, capacities: tuple[int, ...], bin_cost: int) -> int:
+    """The permitted capacity of least cost a unit of what it is expected to hold: an item, and some of the `count` smaller ones."""
     fitting = [c for c in capacities if c >= length]
-    return min(fitting, key=lambda c: ((c + bin_cost) / max(1, min(c, length + rest)), c))
+    return min(fitting, key=lambda c: (bin_cost_of(c, bin_cost) / max(1, length + expected_fill(c - length, rising, totals, count)), c))
 
 
-def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin of each item, offset of each item, capacity of each bin) for lengths up to the largest capacity."""
-    capacities = tuple(sorted(capacities))
-    order = np.lexsort((np.arange(len(lengths)), -lengths))
-    smaller = int(lengths.sum())
+def _pack_mix(lengths: np.ndarray, order: np.ndarray, rising: list[int], totals: list[int], capacities: tuple[int, ...], bin_cost: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     which, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    opened: list[int] = []
     used: list[int] = []
     at_room: dict[int, list[int]] = {}  # room left: bins with it
     rooms: list[int] = []  # sorted, each once
-    for item in order.tolist():
+    for done, item in enumerate(order.tolist()):
         length = int(lengths[item])
-        smaller -= length
         place = bisect_left(rooms, length)
         if place < len(rooms):
             room = rooms[place]
@@ -72,8 +92,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost
             if not bins:
                 del at_room[room], rooms[place]
         else:
-            chosen, room = len(opened), opening_capacity(length, smaller, capacities, bin_cost)
-            opened.append(room)
+            chosen, room = len(used), opening_capacity(length, rising, totals, len(order) - done - 1, capacities, bin_cost)
             used.append(0)
         which[item], offset[item] = chosen, used[chosen]
         used[chosen] += length
@@ -82,8 +101,24 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost
             at_room[left] = []
             insort(rooms, left)
         at_room[left].append(chosen)
-    final = [capacities[bisect_left(capacities, u)] for u in used]
-    return which, offset, np.array(final, np.int64)
+    return which, offset, used
+
+
+def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin of each item, offset of each item, capacity of each bin) for lengths up to the largest capacity."""
+    capacities = tuple(sorted(capacities))
+    order = np.lexsort((np.arange(len(lengths)), -lengths))
+    rising = lengths[order][::-1].tolist()
+    totals = [0, *np.cumsum(rising).tolist()]
+    best = None
+    for size in range(len(capacities)):
+        for some in combinations(capacities[:-1], size):
+            which, offset, used = _pack_mix(lengths, order, rising, totals, (*some, capacities[-1]), bin_cost)
+            final = np.array([capacities[bisect_left(capacities, u)] for u in used], np.int64)
+            cost = float(sum(bin_cost_of(int(c), bin_cost) for c in final))
+            if best is None or cost < best[0]:
+                best = cost, which, offset, final
+    return best[1:]
 
 
 def _pack_group(capacities: tuple[int, ...], bin_cost: int):
@@ -132,13 +167,3 @@ def pack_documents(
         place = F.coalesce("doc_id", F.monotonically_increasing_id())
         dealt = items.withColumn("_group", F.pmod(F.xxhash64(place, F.col("length")), F.lit(groups)).cast("int"))
     return dealt.groupBy("_group").applyInPandas(_pack_group(tuple(sorted(capacities)), bin_cost), PACKED)
-
-
-def bin_summary(packed: DataFrame) -> DataFrame:
-    """One row for each bin: capacity, used, fill and its document ids in place order."""
-    return packed.groupBy("bin_id").agg(
-        F.first("bin_capacity").alias("bin_capacity"),
-        F.first("bin_used").alias("bin_used"),
-        F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", "piece"))).alias("items"),
-    )
-

@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
-A record is a JSON text of any layout. Its nested field paths (without values
-and scalar types) are hashed to a fingerprint, and the fingerprint selects a
-declarative mapping to canonical turns:
+A record is a JSON text of any layout. Those of its nested field paths that any
+mapping uses (without values and scalar types) are hashed to a fingerprint, and
+the fingerprint selects a declarative mapping to canonical turns. Other fields
+(ids, names, sources) don't matter. Where the paths fit no mapping as a whole,
+the one with most paths that are all there is taken:
 
 * `prompt`: one text, and a completion beside it;
 * `instruction`: an instruction with optional input and system text, and an output;
@@ -16,7 +18,7 @@ Scale: everything is row-wise over records, in the JVM. The fingerprint table
 has a row for each known layout, whatever the input; it is a CASE expression.
 
 Defined results: null or invalid JSON, and layouts without a mapping, give no
-turns and `layout` null; null texts are empty; a null role is `user`; an empty
+turns and `layout` null (`unmapped` counts them by fingerprint); null texts are empty; a null role is `user`; an empty
 table gives an empty result; extra columns pass through.
 """
 
@@ -57,6 +59,8 @@ LAYOUTS = (
     Layout("question_answer", ("answer", "question"), (("question", "user"), ("answer", "assistant"))),
     Layout("instruction", ("instruction", "output"), (("instruction", "user"), ("output", "assistant"))),
     Layout("instruction_input", ("input", "instruction", "output"), (("instruction", "user"), ("input", "user"), ("output", "assistant"))),
+    Layout("instruction_system", ("instruction", "output", "system"), (("system", "system"), ("instruction", "user"), ("output", "assistant"))),
+    Layout("instruction_input_system", ("input", "instruction", "output", "system"), (("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant"))),
     Layout("nested_prompt", ("data", "data.completion", "data.prompt"), (("data.prompt", "user"), ("data.completion", "assistant"))),
     Layout("messages", ("messages", "messages[].content", "messages[].role"), items=("messages", "role", "content")),
     Layout("message_texts", ("messages", "messages[].role", "messages[].text"), items=("messages", "role", "text")),
@@ -128,14 +132,25 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """`records` with fingerprint, layout (null: unknown) and turns."""
-    parsed = records.withColumn("_v", F.try_parse_json(F.col(record)))
-    parsed = parsed.withColumn("fingerprint", fingerprint(schema_paths(F.schema_of_variant("_v"))))
-    known = F.col("fingerprint")
-    layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    parsed = records.withColumn("__parsed", F.try_parse_json(F.col(record)))
+    used = F.array(*[F.lit(x) for x in sorted({p for each in LAYOUTS for p in each.paths})])
+    parsed = parsed.withColumn("__paths", F.array_intersect(schema_paths(F.schema_of_variant("__parsed")), used))
+    parsed = parsed.withColumn("fingerprint", fingerprint(F.col("__paths")))
+    layout = F.lit(None).cast("string")
+    for each in sorted(LAYOUTS, key=lambda x: len(x.paths)):  # the last that matches is taken
+        there = F.size(F.array_except(F.array(*[F.lit(p) for p in each.paths]), F.col("__paths"))) == 0
+        layout = F.when(there, F.lit(each.name)).otherwise(layout)
     for each in LAYOUTS:
-        match = known == _known(each)
-        layout, turns = F.when(match, F.lit(each.name)).otherwise(layout), F.when(match, _turns(each, F.col("_v"))).otherwise(turns)
-    return parsed.withColumns({"layout": layout, "turns": F.coalesce(turns, F.array().cast(TURNS))}).drop("_v")
+        layout = F.when(F.col("fingerprint") == _known(each), F.lit(each.name)).otherwise(layout)
+    parsed, turns = parsed.withColumn("layout", layout), F.array().cast(TURNS)
+    for each in LAYOUTS:
+        turns = F.when(F.col("layout") == each.name, _turns(each, F.col("__parsed"))).otherwise(turns)
+    return parsed.withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("__parsed", "__paths")
+
+
+def unmapped(chats: DataFrame) -> DataFrame:
+    """(fingerprint, n): records without a mapping; a null fingerprint is no valid JSON."""
+    return chats.where("layout is null").groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
 def escape(text: Column) -> Column:

@@ -4,8 +4,11 @@ For a batch, texts are normalised (word marks) and cut at marks that follow
 another character, which no piece spans; the distinct parts are concatenated
 and indexed with a suffix array (prefix doubling up to the longest piece). Every
 piece of the vocabulary is binary-searched for its range of occurrences, and
-the resulting edges (from, to, piece) are sorted by position. Then they are
-relaxed as the model asks:
+the resulting edges (from, to, piece) are sorted by position, then length. They
+are relaxed over that sorted list, which a word of bits for each position opens:
+the edges of a position are a run of the list, and the bits under a length count
+those before it. A part longer than `INDEX_CHARS` is indexed window by window,
+with an overlap of the longest piece, so memory is in proportion to the text:
 
 * BPE: adjacent symbols whose span is an edge merge, best score first and
   leftmost among equals, until no edge joins two symbols. All parts of a batch
@@ -125,6 +128,15 @@ class Matcher:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece id) of all occurrences, sorted by start, then length."""
+        parts = []
+        for at in range(0, max(len(codes), 1), 2 * INDEX_CHARS):
+            own = min(2 * INDEX_CHARS, len(codes) - at)
+            start, length, piece = self._edges(codes[at : at + own + self.depth])
+            inside = slice(0, int(np.searchsorted(start, own)))
+            parts.append((start[inside] + at, length[inside], piece[inside]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         suffixes = suffix_array(codes, self.depth)
         low, high = self.ranges(codes, suffixes)
         count = np.maximum(high - low, 0)
@@ -147,9 +159,41 @@ def _bisect(codes: np.ndarray, suffixes: np.ndarray, d: int, want: np.ndarray, l
         high = np.where(open_ & ~right, mid, high)
 
 
-def merged_starts(starts: np.ndarray, part: np.ndarray, ends: np.ndarray, table: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Symbol starts after all BPE merges. table[start, length] is a piece id or -1; parts are merged side by side, one step a round."""
-    depth = table.shape[1] - 1
+class Edges:
+    """Edges sorted by start, then length, with the piece of a start and a length."""
+
+    def __init__(self, start: np.ndarray, length: np.ndarray, piece: np.ndarray, size: int, depth: int) -> None:
+        self.piece = np.append(piece, -1).astype(np.int32)
+        self.depth = depth
+        self.first = np.searchsorted(start, np.arange(size + 1)).astype(np.int32)
+        self.words = -(-(depth + 1) // 64)
+        self.bits = np.zeros((self.words, size + 1), np.uint64)
+        for w in range(self.words):
+            own = length // 64 == w
+            np.bitwise_or.at(self.bits[w], start[own], np.uint64(1) << (length[own] % 64).astype(np.uint64))
+
+    def find(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The piece from each start with a length of at most depth, or -1."""
+        before = np.zeros(len(start), np.int64)
+        held = np.zeros(len(start), bool)
+        for w in range(self.words):
+            bits, shift = self.bits[w][start], np.clip(length - 64 * w, 0, 63).astype(np.uint64)
+            inside = (length // 64) == w
+            held |= inside & ((bits >> shift) & np.uint64(1) == 1)
+            under = np.where(inside, bits & ((np.uint64(1) << shift) - np.uint64(1)), np.where(length >= 64 * (w + 1), bits, np.uint64(0)))
+            before += np.bitwise_count(under)
+        return self.piece[np.where(held, self.first[start] + before, -1)]
+
+    def of(self, start: int) -> dict[int, int]:
+        """Pieces by length from one start, in rising order."""
+        a, b = int(self.first[start]), int(self.first[start + 1])
+        lengths = [64 * w + k for w in range(self.words) for k in range(64) if int(self.bits[w][start]) >> k & 1]
+        return dict(zip(lengths, self.piece[a:b].tolist(), strict=True))
+
+
+def merged_starts(starts: np.ndarray, part: np.ndarray, ends: np.ndarray, edges: Edges, scores: np.ndarray) -> np.ndarray:
+    """Symbol starts after all BPE merges; parts are merged side by side, one step a round."""
+    depth = edges.depth
     done = []
     while len(starts):
         stop = np.append(starts[1:], 0)
@@ -158,7 +202,9 @@ def merged_starts(starts: np.ndarray, part: np.ndarray, ends: np.ndarray, table:
         # A pair is a symbol and the next one; its span ends where the next one does.
         span = np.zeros(len(starts), np.int64)
         span[:-1] = np.where(last[:-1], 0, stop[1:] - starts[:-1])
-        piece = np.where((span > 0) & (span <= depth), table[starts, np.minimum(span, depth)], -1)
+        piece = np.full(len(starts), -1, np.int32)
+        near = np.flatnonzero((span > 0) & (span <= depth))
+        piece[near] = edges.find(starts[near], span[near])
         score = np.where(piece >= 0, scores[piece], -np.inf)
         heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         best = np.maximum.reduceat(score, heads)
@@ -174,16 +220,16 @@ def merged_starts(starts: np.ndarray, part: np.ndarray, ends: np.ndarray, table:
     return np.sort(np.concatenate(done)) if done else starts
 
 
-def heap_starts(start: int, end: int, table: np.ndarray, scores: np.ndarray) -> list[int]:
+def heap_starts(start: int, end: int, edges: Edges, scores: np.ndarray) -> list[int]:
     """The same for one long part, with a heap of pairs."""
-    depth = table.shape[1] - 1
     following = dict(zip(range(start, end), range(start + 1, end + 1), strict=True))
     before = {b: a for a, b in following.items()}
     heap: list[tuple[float, int, int]] = []
+    pieces = [edges.of(a) for a in range(start, end)]
 
     def offer(a: int) -> None:
         b = following.get(a)
-        if b is not None and b < end and (stop := following[b]) - a <= depth and (piece := int(table[a, stop - a])) >= 0:
+        if b is not None and b < end and (piece := pieces[a - start].get((stop := following[b]) - a)) is not None:
             heapq.heappush(heap, (-scores[piece], a, stop))
 
     for a in range(start, end):
@@ -201,15 +247,16 @@ def heap_starts(start: int, end: int, table: np.ndarray, scores: np.ndarray) ->
     return sorted(following)
 
 
-def best_path(start: int, end: int, table: np.ndarray, scores: np.ndarray, unknown: float) -> list[int]:
-    """Symbol starts of the best-scoring path (unigram); a character without a piece costs `unknown`."""
-    depth = table.shape[1] - 1
+def best_path(start: int, end: int, edges: Edges, scores: np.ndarray, unknown: float) -> list[int]:
+    """Symbol starts of the best-scoring path (unigram), relaxed edge by edge; a character without a piece costs `unknown`."""
     best, back = np.full(end - start + 1, -np.inf), np.zeros(end - start + 1, np.int64)
     best[0] = 0
     for a in range(end - start):
-        for n in range(1, min(depth, end - start - a) + 1):
-            piece = table[start + a, n]
-            gain = scores[piece] if piece >= 0 else unknown if n == 1 else -np.inf
+        own = edges.of(start + a)
+        for n, piece in ({1: None} | own).items():
+            if a + n > end - start:
+                break
+            gain = unknown if piece is None else scores[piece]
             if best[a] + gain > best[a + n]:
                 best[a + n], back[a + n] = best[a] + gain, a
     out, at = [], end - start
@@ -258,24 +305,24 @@ class Encoder:
         text = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         text[ends] = _GAP
         start, length, piece = self.matcher.edges(text)
-        table = np.full((len(text), self.matcher.depth + 1), -1, np.int32)
-        table[start, length] = piece
+        edges = Edges(start, length, piece, len(text), self.matcher.depth)
+        del start, length, piece
         scores = self.vocabulary.scores
         if self.vocabulary.unigram:
-            starts = np.array([s for a, b in zip(begins, ends, strict=True) for s in best_path(int(a), int(b), table, scores, self.lowest)], np.int64)
+            starts = np.array([s for a, b in zip(begins, ends, strict=True) for s in best_path(int(a), int(b), edges, scores, self.lowest)], np.int64)
         else:
             short = np.flatnonzero(lengths <= LONG_PART)
             part = np.repeat(short, lengths[short])
             at = np.repeat(begins[short], lengths[short]) + np.arange(len(part)) - np.repeat(np.cumsum(lengths[short]) - lengths[short], lengths[short])
-            starts = merged_starts(at, part, ends, table, scores)
-            long = [np.array(heap_starts(int(begins[k]), int(ends[k]), table, scores)) for k in np.flatnonzero(lengths > LONG_PART)]
+            starts = merged_starts(at, part, ends, edges, scores)
+            long = [np.array(heap_starts(int(begins[k]), int(ends[k]), edges, scores)) for k in np.flatnonzero(lengths > LONG_PART)]
             starts = np.sort(np.concatenate([starts, *long])).astype(np.int64)
         owner = np.searchsorted(begins, starts, "right") - 1
         stop = np.append(starts[1:], 0)
         last = np.append(owner[1:] != owner[:-1], True) if len(starts) else np.zeros(0, bool)
         stop[last] = ends[owner[last]]
         size = stop - starts
-        ids = np.where(size <= self.matcher.depth, table[starts, np.minimum(size, self.matcher.depth)], -1).astype(np.int64)
+        ids = np.where(size <= self.matcher.depth, edges.find(starts, np.minimum(size, self.matcher.depth)), -1).astype(np.int64)
         missing = np.flatnonzero(ids < 0)
         if not len(missing):
             return ids.astype(np.uint32), np.bincount(owner, minlength=len(parts))

@@ -98,13 +98,14 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
-def host_rates(rated: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n_docs, n_failed, shrunk_rate): one row a host."""
-    counts = (
-        rated.where(F.col(host).isNotNull())
-        .groupBy(F.col(host).alias("host"))
-        .agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
-    )
+def host_counts(rated: DataFrame, host: str = "source") -> DataFrame:
+    """(host, n_docs, n_failed): one row a host."""
+    known = rated.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
+    return known.agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
+
+
+def host_rates(counts: DataFrame) -> DataFrame:
+    """`counts`, which are read twice, with shrunk_rate."""
     rate = F.col("n_failed") / F.col("n_docs")
     mean, spread, noise = counts.agg(F.avg(rate), F.var_samp(rate), F.avg(rate * (1 - rate) / F.col("n_docs"))).first()
     alpha, beta = beta_prior(mean, spread, noise)
@@ -134,13 +135,14 @@ def host_verdicts(docs: DataFrame, rates: DataFrame, host: str = "source", most_
 def quality_verdicts(docs: DataFrame, scratch, host: str = "source", text: str = "text", most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """doc_id, host, FEATURES, base_failed and kept; texts are read once and only their numbers stored."""
     rated = scratch.keep(base_rules(docs.select("doc_id", F.col(host).alias("source"), F.col(text).alias("text"))).drop("text"))
-    out = host_verdicts(rated, host_rates(rated), most_rate=most_rate)
+    rates = host_rates(scratch.keep(host_counts(rated)))
+    out = host_verdicts(rated, rates, most_rate=most_rate)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, scratch, host: str = "source", text: str = "text", most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """The rows of `docs` that pass, with its own columns. The rules run again on the texts, which is cheaper than a shuffle of them."""
-    rates = scratch.keep(host_rates(base_rules(docs.select(F.col(host).alias("source"), F.col(text).alias("text")))))
+    rates = host_rates(scratch.keep(host_counts(base_rules(docs.select(F.col(host).alias("source"), F.col(text).alias("text"))))))
     rated = docs.withColumn("__features", feature_column(F.col(text)))
     rated = rated.where(~base_failed(F.col("__features.n_words"), F.col("__features.n_repeat_words"))).select(docs.columns)
     bad = rejected_hosts(rates, most_rate)

@@ -143,7 +143,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
+    scratch = Scratch(spark, "op5")
+    folder = scratch.path()  # a run's own maps: a service would keep one folder
+    placed, _ = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS, scratch, folder)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot")
     )
@@ -154,7 +156,7 @@ def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    found = topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Scratch(spark, "op7"))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -162,10 +164,10 @@ OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a * coalesce(c.e[i], 0) for a, i in q.e]) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum([a * coalesce(c.e[i], 0) for a, i in q.e]), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5

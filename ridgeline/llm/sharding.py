@@ -7,13 +7,15 @@ with as few slot moves as it can and writes a new version beside the old ones.
 The law is `bytes`: shard sizes are near equal.
 
 Scale: a slot's bytes and rows combine on the map side; the map has as many
-rows as there are slots, whatever the input, and is broadcast. Positions in a
-shard are numbered in two steps (offset of the slot, row number in the slot),
-so the widest window holds one slot, not one shard. Equal texts hash by id as
-well, so a large group of copies spreads over all slots.
+rows as there are slots, whatever the input, and is broadcast. Rows' numbers
+(no texts) are stored once with the part of the input that they came from, and
+positions in a shard are numbered in three steps: offset of the slot, offset of
+the part in the slot, row number in the part. So the widest window holds one part
+of one slot, even where a million rows share id and text. Equal texts hash by
+id as well, so a large group of copies spreads over all slots.
 
 Defined results: null text has no bytes and CRC 0; rows with equal id and text
-share a slot and have their own positions; null ids hash like any value; an
+share a slot (and so a shard) and have their own positions; null ids hash like any value; an
 empty table gives an empty result and an even map; extra columns pass through.
 """
 
@@ -104,6 +106,14 @@ def save_map(frame: DataFrame, folder: str) -> None:
     frame.coalesce(1).write.mode("error").parquet(f"{folder.rstrip('/')}/version={version}")
 
 
+def newest_version(spark: SparkSession, folder: str) -> int | None:
+    """The highest version in a folder of maps; None where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(x.partition("=")[2]) for x in names if x.startswith("version=")), default=None)
+
+
 def load_map(spark: SparkSession, folder: str, version: int) -> dict[int, int]:
     return {r["slot"]: r["shard"] for r in spark.read.parquet(f"{folder.rstrip('/')}/version={version}").collect()}
 
@@ -115,27 +125,40 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int =
 
 
 def place(rows: DataFrame, frame: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`rows` (of `sized`) with shard and slot, the gapless position in the shard. The map is broadcast: it has a row for each virtual slot."""
-    before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = frame.select(
-        F.col("slot").alias("vslot"), "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("vslot").orderBy(F.col(key), F.col("text_crc32"), F.col("size"))
-    numbered = rows.withColumn("_row", F.row_number().over(inside))
+    """`rows` (of `sized`, with the stored part) with shard and slot, the gapless position in the shard. The map is broadcast: it has a row for each virtual slot."""
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = frame.select(F.col("slot").alias("vslot"), "shard", F.coalesce(F.sum("rows").over(upto("shard").orderBy("slot")), F.lit(0)).alias("_slot_at"))
+    parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_part_at", F.coalesce(F.sum("_n").over(upto("vslot").orderBy("part")), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("vslot", "part").orderBy(F.col(key), F.col("text_crc32"), F.col("size"))
+    numbered = rows.withColumn("_row", F.row_number().over(inside)).join(parts, ["vslot", "part"])
     out = numbered.join(F.broadcast(offsets), "vslot")
-    return out.withColumn("slot", F.col("_offset") + F.col("_row") - 1).drop("_offset", "_row")
+    return out.withColumn("slot", F.col("_slot_at") + F.col("_part_at") + F.col("_row") - 1).drop("_slot_at", "_part_at", "_row", "part")
 
 
-def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS, version: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(id, size, text_crc32, vslot, shard, slot), and the map that places them."""
-    rows = sized(docs.select(F.col(key), F.col(text)), key, text, slots).drop(text)
-    loads = slot_loads(rows)
-    frame = map_frame(docs.sparkSession, version, first_map(loads, shards, slots), loads)
-    return place(rows, frame, key), frame
+def shard_documents(docs: DataFrame, shards: int, scratch, folder: str, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> tuple[DataFrame, int]:
+    """(id, size, text_crc32, vslot, shard, slot), and the version of the map in `folder` that places them.
+
+    The folder's newest version is edited until sizes are near equal and stored
+    as a new one if that moves a slot; a folder without any gets a first one.
+    Rows are placed by the map as it is read back.
+    """
+    spark = docs.sparkSession
+    rows = scratch.keep(sized(docs.select(F.col(key), F.col(text)), key, text, slots).drop(text).withColumn("part", F.spark_partition_id()))
+    loads, version = slot_loads(rows), newest_version(spark, folder)
+    if version is None:
+        version = 1
+        save_map(map_frame(spark, version, first_map(loads, shards, slots), loads), folder)
+    old = load_map(spark, folder, version)
+    new = edited_map(old, loads, shards)
+    if new != old:
+        version += 1
+        save_map(map_frame(spark, version, new, loads), folder)
+    return place(rows, map_frame(spark, version, load_map(spark, folder, version), loads), key), version
 
 
 def write_shards(docs: DataFrame, frame: DataFrame, folder: str, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> None:
     """The records themselves, in one folder for each shard."""
-    rows = docs.withColumn("_v", virtual_slot(F.col(key), text_crc(F.col(text)), slots))
-    shard_of = F.broadcast(frame.select(F.col("slot").alias("_v"), F.col("shard").alias("_shard")))
-    rows.join(shard_of, "_v").drop("_v").write.partitionBy("_shard").parquet(folder)
+    rows = docs.withColumn("__vslot", virtual_slot(F.col(key), text_crc(F.col(text)), slots))
+    shard_of = F.broadcast(frame.select(F.col("slot").alias("__vslot"), F.col("shard").alias("_shard")))
+    rows.join(shard_of, "__vslot").drop("__vslot").write.partitionBy("_shard").parquet(folder)

@@ -64,11 +64,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.name = spark, name
 
-    def table(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def path(self) -> str:
+        """A new folder, which goes when the driver ends."""
         path = f"{checkpoint_root(self.spark)}/ridgeline/{self.name}-{uuid.uuid4().hex}"
+        atexit.register(_forget, self.spark, path)
+        return path
+
+    def table(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = self.path()
         with small_batches(self.spark):
             df.write.parquet(path)
-        atexit.register(_forget, self.spark, path)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path), path
 

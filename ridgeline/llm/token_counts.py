@@ -10,6 +10,10 @@ those of the whole text:
   character; else texts stay whole.
 * Tokenizers (.json) and tiktoken ranks (.tiktoken): texts stay whole.
 
+Scale: one Arrow pass and no shuffle; a task holds one Arrow batch, BATCH_BYTES
+of encoded text and the vocabulary, and copies or hot sources cost what any row
+does. A very long text of the other two kinds is one call to its library.
+
 Defined results: null and empty texts have no bytes and no tokens; rows with
 equal ids or texts are counted one by one; extra columns are passed through;
 `n_tokens` replaces a column of that name.

@@ -14,8 +14,9 @@ a document concatenate to its ids.
 Scale: one Arrow pass and no shuffle. A task packs what it reads, in windows of
 at most `WINDOW_TOKENS` ids, so memory is bounded by the window and each window
 leaves one row in about a thousand partly filled. Copies and hot sources are
-rows like any other. Rows of ids are Parquet binary columns; `write_bins` also
-lays them out as files of one matrix a partition.
+rows like any other. Rows of ids are Parquet binary columns of one width, so a
+file's column is a matrix. Ids take two bytes where the vocabulary has at most
+65,536 of them, else four.
 
 Defined results: null and empty texts have no ids and are in no row; rows that
 share an id (or have none) are separate documents; an empty table gives an
@@ -25,12 +26,11 @@ empty result; extra columns aren't used.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.texthash import byte_batches
@@ -99,6 +99,19 @@ def pack_rows(sizes: np.ndarray, width: int) -> list[list[int]]:
     return rows
 
 
+def vocabulary_size(kind: str, raw: bytes) -> int:
+    """One more than the largest id that a vocabulary file's bytes can give."""
+    if kind == "tiktoken":
+        return 1 + max(int(line.split()[1]) for line in raw.splitlines() if line.strip())
+    if kind == "model":
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=raw).get_piece_size()
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_str(raw.decode()).get_vocab(with_added_tokens=True).values())
+
+
 def encoder(kind: str, raw: bytes, pattern: str):
     """Texts to id arrays, for a vocabulary file's bytes and suffix; special strings in texts are plain text."""
     if kind == "tiktoken":
@@ -179,27 +192,27 @@ def _packer(model, pattern: str, width: int, wide: bool):
     return run
 
 
-def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str = "", width: int = WIDTH, wide: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Packed rows (ROWS). wide: ids of four bytes instead of two. The vocabulary file (a few MB) is broadcast."""
+def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str = "", width: int = WIDTH, wide: bool | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Packed rows (ROWS). wide: ids of four bytes instead of two, by the vocabulary's size unless given. The vocabulary file (a few MB) is broadcast."""
+    kind = vocabulary.rpartition(".")[2]
     with open(vocabulary, "rb") as file:
-        model = docs.sparkSession.sparkContext.broadcast((vocabulary.rpartition(".")[2], file.read()))
+        raw = file.read()
+    fits = vocabulary_size(kind, raw) <= 1 << 16
+    if wide is False and not fits:
+        raise ValueError("ids of this vocabulary don't fit two bytes")
+    wide = not fits if wide is None else wide
+    model = docs.sparkSession.sparkContext.broadcast((kind, raw))
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInPandas(_packer(model, pattern, width, wide), ROWS)
 
 
-def write_bins(packed: DataFrame, folder: str) -> DataFrame:
-    """Writes the rows to Parquet and gives them back as read; ids are one fixed-width binary a row."""
-    packed.write.mode("error").parquet(folder)
-    return packed.sparkSession.read.schema(packed.schema).parquet(folder)
-
-
 def positions(cu_seqlens: list[int], width: int) -> np.ndarray:
     """Position ids of a row: from 0 in each segment, and in the padding."""
     bounds = [*cu_seqlens, width] if cu_seqlens[-1] < width else cu_seqlens
     return np.concatenate([np.arange(b - a) for a, b in zip(bounds, bounds[1:], strict=False)]) if len(bounds) > 1 else np.zeros(0, int)
 
 
-def unpacked(packed: DataFrame, spark: SparkSession | None = None, wide: bool = False) -> DataFrame:
+def unpacked(packed: DataFrame, wide: bool = False) -> DataFrame:
     """(doc_id, piece_start, doc_length, ids) of each segment, with the ids as an array."""
     width = 4 if wide else 2
 
@@ -213,8 +226,3 @@ def unpacked(packed: DataFrame, spark: SparkSession | None = None, wide: bool =
             yield pd.DataFrame(out, columns=["doc_id", "piece_start", "doc_length", "ids"])
 
     return packed.mapInPandas(run, "doc_id long, piece_start long, doc_length long, ids array<long>")
-
-
-def safe_name(text: str) -> str:
-    """A folder name from any text."""
-    return re.sub(r"\W+", "_", text)

@@ -247,6 +247,10 @@ RECORDS = [
     ('{"conversations": [{"from": null, "value": null}, {"from": "bot", "value": "<turn>\\\\0</turn>"}]}', "conversations", [("user", ""), ("assistant", "<turn>\\0</turn>")]),
     ('{"dialog": {"turns": [{"speaker": "</role>", "utterance": "\\\\\\\\</role>\\\\"}]}}', "dialog", [("</role>", "\\\\</role>\\")]),
     ('{"other": 1}', None, []),
+    ('{"id": 5, "messages": [{"role": "user", "content": "h", "name": "x", "weight": 1}], "meta": {"a": [1]}}', "messages", [("user", "h")]),
+    ('{"prompt": "p", "completion": "c", "source": "s"}', "prompt_completion", [("user", "p"), ("assistant", "c")]),
+    ('{"instruction": "i", "output": "o", "system": "y"}', "instruction_system", [("system", "y"), ("user", "i"), ("assistant", "o")]),
+    ('{"prompt": "p", "response": "r", "input": "i", "text": "t"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
     ("not json", None, []),
     (None, None, []),
     ('{"messages": []}', None, []),
@@ -265,6 +269,7 @@ def test_chat_layouts(spark):
         assert r["loss"] == "".join(t for role, t in turns if role == "assistant")
         assert r["extra"] == 1
     assert chat_format.format_chats(frame.limit(0)).count() == 0
+    assert sum(r["n"] for r in chat_format.unmapped(out).collect()) == sum(x[1] is None for x in RECORDS)
 
 
 def test_chat_escape_is_reversible(spark):
@@ -290,6 +295,49 @@ def test_packing(capacities):
     assert final.sum() <= 1.25 * lengths.sum() + max(capacities)
 
 
+def test_packing_against_plain():
+    """The mix taken is no dearer than any single size and uses several; each choice follows the plain rule of expected fill."""
+    local = np.random.default_rng(12)
+    lengths = np.concatenate([local.integers(3500, 8193, 60), local.integers(600, 2000, 300), local.integers(1, 300, 1500)])
+    cost = lambda final: sum(bin_packing.bin_cost_of(int(c)) for c in final)
+    which, _, final = bin_packing.pack(lengths)
+    used = np.bincount(which, weights=lengths).astype(int)
+    assert all(min(c for c in bin_packing.CAPACITIES if c >= u) == f for u, f in zip(used, final, strict=True))
+    assert len(set(final.tolist())) >= 3
+    for one in (8192,):
+        _, _, fixed = bin_packing.pack(lengths, (one,))
+        assert cost(final) < cost(fixed)
+    for size in range(5):  # brute force: every mix by a plain best fit
+        for some in __import__("itertools").combinations(bin_packing.CAPACITIES[:-1], size):
+            assert cost(final) <= plain_packing(lengths.tolist(), (*some, 8192)) + 1e-6
+
+
+def plain_packing(lengths, capacities):
+    items, bins = sorted(lengths, reverse=True), []
+    for at, length in enumerate(items):
+        fitting = [b for b in bins if b[0] - b[1] >= length]
+        if fitting:
+            min(fitting, key=lambda b: b[0] - b[1])[1] += length
+            continue
+        later, best = items[at + 1 :], None
+        for c in (c for c in capacities if c >= length):
+            fill, rest, steps = length, list(later), 0
+            while rest and steps < bin_packing.LOOKAHEAD:
+                if sum(rest) <= c - fill:
+                    fill, rest = fill + sum(rest), []
+                    break
+                rest = [x for x in rest if x <= c - fill]
+                if not rest:
+                    break
+                fill, rest, steps = fill + rest[0], rest[1:], steps + 1
+            if rest and steps == bin_packing.LOOKAHEAD:
+                fill += min(c - fill, sum(rest))
+            score = (bin_packing.bin_cost_of(c) / max(1, fill), c)
+            best = min(best or (score, c), (score, c))
+        bins.append([best[1], length])
+    return sum(bin_packing.bin_cost_of(min(c for c in bin_packing.CAPACITIES if c >= used)) for _, used in bins)
+
+
 def test_packing_documents(edge, nothing, docs):
     for frame in (edge, docs):
         packed = bin_packing.pack_documents(frame, capacities=(64, 512), group_items=40).collect()
@@ -303,9 +351,9 @@ def test_packing_documents(edge, nothing, docs):
     assert bin_packing.pack_documents(nothing).count() == 0
 
 
-def test_sharding(edge, nothing, docs):
+def test_sharding(edge, nothing, docs, scratch):
     for frame in (edge, docs):
-        placed, _ = sharding.shard_documents(frame, 4, slots=64)
+        placed, version = sharding.shard_documents(frame, 4, scratch, scratch.path(), slots=64)
         rows, texts = placed.collect(), collections.Counter()
         for r in frame.select("doc_id", "text").collect():
             raw = (r["text"] or "").encode()
@@ -318,7 +366,7 @@ def test_sharding(edge, nothing, docs):
     for r in rows:
         sizes[r["shard"]] += r["size"]
     assert max(sizes.values()) - min(sizes.values()) <= max(r["size"] for r in rows)
-    assert sharding.shard_documents(nothing, 4)[0].count() == 0
+    assert version >= 1 and sharding.shard_documents(nothing, 4, scratch, scratch.path())[0].count() == 0
 
 
 def test_slot_map_versions(spark, tmp_path):
@@ -342,8 +390,23 @@ def test_slot_map_versions(spark, tmp_path):
         sharding.save_map(sharding.map_frame(spark, 2, first, loads), str(tmp_path))
 
 
-def test_write_shards(spark, docs, tmp_path):
-    placed, frame = sharding.shard_documents(docs, 5, slots=64)
+def test_stored_map_is_edited(spark, docs, scratch):
+    """A second run with more shards edits the stored map: rows move into the new shard only, and sizes are near equal again."""
+    folder = scratch.path()
+    before, one = sharding.shard_documents(docs, 4, scratch, folder, slots=256)
+    before = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in before.collect()}
+    again, same = sharding.shard_documents(docs, 4, scratch, folder, slots=256)
+    assert same == one and {(r["doc_id"], r["text_crc32"]): r["shard"] for r in again.collect()} == before
+    grown, two = sharding.shard_documents(docs, 5, scratch, folder, slots=256)
+    rows = grown.collect()
+    assert two == one + 1 and sharding.newest_version(spark, folder) == two
+    assert all(r["shard"] in (4, before[(r["doc_id"], r["text_crc32"])]) for r in rows) and any(r["shard"] == 4 for r in rows)
+
+
+def test_write_shards(spark, docs, tmp_path, scratch):
+    folder = scratch.path()
+    placed, version = sharding.shard_documents(docs, 5, scratch, folder, slots=64)
+    frame = spark.read.parquet(f"{folder}/version={version}")
     sharding.write_shards(docs, frame, str(tmp_path / "out"), slots=64)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["doc_id"], r["_shard"]) for r in got.collect()} == {(r["doc_id"], r["shard"]) for r in placed.collect()}
@@ -372,6 +435,21 @@ def test_token_packing(edge, nothing, docs):
     assert token_packing.positions([0, 3, 5], 8).tolist() == [0, 1, 2, 0, 1, 0, 1, 2]
 
 
+def test_wide_ids(spark, tmp_path):
+    """A vocabulary over 65,536 ids takes four bytes, and two are refused."""
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)]
+    lines = [f"{base64.b64encode(b).decode()} {i}" for i, b in enumerate(ranks)] + [f"{base64.b64encode(b'zq').decode()} 70000"]
+    path = tmp_path / "large.tiktoken"
+    path.write_text("\n".join(lines))
+    frame = spark.createDataFrame([(1, "zq a zq")], "doc_id long, text string")
+    packed = token_packing.pack_tokens(frame, str(path), r"zq|.", width=8)
+    assert token_packing.unpacked(packed, wide=True).first()["ids"] == [70000, 32, 97, 32, 70000]
+    with pytest.raises(ValueError, match="two bytes"):
+        token_packing.pack_tokens(frame, str(path), r"zq|.", wide=False)
+
+
 def test_room_tree():
     local = np.random.default_rng(8)
     tree, held = token_packing.RoomTree(50), collections.Counter()
@@ -396,25 +474,27 @@ def brute_top(vectors, queries, k):
     return sorted(out)
 
 
-def test_topk(spark, monkeypatch):
+def test_topk(spark, monkeypatch, scratch):
     local = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.float32(local.normal(size=int(local.choice([5, 12, 19]))))]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(50)]
-    odd = [(900, None), (901, []), (902, [1.0, None]), (903, [float("nan")]), (904, [float("inf")]), (None, [1.0])]
+    rows.append((901, []))
+    odd = [(900, None), (902, [1.0, None]), (903, [float("nan")]), (904, [float("inf")]), (None, [1.0])]
     whole = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     monkeypatch.setattr(topk_search, "CANDIDATES", 64)
     monkeypatch.setattr(topk_search, "QUERIES", 3)
-    got = sorted(map(tuple, topk_search.top_k(frame, F.col("vec_id") % 50 == 0, 5).collect()))
+    got = sorted(map(tuple, topk_search.top_k(frame, F.col("vec_id") % 50 == 0, scratch, 5).collect()))
     assert got == brute_top(whole, [x for x in whole if x[0] % 50 == 0], 5)
-    assert topk_search.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk_search.top_k(frame.limit(0), F.col("vec_id") % 50 == 0, scratch).count() == 0
     few = frame.where("vec_id < 3")
-    assert topk_search.top_k(few, F.col("vec_id") == 0).count() == 2
-    assert topk_search.top_k(few, F.lit(False)).count() == 0
+    assert topk_search.top_k(few, F.col("vec_id") == 0, scratch).count() == 2
+    assert topk_search.top_k(few, F.lit(False), scratch).count() == 0
     big = spark.createDataFrame([(0, [3e6, 1.0]), (1, [2e6, 0.5]), (2, [1e6, 9.0])], "vec_id long, embedding array<float>")
-    assert [r["vec_id"] for r in topk_search.top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
-    huge = spark.createDataFrame([(0, [3e30]), (1, [2e30]), (2, [-1e30])], "vec_id long, embedding array<float>")
-    assert [(r["vec_id"], r["score"]) for r in topk_search.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+    assert [r["vec_id"] for r in topk_search.top_k(big, F.col("vec_id") == 0, scratch).orderBy("rank").collect()] == [1, 2]
+    huge = spark.createDataFrame([(0, [3e30]), (4, [1e30]), (1, [2e30]), (2, [-1e30]), (3, [-2e30]), (5, [1e-30])], "vec_id long, embedding array<double>").repartition(6)
+    got = [(r["vec_id"], r["score"]) for r in topk_search.top_k(huge, F.col("vec_id") == 0, scratch).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (4, 2**63 - 1), (5, 0), (2, -(2**63)), (3, -(2**63))]  # exact ranks, scores at the bounds
 
 
 def runs(texts, size):
@@ -569,7 +649,7 @@ def samples():
     local = np.random.default_rng(6)
     alphabet = list("abcde éñ日本🎉\t\n<s>▁ ▁  .,0") + ["the", " the", "ing ", "</s>", "<0x0A>", "　"]
     texts = ["".join(local.choice(alphabet, int(n))) for n in local.integers(0, 60, 400)]
-    return [*texts, "", " ", "  ", "a" * 700, "日本" * 300, "ab " * 500, "x\0y", *[t for _, t, *_ in EDGE_ROWS if t]]
+    return [*texts, "", " ", "  ", "a" * 700, "日本" * 300, "ab" * 5000, "ab " * 500, "x\0y", *[t for _, t, *_ in EDGE_ROWS if t]]
 
 
 def test_pieces_equal_library():
@@ -587,6 +667,18 @@ def test_pieces_equal_library():
         assert encoder.decode(own) == model.decode(own.tolist()) == text.replace(piece_matching.MARK, " ")
 
 
+def test_long_parts_in_windows(monkeypatch):
+    """A text without spaces, over several index windows."""
+    import sentencepiece
+
+    monkeypatch.setattr(piece_matching, "INDEX_CHARS", 50)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = piece_matching.Encoder(piece_matching.read_vocabulary(open(MODEL, "rb").read()))
+    local = np.random.default_rng(2)
+    for text in ("".join(local.choice(list("theinganderst"), 700)), "international" * 40):
+        assert encoder.encode([text])[0].tolist() == model.encode(text)
+
+
 def test_unigram_relaxation():
     """Best path against all segmentations."""
     pieces = ["a", "b", "ab", "ba", "aba", "bb"]
