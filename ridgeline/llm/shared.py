@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILTER_BITS = 1 << 27
-RELEASE_SECONDS = 2.0
+RELEASE_SECONDS = 0.5
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _OWN_ROOTS: dict[str, str] = {}
 

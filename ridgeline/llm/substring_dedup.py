@@ -12,7 +12,8 @@ Paragraphs are of three kinds, all made by content alone:
   have equal seeds, and neighbouring blocks mostly share theirs.
 
 Lines and segments have MinHash bands over 5-word shingles, tuned to a recall
-of 0.99 at Jaccard 0.8. Paragraphs that share a band are joined: each with the
+of 0.99 at Jaccard 0.8. Each kind has bands of its own (a line and a segment
+inside it would always collide; equal ones meet by their words). Paragraphs that share a band are joined: each with the
 band's first one, and their exact shingle sets are compared; links make
 components. Where a band then still holds paragraphs of several components that
 have not been compared, the prefix-filtered exact join does that, so that no
@@ -147,14 +148,14 @@ def _line_begins(raw: bytes, words, n_texts: int, bounds: np.ndarray) -> np.ndar
     return begins
 
 
-def _signatures(found: np.ndarray, first: np.ndarray, after: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A row of band keys for each span of words; found: hashes of the SHINGLE-word windows."""
+def _signatures(kind: int, found: np.ndarray, first: np.ndarray, after: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A row of band keys for each span of words of a kind; found: hashes of the SHINGLE-word windows."""
     size = after - first - (SHINGLE - 1)
     heads = np.cumsum(size) - size
     inside = found[np.repeat(first - heads, size) + np.arange(size.sum())]
     keys = np.empty((len(first), bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(first), b, np.uint64)
+        key = np.full(len(first), 64 * kind + b, np.uint64)
         for r in range(b * rows, (b + 1) * rows):
             key = mix(key ^ np.minimum.reduceat(inside * _SALTS[r], heads))
         keys[:, b] = key
@@ -177,7 +178,7 @@ def _paragraphs(bands: int, rows: int):
         kind = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in spans])
         first, after, value = (np.concatenate([x[k] for x in spans]) for k in (1, 2, 3))
         shingled = windows(words.hash, SHINGLE)
-        keyed = np.concatenate([_signatures(shingled, a, b, bands, rows) for _, a, b, _ in spans[1:] if len(a)] or [np.zeros((0, bands), np.uint64)])
+        keyed = np.concatenate([_signatures(kind, shingled, a, b, bands, rows) for kind, a, b, _ in spans[1:] if len(a)] or [np.zeros((0, bands), np.uint64)])
         none = len(seeds)
         offsets = np.concatenate([np.zeros(none, np.int32), np.arange(len(keyed) + 1, dtype=np.int32) * bands])
         signatures = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keyed.reshape(-1).view(np.int64)))
