@@ -303,6 +303,11 @@ def _met(lists: DataFrame) -> DataFrame:
     return met.select(F.col("row").alias("a"), F.explode("best.other").alias("b"))
 
 
+def stars(joined: DataFrame) -> DataFrame:
+    """Components as links, each to its smallest node: what later links are added to."""
+    return joined.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def linked_texts(source: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, n_shingles, component_id, member) of rows (doc_id, digest, text) with an id.
 
@@ -349,13 +354,14 @@ def linked_texts(source: DataFrame, scratch: Scratch) -> DataFrame:
         & _agree("pre1")
     )
     rest = rest.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-    everything = connected_components(links.unionByName(_verified(rest, active)), scratch)
+    more, more_path = scratch.table(_verified(rest, active))
+    everything = joined if more.isEmpty() else connected_components(stars(joined).unionByName(more), scratch)
     lowest = everything.join(active.select(F.col("row").alias("node"), "label"), "node").groupBy("component").agg(F.min("label").alias("low"))
     named, named_path = scratch.table(everything.join(lowest, "component"))
 
     out = labelled.join(named, labelled["rep"] == named["node"], "left")
     out = scratch.keep(out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("low", "label").alias("component_id"), F.coalesce("component", "rep").alias("member")))
-    scratch.drop(labelled_path, active_path, lists_path, placed_path, pairs_path, links_path, named_path)
+    scratch.drop(labelled_path, active_path, lists_path, placed_path, pairs_path, links_path, named_path, more_path)
     return out
 
 

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm.ngram_join import near_duplicates
+from ridgeline.llm.ngram_join import stars, near_duplicates
 from ridgeline.llm.shared import Scratch, connected_components, perhaps_in, split_by_ids, text_digest
 from ridgeline.llm.texthash import WordHasher, byte_batches, give_back, mix, shingles, text_groups, windows
 
@@ -332,7 +332,7 @@ def near_paragraphs(source: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     rest, rest_path = scratch.table(sets.join(placed.join(open_bands, "band").select("hash").distinct(), "hash").select(F.col("hash").alias("doc_id"), "text"))
     if not rest.isEmpty():
         more = near_duplicates(rest, scratch).where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-        joined = connected_components(links.unionByName(more), scratch)
+        joined = connected_components(stars(joined).unionByName(more), scratch)
     scratch.drop(members_path, sets_path, heads_path, links_path, placed_path, rest_path)
     return joined
 
