@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 PROJECTION_RADIUS_M = 6378137.0
 DISPLAY_RADIUS_M = 6371000.0
 KM_PER_DEGREE = 111.0
-DEM_M_PER_DEGREE = 111194.93
+DEM_M_PER_DEGREE = 111194.93  # ground metres a degree of latitude, for margins of elevation grids
 
 
 def portable_round(x: Column, digits: int) -> Column:

@@ -82,3 +82,12 @@ def descends_over(cap: float | None, d_plus: Column, d_minus: Column, grade: Col
     if cap is None:
         return F.lit(False)
     return F.coalesce((d_minus > d_plus) & (F.coalesce(grade, F.lit(0.0)) > cap), F.lit(False))
+
+
+def tag_list(raw: Column) -> Column:
+    """A tag's texts, from JSON that holds one value or a list: (values, had_non_string). Values that aren't texts go and are told; null has none."""
+    parsed = F.try_parse_json(raw)
+    items = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.when(parsed.isNotNull(), F.array(parsed)))
+    is_text = lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
+    values = F.transform(F.filter(items, is_text), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.struct(F.coalesce(values, F.array().cast("array<string>")).alias("values"), F.coalesce(F.exists(items, lambda x: ~is_text(x)), F.lit(False)).alias("had_non_string"))

@@ -9,9 +9,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from ridgeline.functions.measures import KM_PER_DEGREE, degrees_per_km_lon
+from ridgeline.session import ensure_checkpoint_dir
 
 EDGE_TOLERANCE = 1e-9
 TILE = 2048
@@ -67,36 +66,94 @@ def holds(entry: str, lon: Column, lat: Column) -> Column:
     return (F.abs(x) <= c("half_width_km") + EDGE_TOLERANCE) & (F.abs(y) <= c("half_height_km") + EDGE_TOLERANCE)
 
 
-def covering(queries: DataFrame, entries: DataFrame, cell_deg: float = 2.0) -> DataFrame:
+def _frame(areas: DataFrame, cell_deg: float) -> DataFrame:
+    """Areas with the cells of their boxes, and the numbers that the test of a point needs."""
+    cell = lambda x: F.floor(x / cell_deg).cast("int")
+    spread = lambda low, high: F.explode(F.sequence(cell(F.col(low)), cell(F.col(high))))
+    boxes = bounding_boxes(areas).withColumn("cx", spread("left", "right")).withColumn("cy", spread("bottom", "top"))
+    a = F.radians("angle_deg")
+    return areas.join(boxes, "area_id").select(
+        "cx", "cy", F.col("area_id").alias("e_id"), F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat"), F.cos(a).alias("e_cos"), F.sin(a).alias("e_sin"),
+        (1 / degrees_per_km_lon(F.col("lat"))).alias("e_scale"), (F.col("half_width_km") + EDGE_TOLERANCE).alias("e_w"), (F.col("half_height_km") + EDGE_TOLERANCE).alias("e_h"),
+        area_km2(F.col("half_width_km"), F.col("half_height_km")).alias("e_km2"),
+    )
+
+
+def covering(queries: DataFrame, entries: DataFrame, cell_deg: float = 0.25) -> DataFrame:
     """(query_id, area_id): the smallest entry that holds all four corners of a query, ties by id.
 
     Entries are listed in the degree cells that their boxes touch and queries
     look in the cell of their centre, so the range join is an equi-join on cells.
+    Corners are columns, so that the test stays in generated code, and the
+    smallest entry combines on the map side.
     """
     cell = lambda x: F.floor(x / cell_deg).cast("int")
-    boxes = bounding_boxes(entries).select(
-        "area_id", F.explode(F.sequence(cell(F.col("left")), cell(F.col("right")))).alias("cx"), "bottom", "top"
-    ).select("area_id", "cx", F.explode(F.sequence(cell(F.col("bottom")), cell(F.col("top")))).alias("cy"))
-    listed = entries.join(boxes, "area_id").select("cx", "cy", *[F.col(c).alias(f"e_{c}") for c in entries.columns])
-    centres = queries.select(F.col("area_id").alias("query_id"), cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy"))
-    points = corners(queries).select(F.col("area_id").alias("query_id"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
-    points = points.groupBy("query_id").agg(F.collect_list(F.struct("p_lon", "p_lat")).alias("ring"))
-    found = centres.join(points, "query_id").join(listed, ["cx", "cy"]).where(F.forall("ring", lambda p: holds("e_", p["p_lon"], p["p_lat"])))
-    order = Window.partitionBy("query_id").orderBy(area_km2(F.col("e_half_width_km"), F.col("e_half_height_km")), "e_area_id")
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", F.col("e_area_id").alias("area_id"))
+    wide = queries.select(F.col("area_id").alias("query_id"), cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy"))
+    ring = corners(queries).groupBy(F.col("area_id").alias("query_id"))
+    at = lambda c, k: F.max(F.when(F.col("corner") == k, F.col(c))).alias(f"{c}{k}")
+    points = ring.agg(*[at(c, k) for k in range(4) for c in ("lon", "lat")])
+    met = wide.join(points, "query_id").join(_frame(entries, cell_deg), ["cx", "cy"])
+    inside = F.lit(True)
+    for k in range(4):
+        east, north = (F.col(f"lon{k}") - F.col("e_lon")) * F.col("e_scale"), (F.col(f"lat{k}") - F.col("e_lat")) * KM_PER_DEGREE
+        inside &= (F.abs(east * F.col("e_cos") - north * F.col("e_sin")) <= F.col("e_w")) & (F.abs(east * F.col("e_sin") + north * F.col("e_cos")) <= F.col("e_h"))
+    best = met.where(inside).groupBy("query_id").agg(F.min(F.struct("e_km2", "e_id")).alias("b"))
+    return best.select("query_id", F.col("b.e_id").alias("area_id"))
 
 
 def planar_distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """On a plane whose longitude scale is that of the mean latitude; null where that has none (at a pole)."""
     north = (lat2 - lat1) * KM_PER_DEGREE
-    east = (lon2 - lon1) / degrees_per_km_lon(lat1)
+    east = (lon2 - lon1) / degrees_per_km_lon((lat1 + lat2) / 2)
     return F.sqrt(north * north + east * east)
 
 
-def nearest(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, area_id, distance_km) of the nearest entry, ties by id. Entries are a catalogue of prepared areas and are broadcast if small; the minimum combines on the map side."""
-    pairs = queries.select(F.col("area_id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).join(entries, F.lit(True))
-    best = pairs.groupBy("query_id").agg(F.min(F.struct(planar_distance_km(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")).alias("distance_km"), "area_id")).alias("b"))
-    return best.select("query_id", "b.area_id", "b.distance_km")
+def nearest(queries: DataFrame, entries: DataFrame, cell_deg: float = 0.25) -> DataFrame:
+    """(query_id, area_id, distance_km) of the nearest entry, ties by id.
+
+    A query meets the entries of the nine cells around it, and its best one is
+    final if it is nearer than anything outside of them can be; queries without one
+    go on with cells of twice the size, at last of the whole globe. Entries at
+    one place are folded to their smallest id. A distance that is null is larger
+    than any other.
+    """
+    ensure_checkpoint_dir(queries.sparkSession)
+    places = entries.groupBy("lat", "lon").agg(F.min("area_id").alias("area_id")).withColumnsRenamed({"lat": "e_lat", "lon": "e_lon"})
+    left = queries.select(F.col("area_id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    done, size = None, cell_deg
+    while True:
+        last = size >= 360
+        cell = lambda x: F.lit(0) if last else F.floor(x / size).cast("int")  # noqa: B023, E731
+        around = F.array(F.lit(0)) if last else F.array(F.lit(-1), F.lit(0), F.lit(1))
+        listed = places.withColumns({"cx": cell(F.col("e_lon")), "cy": cell(F.col("e_lat"))})
+        beside = lambda x: F.explode(F.transform(around, lambda d: cell(F.col(x)) + d))  # noqa: B023, E731
+        looks = left.withColumn("cx", beside("q_lon")).withColumn("cy", beside("q_lat"))
+        km = planar_distance_km(F.col("q_lat"), F.col("q_lon"), F.col("e_lat"), F.col("e_lon"))
+        best = looks.join(listed, ["cx", "cy"]).groupBy("query_id", "q_lat", "q_lon").agg(F.min(F.struct(km.isNull().alias("unknown"), km.alias("distance_km"), "area_id")).alias("b"))
+        # Outside of the cells, a place is `size` degrees away in latitude or in longitude.
+        safe = F.lit(size * KM_PER_DEGREE) * F.cos(F.radians(F.least(F.lit(90.0), F.abs("q_lat") + size / 2)))
+        final = best if last else best.where(~F.col("b.unknown") & (F.col("b.distance_km") < safe))
+        found = final.select("query_id", "b.area_id", "b.distance_km").checkpoint()
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        left = left.join(found.select("query_id"), "query_id", "left_anti").checkpoint()
+        if left.isEmpty():
+            return done
+        size *= 2 if size < 8 else 64
+
+
+def coverage_hint(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query_id, area_id, largest_radius_km) for queries that no entry covers: the nearest entry, and how large a square around
+    the query's centre would fit into it. Null unless both are upright squares and some radius fits."""
+    missed = queries.join(covering(queries, entries).select(F.col("query_id").alias("area_id")), "area_id", "left_anti")
+    square = lambda x: (F.col(f"{x}.angle_deg") == 0) & (F.col(f"{x}.half_width_km") == F.col(f"{x}.half_height_km"))
+    q, e = missed.alias("q"), entries.alias("e")
+    both = nearest(missed, entries).alias("n").join(q, F.col("n.query_id") == F.col("q.area_id")).join(e, F.col("n.area_id") == F.col("e.area_id"))
+    north = F.abs(F.col("q.lat") - F.col("e.lat")) * KM_PER_DEGREE
+    east = F.abs(F.col("q.lon") - F.col("e.lon")) / degrees_per_km_lon((F.col("q.lat") + F.col("e.lat")) / 2)
+    radius = F.col("e.half_width_km") - F.greatest(north, east)
+    return both.select("n.query_id", "n.area_id", F.when(square("q") & square("e") & (radius > 0), radius).alias("largest_radius_km"))
 
 
 def cache_key(areas: DataFrame, *parts: str) -> DataFrame:
@@ -107,9 +164,19 @@ def cache_key(areas: DataFrame, *parts: str) -> DataFrame:
 
 
 def stale_siblings(entries: DataFrame, current: DataFrame) -> DataFrame:
-    """Entries of an area that has a newer key."""
-    now = current.select("area_id", F.col("key").alias("_now"))
-    return entries.join(now, (entries["area_id"] == now["area_id"]) & (entries["key"] != now["_now"]), "left_semi")
+    """Entries that a newer key of the same area, policy and elevation version replaces; others of the area stay."""
+    same = ["area_id", "policy", "dem_version"]
+    now = current.select(*[F.col(c).alias(f"_now_{c}") for c in (*same, "key")])
+    match = entries["key"] != now["_now_key"]
+    for c in same:
+        match &= entries[c] == now[f"_now_{c}"]
+    return entries.join(now, match, "left_semi")
+
+
+def dem_cache_key(left: Column, bottom: Column, right: Column, top: Column, pixel: Column, *parts: str) -> Column:
+    """16 hex digits over a grid's bounds, pixel and other parts (layer, version): equal requests share a download."""
+    fields = [F.format_string("%.6f", F.bround(c, 6)) for c in (left, bottom, right, top, pixel)]
+    return F.substring(F.sha2(F.concat_ws("|", *fields, *[F.lit(x) for x in parts]), 256), 1, 16)
 
 
 def bounds_feature(areas: DataFrame) -> DataFrame:

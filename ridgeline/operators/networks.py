@@ -6,12 +6,14 @@ sequential inside a connected part, so it runs as one kernel a group.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions.measures import ratio, segment_id
+from ridgeline.functions.measures import KM_PER_DEGREE, finite, ratio, segment_id
 from ridgeline.functions.tags import has_road, has_trail, sac_name, sac_rank
 from ridgeline.session import ensure_checkpoint_dir
 
@@ -40,6 +42,14 @@ def inside_box(lon: Column, lat: Column, centre_lon: float, centre_lat: float, h
     return F.abs(lon - centre_lon).__le__(half_lon) & F.abs(lat - centre_lat).__le__(half_lat)
 
 
+def inside_area(lon: Column, lat: Column, area: dict) -> Column:
+    """Whether a point is in a rectangle (of `resolve_area`) turned clockwise from north; the boundary counts, and a place that isn't finite is outside."""
+    scale, a = KM_PER_DEGREE * math.cos(math.radians(area["lat"])), math.radians(area["angle_deg"])
+    east, north = (lon - area["lon"]) * scale, (lat - area["lat"]) * KM_PER_DEGREE
+    x, y = east * math.cos(a) - north * math.sin(a), east * math.sin(a) + north * math.cos(a)
+    return finite(lon) & finite(lat) & (F.abs(x) <= area["half_width_km"] + 1e-9) & (F.abs(y) <= area["half_height_km"] + 1e-9)
+
+
 def truncate(edges: DataFrame, nodes: DataFrame, inside: Column) -> DataFrame:
     """Edges with both ends inside."""
     kept = nodes.where(inside).select("node_id")
@@ -70,6 +80,44 @@ def weak_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node_id, component): the smallest node id of those that a node reaches and is reached by.
+
+    Colouring: the smallest id that reaches a node is its colour, and what
+    reaches that id back inside the colour is its component; the rest goes on
+    among itself. Each round is a join and an aggregation in the shared folder.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    links = edges.select(F.col("node_u").alias("a"), F.col("node_v").alias("b")).where("a <> b").distinct().checkpoint()
+    nodes, done = endpoints(edges).distinct().checkpoint(), None
+    for _ in range(most_rounds):
+        colour = _spread(links, nodes.withColumn("colour", F.col("node_id")), most_rounds)
+        side = lambda x: colour.select(F.col("node_id").alias(x), F.col("colour").alias(f"colour_{x}"))  # noqa: B023, E731
+        inner = links.join(side("a"), "a").join(side("b"), "b").where("colour_a = colour_b").select("a", "b").checkpoint()
+        # Back from the roots: 0 reaches its root, 1 isn't known to.
+        back = _spread(inner.select(F.col("b").alias("a"), F.col("a").alias("b")), colour.withColumn("colour", (F.col("node_id") != F.col("colour")).cast("long")).select("node_id", "colour"), most_rounds)
+        settled = back.where("colour = 0").select("node_id").join(colour, "node_id").select("node_id", F.col("colour").alias("component")).checkpoint()
+        done = settled if done is None else done.unionByName(settled)
+        nodes = nodes.join(settled, "node_id", "left_anti").checkpoint()
+        if nodes.isEmpty():
+            return done
+        links = inner.join(nodes.withColumnRenamed("node_id", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node_id", "b"), "b", "left_semi").checkpoint()
+    raise RuntimeError("components did not settle")
+
+
+def _spread(links: DataFrame, labels: DataFrame, most_rounds: int) -> DataFrame:
+    """Labels (node_id, colour), each lowered to the least that reaches the node along links."""
+    before = None
+    for _ in range(most_rounds):
+        near = links.join(labels, links["a"] == labels["node_id"]).groupBy("b").agg(F.min("colour").alias("low"))
+        labels = labels.join(near, labels["node_id"] == near["b"], "left").select("node_id", F.least("colour", F.coalesce("low", "colour")).alias("colour")).checkpoint()
+        now = labels.agg(F.sum(F.col("colour").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return labels
+        before = now
+    raise RuntimeError("labels did not settle")
+
+
 def largest_component(labels: DataFrame) -> DataFrame:
     """(node_id) of the component with most nodes; the smallest label wins a tie."""
     top = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
@@ -97,6 +145,30 @@ def junctions(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg((F.bool_or("t") & F.bool_or("r")).alias("is_junction"))
 
 
+def junction_flags(nodes: DataFrame, flags: DataFrame) -> DataFrame:
+    """`nodes` with is_junction; nodes without a flag are none."""
+    return nodes.join(flags.select("node_id", "is_junction"), "node_id", "left").withColumn("is_junction", F.coalesce("is_junction", F.lit(False)))
+
+
+class ContractError(ValueError):
+    """A stage's input breaks what the stage relies on."""
+
+
+def guard(edges: DataFrame, vertices: DataFrame, what: str) -> None:
+    """Raises unless there are edges, and all places and elevations are finite."""
+    if edges.isEmpty():
+        raise ContractError(f"{what}: no edges are left")
+    bad = broken_vertices(vertices).first()
+    if bad["places"] or bad["elevations"]:
+        raise ContractError(f"{what}: {bad['places']} places and {bad['elevations']} elevations are not finite, first on edge {bad['edge']}")
+
+
+def broken_vertices(vertices: DataFrame) -> DataFrame:
+    """(places, elevations, edge): how many vertices have a place or an elevation that isn't finite, and the first edge with one."""
+    place, elev = finite(F.col("lon")) & finite(F.col("lat")), finite(F.col("elev"))
+    return vertices.agg(F.count_if(~place).alias("places"), F.count_if(~elev).alias("elevations"), F.min(F.when(~(place & elev), F.col("edge"))).alias("edge"))
+
+
 def climb_seeds(edges: DataFrame, slope: float) -> DataFrame:
     return edges.where(F.col("length_m") > 0).where(F.col("d_plus_m") / F.col("length_m") >= slope)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions.measures import easting, finite, northing, ratio
+from ridgeline.functions.measures import DEM_M_PER_DEGREE, easting, finite, northing, ratio
 
 SPACING_M = 10.0
 SHORT_EDGE_M = 1e-3
@@ -60,10 +60,10 @@ def edge_metrics(vertices: DataFrame) -> DataFrame:
     ahead; an edge without any such pair falls back to its ends.
     """
     w = _by()
-    ahead = f"over (partition by edge order by cum range between {DESCENT_RUN_M}D following and unbounded following)"
-    rows = arc_length(vertices).withColumns(
-        {"dz": F.col("elev") - F.lag("elev").over(w), "far_z": F.expr(f"first(elev) {ahead}"), "far_cum": F.expr(f"first(cum) {ahead}")}
-    )
+    # From the far end on, the vertices at least so far ahead are a running frame: linear, where a look ahead would be quadratic.
+    far = f"min(struct(cum, idx, elev)) over (partition by edge order by cum desc range between unbounded preceding and {DESCENT_RUN_M}D preceding)"
+    rows = arc_length(vertices).withColumns({"dz": F.col("elev") - F.lag("elev").over(w), "far": F.expr(far)})
+    rows = rows.withColumns({"far_z": F.col("far.elev"), "far_cum": F.col("far.cum")})
     drop, run = F.col("elev") - F.col("far_z"), F.col("far_cum") - F.col("cum")
     grade = F.when(F.col("far_cum").isNotNull(), F.when(drop > 0, drop / run).otherwise(F.lit(0.0)))
     out = rows.withColumn("grade", grade).groupBy("edge").agg(
@@ -112,27 +112,46 @@ def resample(vertices: DataFrame, spacing: float = SPACING_M) -> DataFrame:
 
 
 def deadband(vertices: DataFrame, threshold: float) -> DataFrame:
-    """Elevations without reversals under the threshold: kept vertices are those that far from the last kept one, and both ends; between them by index."""
+    """Elevations without reversals under the threshold: kept vertices are those that far from the last kept one, and both ends; between them by index.
+
+    A reference that moves with each kept vertex is sequential, so each edge is one linear pass over its elevations.
+    """
     if threshold <= 0:
         return vertices
-    profile = vertices.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("idx", "elev"))).alias("p"))
-    start = F.struct(F.col("p")[0]["elev"].alias("ref"), F.array(F.col("p")[0]["idx"]).alias("kept"))
-    step = lambda acc, x: F.when(
-        F.abs(x["elev"] - acc["ref"]) >= threshold, F.struct(x["elev"].alias("ref"), F.array_append(acc["kept"], x["idx"]).alias("kept"))
-    ).otherwise(acc)
-    kept = profile.select("edge", F.explode(F.array_distinct(F.array_append(F.aggregate("p", start, step)["kept"], F.element_at("p", -1)["idx"]))).alias("idx"), F.lit(True).alias("kept"))
-    rows = vertices.join(kept, ["edge", "idx"], "left")
-    w = _by()
-    mark = F.when(F.col("kept"), F.struct("idx", "elev"))
-    rows = rows.withColumns(
-        {
-            "a": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "b": F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    span = F.col("b.idx") - F.col("a.idx")
-    t = F.when(span > 0, (F.col("idx") - F.col("a.idx")) / span).otherwise(F.lit(0.0))
-    return rows.withColumn("elev", F.col("a.elev") + t * (F.col("b.elev") - F.col("a.elev"))).select(vertices.columns)
+
+    def level(edge: pd.DataFrame) -> pd.DataFrame:
+        edge = edge.sort_values("idx", kind="stable")
+        place, elev = edge["idx"].to_numpy(float), edge["elev"].to_numpy(float)
+        kept, ref = [0], elev[0]
+        for k, z in enumerate(elev.tolist()):
+            if abs(z - ref) >= threshold:
+                ref = z
+                if k:
+                    kept.append(k)
+        if kept[-1] != len(elev) - 1:
+            kept.append(len(elev) - 1)
+        at = np.maximum(np.searchsorted(kept, np.arange(len(elev)), "right") - 1, 0)
+        a, b = np.array(kept)[at], np.array(kept)[np.minimum(at + 1, len(kept) - 1)]
+        span = np.where(b > a, place[b] - place[a], 1.0)
+        edge["elev"] = elev[a] + (place - place[a]) / span * (elev[b] - elev[a])
+        return edge
+
+    return vertices.groupBy("edge").applyInPandas(level, vertices.schema)
+
+
+def valid_for_metrics(vertices: DataFrame, least_m: float = 1e-6) -> DataFrame:
+    """(edge, valid): two vertices or more, all numbers finite, and a length that isn't nothing."""
+    sound = finite(F.col("lon")) & finite(F.col("lat")) & finite(F.col("elev"))
+    whole = arc_length(vertices.withColumn("_sound", sound)).groupBy("edge").agg(F.count("*").alias("n"), F.every("_sound").alias("sound"), F.sum("seg").alias("m"))
+    return whole.select("edge", ((F.col("n") >= 2) & F.col("sound") & F.coalesce(F.col("m") >= least_m, F.lit(False))).alias("valid"))
+
+
+def margin_box(vertices: DataFrame, margin_m: float) -> DataFrame:
+    """(left, bottom, right, top) of all finite vertices and a margin on the ground, at the box's middle latitude."""
+    box = vertices.where(finite(F.col("lon")) & finite(F.col("lat"))).agg(F.min("lon").alias("l"), F.min("lat").alias("b"), F.max("lon").alias("r"), F.max("lat").alias("t"))
+    up = F.lit(margin_m / DEM_M_PER_DEGREE)
+    across = up / F.cos(F.radians((F.col("b") + F.col("t")) / 2))
+    return box.select((F.col("l") - across).alias("left"), (F.col("b") - up).alias("bottom"), (F.col("r") + across).alias("right"), (F.col("t") + up).alias("top"))
 
 
 def diffusion_steps(strength_m: float, spacing: float = SPACING_M) -> int:
@@ -189,6 +208,26 @@ def smooth_elevation_of_edges(edges: DataFrame, strength_m: float, component: st
     return edges.groupBy(component).applyInPandas(relax, edges.schema)
 
 
+def operationalize(vertices: DataFrame, ends: DataFrame, strength_m: float, threshold: float) -> DataFrame:
+    """`vertices` with elevations smoothed over the whole network, then levelled along each edge: what metrics are taken of.
+
+    ends: (edge, node_u, node_v); an edge's first and last vertex are its nodes,
+    which edges share. A node starts at the elevation of its first edge.
+    """
+    last = F.max("idx").over(Window.partitionBy("edge"))
+    rows = vertices.join(ends, "edge").withColumn("_last", last)
+    inner = F.concat_ws("-", "edge", "idx")
+    point = F.when(F.col("idx") == 0, F.concat(F.lit("n"), "node_u")).when(F.col("idx") == F.col("_last"), F.concat(F.lit("n"), "node_v")).otherwise(inner)
+    rows = rows.withColumn("point", point).drop("_last", "node_u", "node_v")
+    sweeps = diffusion_steps(strength_m)
+    if sweeps:
+        links = rows.select(F.col("point").alias("a"), F.lead("point").over(_by()).alias("b")).where("b is not null")
+        both = links.select(F.col("a").alias("point"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("point"), F.col("a").alias("other")))
+        field = smooth_elevation(rows.groupBy("point").agg(F.min_by("elev", F.struct("edge", "idx")).alias("elev")), both, sweeps)
+        rows = rows.drop("elev").join(field, "point")
+    return deadband(rows.select(vertices.columns), threshold)
+
+
 def without_repeats(vertices: DataFrame) -> DataFrame:
     """Drops vertices equal to the one before."""
     before = F.lag(F.struct("lon", "lat", "elev")).over(_by())

@@ -108,6 +108,20 @@ def with_base_edges(routes: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
+def base_ids(routes: DataFrame, network: DataFrame) -> DataFrame:
+    """(route, seq, base_segment_ids) of each edge; an edge that the network doesn't have is an error."""
+    joined = routes.select("route", "seq", *ID).join(network.select(*ID, "base_segment_ids"), list(ID), "left")
+    unknown = F.raise_error(F.concat(F.lit("no such edge: "), F.concat_ws(" ", *ID)))
+    return joined.select("route", "seq", F.coalesce("base_segment_ids", unknown.cast(network.schema["base_segment_ids"].dataType)).alias("base_segment_ids"))
+
+
+def run_summary(objectives: DataFrame, found: DataFrame) -> DataFrame:
+    """(routes, total_objective, failures) of routes (route, objective) and their violations (route, ...)."""
+    bad = found.select("route").distinct().withColumn("bad", F.lit(1))
+    joined = objectives.join(bad, "route", "left")
+    return joined.agg(F.count("*").alias("routes"), F.coalesce(F.sum("objective"), F.lit(0.0)).alias("total_objective"), F.count("bad").alias("failures"))
+
+
 def sequence_hash(routes: DataFrame) -> DataFrame:
     """(route, hash): SHA-256 of the canonical JSON of each route's sorted edges."""
     triple = F.array(*[F.col(c).cast("long") for c in ID])

@@ -7,6 +7,8 @@ are independent seeded workers.
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,29 +17,42 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.functions.measures import segment_id
+from ridgeline.functions.tags import descends_over, sac_rank
+
 CHOICES = 5
 DRAWS = 1024
 MOST_EDGES = 5_000_000
 
 
 class Params(NamedTuple):
+    """Options of a search. time_budget: seconds a round, 0 for none; difficulty_cap: a rank from 1 to 6; max_descent: gradient, None for any."""
+
     theta: float = 0.2
     most_shared: float = 0.0
     n: int = 10
     iterations: int = 1000
     stagnation: int = 0
     seed: int = 0
+    time_budget: float = 0.0
+    difficulty_cap: int = 6
+    max_descent: float | None = None
+    start_at_junction: bool = False
 
 
 def check_params(p: Params) -> None:
     """Finiteness first, then ranges; the first fault is raised."""
-    for name in ("theta", "most_shared"):
-        if not np.isfinite(getattr(p, name)):
+    for name in ("theta", "most_shared", "time_budget", "max_descent"):
+        if getattr(p, name) is not None and not np.isfinite(getattr(p, name)):
             raise ValueError(f"{name} must be finite")
     if p.theta < 0:
         raise ValueError("theta must be at least 0")
     if not 0 <= p.most_shared <= 1:
         raise ValueError("most_shared must be from 0 to 1")
+    if p.time_budget < 0 or (p.max_descent is not None and p.max_descent <= 0):
+        raise ValueError("time_budget must be at least 0, and max_descent over 0")
+    if not 1 <= p.difficulty_cap <= 6:
+        raise ValueError("difficulty_cap must be from 1 to 6")
     if p.n < 1 or p.iterations < 1 or p.stagnation < 0:
         raise ValueError("n and iterations must be at least 1, stagnation at least 0")
 
@@ -98,47 +113,85 @@ def distinct_top(candidates: DataFrame, n: int, most_shared: float) -> DataFrame
 
 
 class Network(NamedTuple):
-    """Edges by source, best gain first, as arrays."""
+    """Edges by source, best gain first, as arrays. Pieces of way of edge e are segments[pieces[e]:pieces[e + 1]]; of these, `once` may be used once."""
 
     nodes: np.ndarray
     first: np.ndarray
     edges: np.ndarray  # node_u, node_v, key
     target: np.ndarray  # position of node_v in nodes
     metrics: np.ndarray  # length, gain
-    segments: list[tuple[int, ...]]
-    blocking: list[tuple[int, ...]]
+    pieces: np.ndarray
+    segments: np.ndarray
+    once: np.ndarray
+    starts: np.ndarray  # positions in nodes
+
+    def used_by(self, e: int) -> list[int]:
+        return self.segments[self.pieces[e] : self.pieces[e + 1]].tolist()
+
+    def blocking(self, e: int) -> list[int]:
+        own = self.segments[self.pieces[e] : self.pieces[e + 1]]
+        return own[self.once[own]].tolist()
+
 
+def usable(edges: DataFrame, p: Params) -> DataFrame:
+    """Edges that the options allow: under the difficulty cap, and not steeper down than the descent cap. Columns that are missing allow all."""
+    if "sac_scale" in edges.columns:
+        rank = sac_rank(F.col("sac_scale"))
+        edges = edges.where(rank.isNull() | (rank <= p.difficulty_cap))
+    if p.max_descent is not None and "max_windowed_descent_grad" in edges.columns:
+        edges = edges.where(~F.coalesce(descends_over(p.max_descent, F.col("d_plus_m"), F.col("d_minus_m"), F.col("max_windowed_descent_grad")), F.lit(False)))
+    return edges
 
-def load_network(edges: DataFrame) -> Network:
-    """edges: (node_u, node_v, key, length_m, d_plus_m, d_minus_m, reusable), filtered for the search already."""
+
+def load_network(edges: DataFrame, starts: DataFrame | None = None) -> Network:
+    """edges: (node_u, node_v, key, length_m, d_plus_m, d_minus_m, reusable, optionally base_segment_ids), usable ones only.
+
+    starts: (node_id) where routes may begin; all nodes if there is none.
+    """
     most = edges.limit(MOST_EDGES + 1).count()
     if most > MOST_EDGES:
         raise ValueError(f"the search network has over {MOST_EDGES} edges: contract or partition it")
-    rows = edges.withColumn("gain", F.col("d_plus_m") + F.col("d_minus_m")).orderBy("node_u", F.desc("gain"), "node_v", "key").toPandas()
-    nodes = np.unique(rows[["node_u", "node_v"]].to_numpy(np.int64)) if len(rows) else np.zeros(0, np.int64)
-    names: dict[tuple, int] = {}
-    own = [names.setdefault((min(u, v), max(u, v), k), len(names)) for u, v, k in rows[["node_u", "node_v", "key"]].itertuples(index=False, name=None)]
-    exempt = {s for s, free in zip(own, rows["reusable"], strict=True) if free} - {s for s, free in zip(own, rows["reusable"], strict=True) if not free}
+    if "base_segment_ids" not in edges.columns:
+        edges = edges.withColumn("base_segment_ids", F.array(segment_id(F.col("node_u"), F.col("node_v"), F.col("key"))))
+    rows = edges.withColumn("gain", F.col("d_plus_m") + F.col("d_minus_m")).orderBy("node_u", F.desc("gain"), "node_v", "key")
+    flat = rows.select(*[F.col(c).cast("long") for c in ("node_u", "node_v", "key")], *[F.col(c).cast("double") for c in ("length_m", "gain")], "reusable", *[F.col(f"base_segment_ids.{c}").alias(c) for c in "abk"]).toArrow().combine_chunks()
+    column = lambda c: flat.column(c).to_numpy()
+    ends = np.stack([column(c).astype(np.int64) for c in ("node_u", "node_v", "key")], axis=1)
+    nodes = np.unique(ends[:, :2])
+    lists = [flat.column(c).combine_chunks() for c in "abk"]
+    lists = [x.chunk(0) if hasattr(x, "chunk") else x for x in lists]
+    sizes = np.array(lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64) if len(flat) else np.zeros(0, np.int64)
+    parts = np.stack([np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.int64) for x in lists], axis=1) if len(flat) else np.zeros((0, 3), np.int64)
+    names, own = np.unique(parts, axis=0, return_inverse=True) if len(parts) else (parts, np.zeros(0, np.int64))
+    once = np.zeros(len(names), bool)
+    once[own.reshape(-1)[np.repeat(~column("reusable").astype(bool), sizes)]] = True
+    if starts is None:
+        begin = np.arange(len(nodes))
+    else:
+        wanted = np.asarray(starts.select(F.col("node_id").cast("long")).distinct().toArrow().column(0).to_numpy(), np.int64)
+        begin = np.flatnonzero(np.isin(nodes, wanted))
     return Network(
         nodes,
-        np.searchsorted(rows["node_u"].to_numpy(np.int64), np.append(nodes, np.iinfo(np.int64).max)),
-        rows[["node_u", "node_v", "key"]].to_numpy(np.int64),
-        np.searchsorted(nodes, rows["node_v"].to_numpy(np.int64)),
-        rows[["length_m", "gain"]].to_numpy(float),
-        [(s,) for s in own],
-        [() if s in exempt else (s,) for s in own],
+        np.searchsorted(ends[:, 0], np.append(nodes, np.iinfo(np.int64).max)),
+        ends,
+        np.searchsorted(nodes, ends[:, 1]),
+        np.stack([column("length_m"), column("gain")], axis=1).astype(float),
+        np.concatenate(([0], np.cumsum(sizes))),
+        own.reshape(-1),
+        once,
+        begin,
     )
 
 
 def construct(network: Network, draw) -> list[int]:
     """Edge numbers of one random greedy walk: each step picks among the first CHOICES usable edges."""
-    at, path = int(draw() * len(network.nodes)), []
+    at, path = int(network.starts[int(draw() * len(network.starts))]), []
     gone: set[int] = set()
     used: set[int] = set()
     while True:
         choices = []
         for e in range(network.first[at], network.first[at + 1]):
-            if e not in gone and not any(s in used for s in network.blocking[e]):
+            if e not in gone and not any(s in used for s in network.blocking(e)):
                 choices.append(e)
                 if len(choices) == CHOICES:
                     break
@@ -147,7 +200,7 @@ def construct(network: Network, draw) -> list[int]:
         e = choices[int(draw() * len(choices))]
         path.append(e)
         gone.add(e)
-        used.update(network.blocking[e])
+        used.update(network.blocking(e))
         at = int(network.target[e])
 
 
@@ -164,7 +217,7 @@ def grasp(network: Network, p: Params, rng: np.random.Generator, elite: list | N
     """One seeded search; elite solutions of earlier rounds are offered first."""
     tracker, still, last, done = DistinctTop(p.n, p.most_shared), 0, 0, 0
     for objective, path in elite or []:
-        tracker.offer(objective, frozenset(s for e in path for s in network.segments[e]), path)
+        tracker.offer(objective, frozenset(s for e in path for s in network.used_by(e)), path)
     buffer: list[float] = []
 
     def draw() -> float:
@@ -172,13 +225,13 @@ def grasp(network: Network, p: Params, rng: np.random.Generator, elite: list | N
             buffer.extend(rng.random(DRAWS)[::-1].tolist())
         return buffer.pop()
 
-    status = "budget-exhausted"
+    status, began = "budget-exhausted", time.monotonic()
     for done in range(1, p.iterations + 1):
-        if not len(network.nodes):
+        if not len(network.starts) or (p.time_budget and time.monotonic() - began > p.time_budget):
             break
         path = construct(network, draw)
         path = path[: best_prefix(network, path, p.theta)]
-        admitted = bool(path) and tracker.offer(float(network.metrics[path, 1].sum()), frozenset(s for e in path for s in network.segments[e]), path)
+        admitted = bool(path) and tracker.offer(float(network.metrics[path, 1].sum()), frozenset(s for e in path for s in network.used_by(e)), path)
         still, last = (0, done) if admitted else (still + 1, last)
         if p.stagnation and still >= p.stagnation:
             status = "converged"
@@ -198,16 +251,48 @@ def rounds(iterations: int, interval: int, workers: int) -> list[list[int]]:
     return [share(n, workers) for n in share(iterations, count)]
 
 
-def search(spark: SparkSession, edges: DataFrame, p: Params, workers: int = 4, interval: int = 0) -> DataFrame:
+def context_key(network: Network, p: Params) -> str:
+    """What a stored result was made of: the network's arrays and the options."""
+    told = hashlib.sha256(repr(tuple(p)).encode())
+    for part in network:
+        told.update(np.ascontiguousarray(part).tobytes())
+    return told.hexdigest()
+
+
+def degradation_message(returned: int, p: Params) -> str | None:
+    """Why there are fewer routes than asked for; None if there are enough (fixed wording)."""
+    if returned >= p.n:
+        return None
+    bounds, levers = f"theta={p.theta:.2f}, J_max <= {p.most_shared:.2f}", "relax --theta or --j-max"
+    if p.start_at_junction:
+        bounds, levers = f"{bounds}, start-at-junction", f"{levers} or drop --start-at-junction"
+    if p.max_descent is not None:
+        bounds, levers = f"{bounds}, max-descent-slope={p.max_descent:.2f}", f"{levers} or raise/drop --max-descent-slope"
+    return f"Only {returned} of {p.n} requested routes satisfy the current constraints ({bounds}); {levers} to admit more."
+
+
+def exit_code(violations: DataFrame, pairs: DataFrame) -> int:
+    """1 if a route fails a constraint or two routes overlap too much, else 0."""
+    return 0 if violations.isEmpty() and pairs.isEmpty() else 1
+
+
+def search(spark: SparkSession, edges: DataFrame, p: Params, workers: int = 4, interval: int = 0, junctions: DataFrame | None = None, snapshots: str | None = None, expected: str | None = None) -> DataFrame:
     """ROUTES: distinct top routes of an island search.
 
     Workers search on their own for a round, their tops are merged in worker
     order, and the merged top seeds the next round. The same seed and number of
-    workers give the same routes wherever tasks run: a worker's generator
-    depends on its number and round only.
+    workers give the same routes wherever tasks run (without a time budget): a
+    worker's generator depends on its number and round only. junctions:
+    (node_id, is_junction). snapshots: a folder that gets the best routes after
+    each round, so that the best so far can be read at any time; after an
+    interrupt the last completed round's routes are the result.
     """
     check_params(p)
-    network = load_network(edges)
+    if p.start_at_junction and junctions is None:
+        raise ValueError("start_at_junction needs the junctions")
+    network = load_network(usable(edges, p), junctions.where("is_junction") if p.start_at_junction else None)
+    if expected is not None and context_key(network, p) != expected:
+        raise ValueError("the network or the options are not those of the stored context")
     shared = spark.sparkContext.broadcast(network)
     elite: list[tuple[float, list[int]]] = []
     status = "budget-exhausted"
@@ -222,14 +307,24 @@ def search(spark: SparkSession, edges: DataFrame, p: Params, workers: int = 4, i
                     out = [(int(w), k, o, path, told["iterations"], told["converged_at"], told["status"]) for k, (o, _, _, path) in enumerate(tracker.top())]
                     yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
 
-        rows = spark.range(0, workers, 1, workers).mapInPandas(run, FOUND).orderBy("worker", "rank").collect()  # n rows a worker
+        try:
+            rows = spark.range(0, workers, 1, workers).mapInPandas(run, FOUND).orderBy("worker", "rank").collect()  # n rows a worker
+        except KeyboardInterrupt:
+            status = "interrupted"
+            break
         merged = DistinctTop(p.n, p.most_shared)
         for r in rows:
-            merged.offer(r["objective"], frozenset(s for e in r["path"] for s in network.segments[e]), list(r["path"]))
+            merged.offer(r["objective"], frozenset(s for e in r["path"] for s in network.used_by(e)), list(r["path"]))
         elite = [(objective, path) for objective, _, _, path in merged.top()]
+        if snapshots:
+            _routes(spark, network, elite, status).write.mode("error").parquet(f"{snapshots}/round={turn}")
         status = "converged" if rows and all(r["status"] == "converged" for r in rows) else "budget-exhausted"
         if status == "converged":
             break
+    return _routes(spark, network, elite, status)
+
+
+def _routes(spark: SparkSession, network: Network, elite: list[tuple[float, list[int]]], status: str) -> DataFrame:
     out = [(k, s, *map(int, network.edges[e]), objective, status) for k, (objective, path) in enumerate(elite) for s, e in enumerate(path)]
     return spark.createDataFrame(out, ROUTES)
 

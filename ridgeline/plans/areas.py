@@ -56,10 +56,42 @@ SELECT q AS query_id, area_id FROM (SELECT *, row_number() OVER (PARTITION BY q
 
 
 def nearest_area(spark, sf_dir):
-    return A.nearest(asked(spark, sf_dir), entries(spark, sf_dir)).select("query_id", portable_round(F.col("distance_km"), 6).alias("distance_km"))
+    return A.nearest(asked(spark, sf_dir), entries(spark, sf_dir)).select("query_id", "area_id", portable_round(F.col("distance_km"), 6).alias("distance_km"))
 
 
-NEAREST = f"""WITH {EN_SQL}, {QU_SQL} SELECT qu.area_id AS query_id, {rounded('min(sqrt((en.lat - qu.lat) * 111 * (en.lat - qu.lat) * 111 + (en.lon - qu.lon) * 111 * cos(radians(qu.lat)) * (en.lon - qu.lon) * 111 * cos(radians(qu.lat))))')} AS distance_km FROM qu, en GROUP BY qu.area_id"""
+_KM = "sqrt(((q.lat - en.lat) * 111) ** 2 + ((q.lon - en.lon) * 111 * cos(radians((q.lat + en.lat) / 2))) ** 2)"
+NEAREST = f"""WITH {EN_SQL}, {QU_SQL}, d AS (SELECT q.area_id AS query_id, en.area_id, {_KM} AS km FROM qu q, en)
+SELECT query_id, arg_min(area_id, (floor(km * 1e9), area_id)) AS area_id, {rounded('min(km)')} AS distance_km FROM d GROUP BY query_id"""
+
+
+def coverage_hints(spark, sf_dir):
+    return A.coverage_hint(asked(spark, sf_dir), _squares(entries(spark, sf_dir))).select("query_id", "area_id", portable_round(F.col("largest_radius_km"), 6).alias("largest_radius_km"))
+
+
+def _squares(e):
+    """Entries of which every second is an upright square, small enough that many queries are not covered."""
+    even = F.col("area_id") % 2 == 0
+    return e.withColumns({"half_width_km": F.lit(4.0), "half_height_km": F.when(even, 4.0).otherwise(3.0), "angle_deg": F.lit(0.0)})
+
+
+HINTS = f"""WITH {EN_SQL}, {QU_SQL}, sq AS (SELECT area_id, lat, lon, 4.0::DOUBLE AS hw, CASE WHEN area_id % 2 = 0 THEN 4.0::DOUBLE ELSE 3.0::DOUBLE END AS hh, 0.0::DOUBLE AS ang FROM en),
+c AS (SELECT area_id AS q, clon, clat FROM {_corners('qu')}),
+i AS (SELECT q, sq.area_id FROM c, sq GROUP BY q, sq.area_id HAVING bool_and(abs((clon - lon) * 111.0::DOUBLE * cos(radians(lat))) <= hw + 1e-9 AND abs((clat - lat) * 111.0::DOUBLE) <= hh + 1e-9)),
+m AS (SELECT * FROM qu WHERE area_id NOT IN (SELECT q FROM i)),
+d AS (SELECT q.area_id AS query_id, en.area_id, {_KM} AS km, q.hw = q.hh AND q.ang = 0 AND en.hw = en.hh AS square,
+  en.hw - greatest(abs(q.lat - en.lat) * 111, abs(q.lon - en.lon) * 111 * cos(radians((q.lat + en.lat) / 2))) AS r FROM m q, sq en),
+b AS (SELECT query_id, arg_min((area_id, square, r), (floor(km * 1e9), area_id)) AS x FROM d GROUP BY query_id)
+SELECT query_id, x[1] AS area_id, CASE WHEN x[2] AND x[3] > 0 THEN {rounded('x[3]')} END AS largest_radius_km FROM b"""
+
+
+def dem_keys(spark, sf_dir):
+    b = A.bounding_boxes(entries(spark, sf_dir).where("angle_deg = 0"))
+    r = lambda c: F.floor(F.col(c) * 1000) / 1000
+    return b.select("area_id", A.dem_cache_key(r("left"), r("bottom"), r("right"), r("top"), F.lit(0.5), "terrain", "v2").alias("key"))
+
+
+DEM_KEYS = f"""WITH {EN_SQL}, b AS (SELECT area_id, floor(min(clon) * 1000) / 1000 AS w, floor(min(clat) * 1000) / 1000 AS s, floor(max(clon) * 1000) / 1000 AS e, floor(max(clat) * 1000) / 1000 AS n FROM {_corners('en')} WHERE ang = 0 GROUP BY area_id)
+SELECT area_id, substr(sha256(concat_ws('|', printf('%.6f', w), printf('%.6f', s), printf('%.6f', e), printf('%.6f', n), printf('%.6f', 0.5), 'terrain', 'v2')), 1, 16) AS key FROM b"""
 
 
 def cache_keys(spark, sf_dir):
@@ -71,11 +103,12 @@ KEYS = f"WITH {EN_SQL} SELECT area_id, substr(sha256(concat_ws('|', printf('%.6f
 
 def stale_entries(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    all_ = o.select(F.col("o_custkey").alias("area_id"), F.col("o_orderkey").alias("key"))
-    return A.stale_siblings(all_, all_.groupBy("area_id").agg(F.max("key").alias("key")))
+    all_ = o.select(F.col("o_custkey").alias("area_id"), F.col("o_orderstatus").alias("policy"), F.substring("o_orderpriority", 1, 1).alias("dem_version"), F.col("o_orderkey").alias("key"))
+    return A.stale_siblings(all_, all_.groupBy("area_id", "policy", "dem_version").agg(F.max("key").alias("key")))
 
 
-STALE = "SELECT o_custkey AS area_id, o_orderkey AS key FROM orders o WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders i WHERE i.o_custkey = o.o_custkey)"
+STALE = """SELECT o_custkey AS area_id, o_orderstatus AS policy, substr(o_orderpriority, 1, 1) AS dem_version, o_orderkey AS key FROM orders o
+WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders i WHERE i.o_custkey = o.o_custkey AND i.o_orderstatus = o.o_orderstatus AND substr(i.o_orderpriority, 1, 1) = substr(o.o_orderpriority, 1, 1))"""
 
 
 def area_features(spark, sf_dir):
@@ -112,38 +145,58 @@ SELECT event_id, CAST(elev AS DOUBLE) AS elev FROM p LEFT JOIN c ON p.row = c.ro
 def _lines(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    m = F.col("event_id") % 6
-    line = (
-        F.when(m == 0, F.concat(F.lit("[1/9] "), "event_type", F.lit(" ...")))
-        .when(m == 1, F.concat(F.lit("[1/9] "), "event_type", F.lit(" done in "), F.col("event_id") % 50, F.lit(".5s")))
-        .when(m < 4, F.concat(F.lit("progress: iter="), "event_id", F.lit(" best="), F.col("event_id") % 77, F.lit(".25")))
-        .when(m == 4, F.lit("  "))
-        .otherwise(F.lit("note"))
-    )
+    k = F.col("event_id")
+    said = [
+        F.concat(F.lit("stage: "), "event_type", F.lit(" (first, second) ...")),
+        F.concat(F.lit("stage: "), "event_type", F.lit(": "), k % 50, F.lit(".5 s")),
+        F.concat(F.lit("progress: iter="), k, F.lit(" best_objective="), k % 77, F.lit(".2 elapsed="), k % 31, F.lit(".1s eta=3s stagnation=4")),
+        F.concat(F.lit("progress: workers=1/4 iters="), k, F.lit(" best_worker_objective=-"), k % 77, F.lit(".7 elapsed="), k % 29, F.lit(".3s")),
+        F.lit("  "),
+        F.concat(F.lit("total_objective: "), k % 90, F.lit(".4")),
+        F.concat(F.lit("stage: "), "event_type", F.lit(" ...")),
+    ]
+    line = F.concat(F.lit("note stage: x ... "), k)
+    for m, text in enumerate(said):
+        line = F.when(k % 8 == m, text).otherwise(line)
     return ev.select(F.col("user_id").cast("string").alias("job_id"), seq.cast("long").alias("seq"), line.alias("line"))
 
 
-L_SQL = """l AS (SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
-  CASE event_id % 6 WHEN 0 THEN 'start' WHEN 1 THEN 'done' WHEN 2 THEN 'solve' WHEN 3 THEN 'solve' WHEN 4 THEN 'blank' ELSE 'other' END AS kind, event_type, event_id FROM events)"""
+L_SQL = r"""t AS (SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CASE event_id % 8
+  WHEN 0 THEN 'stage: ' || event_type || ' (first, second) ...' WHEN 1 THEN 'stage: ' || event_type || ': ' || event_id % 50 || '.5 s'
+  WHEN 2 THEN 'progress: iter=' || event_id || ' best_objective=' || event_id % 77 || '.2 elapsed=' || event_id % 31 || '.1s eta=3s stagnation=4'
+  WHEN 3 THEN 'progress: workers=1/4 iters=' || event_id || ' best_worker_objective=-' || event_id % 77 || '.7 elapsed=' || event_id % 29 || '.3s'
+  WHEN 4 THEN '  ' WHEN 5 THEN 'total_objective: ' || event_id % 90 || '.4' WHEN 6 THEN 'stage: ' || event_type || ' ...' ELSE 'note stage: x ... ' || event_id END AS line FROM events),
+g AS (SELECT *, regexp_extract(line, '^stage: (.+?) [.][.][.]$', 1) AS b, regexp_extract(line, '^stage: (.+): (\d+(?:[.]\d+)?) s$', ['n', 's']) AS d,
+  regexp_extract(line, '^progress: (?:iter|workers=\d+/\d+ iters)=(\d+) best_(?:worker_)?objective=(-?\d+(?:[.]\d+)?) elapsed=(\d+(?:[.]\d+)?)s', ['i', 'o', 's']) AS p,
+  regexp_extract(line, '^total_objective: (-?\d+(?:[.]\d+)?)$', 1) AS o FROM t WHERE trim(line) <> ''),
+l AS (SELECT job_id, seq, line, CASE WHEN b <> '' THEN 'start' WHEN d.n <> '' THEN 'done' WHEN p.i <> '' THEN 'solve' WHEN o <> '' THEN 'summary' ELSE 'other' END AS kind,
+  CASE WHEN b <> '' THEN split_part(b, ' (', 1) ELSE nullif(d.n, '') END AS stage_name, TRY_CAST(p.i AS BIGINT) AS iter,
+  coalesce(TRY_CAST(p.o AS DOUBLE), TRY_CAST(o AS DOUBLE)) AS best, coalesce(TRY_CAST(d.s AS DOUBLE), TRY_CAST(p.s AS DOUBLE)) AS elapsed FROM g)""".replace("\\\\", "\\")
 
 
 def progress_regex(spark, sf_dir):
     return S.parse_lines(_lines(spark, sf_dir)).select("job_id", "seq", "kind", "stage_name", "iter", "best", "elapsed")
 
 
-REGEX = f"""WITH {L_SQL} SELECT job_id, seq, kind, CASE WHEN kind IN ('start', 'done') THEN event_type END AS stage_name, CASE WHEN kind = 'solve' THEN event_id END AS iter,
-CASE WHEN kind = 'solve' THEN event_id % 77 + 0.25::DOUBLE END AS best, CASE WHEN kind = 'done' THEN event_id % 50 + 0.5::DOUBLE END AS elapsed FROM l WHERE kind <> 'blank'"""
+REGEX = f"WITH {L_SQL} SELECT job_id, seq, kind, stage_name, iter, best, elapsed FROM l"
 
 
 def progress_states(spark, sf_dir):
-    return S.states(_lines(spark, sf_dir))
+    return S.states(_lines(spark, sf_dir)).withColumn("log_tail", F.array_join("log_tail", "\n"))
+
+
+STATES = f"""WITH {L_SQL}, s AS (SELECT *, CAST(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INTEGER) AS k FROM l)
+SELECT job_id, seq, CASE WHEN max(CASE WHEN kind = 'solve' THEN 1 ELSE 0 END) OVER w = 1 THEN 'solve' ELSE 'query' END AS phase, k AS stage_index, 6 AS stage_total,
+  last_value(stage_name IGNORE NULLS) OVER j AS stage_name, last_value(iter IGNORE NULLS) OVER w AS iter, last_value(CASE WHEN kind = 'solve' THEN best END IGNORE NULLS) OVER w AS best,
+  last_value(elapsed IGNORE NULLS) OVER j AS elapsed, array_to_string(list(line) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), chr(10)) AS log_tail
+FROM s WINDOW w AS (PARTITION BY job_id, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), j AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
-STATES = f"""WITH {L_SQL}, s AS (SELECT *, CAST(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INTEGER) AS k FROM l WHERE kind <> 'blank')
-SELECT job_id, seq, CASE WHEN max(CASE WHEN kind = 'solve' THEN 1 ELSE 0 END) OVER w = 1 THEN 'solve' ELSE 'query' END AS phase, k AS stage_index,
-  first_value(CASE WHEN kind = 'start' THEN event_type END) OVER w AS stage_name, last_value(CASE WHEN kind = 'solve' THEN event_id END IGNORE NULLS) OVER w AS iter,
-  last_value(CASE WHEN kind = 'solve' THEN event_id % 77 + 0.25::DOUBLE END IGNORE NULLS) OVER w AS best, last_value(CASE WHEN kind = 'done' THEN event_id % 50 + 0.5::DOUBLE END IGNORE NULLS) OVER w AS elapsed
-FROM s WINDOW w AS (PARTITION BY job_id, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+def summary_objectives(spark, sf_dir):
+    return S.summary_objective(_lines(spark, sf_dir))
+
+
+OBJECTIVES = f"WITH {L_SQL} SELECT job_id, arg_max(best, seq) AS objective FROM l WHERE kind = 'summary' GROUP BY job_id"
 
 
 def snapshot_tail(spark, sf_dir):
@@ -151,7 +204,7 @@ def snapshot_tail(spark, sf_dir):
     return S.snapshot_then_tail(log.where("seq < 30"), log.where("seq >= 20").unionAll(log.where("seq = 40"))).select("job_id", "seq")
 
 
-TAIL = f"WITH {L_SQL} SELECT job_id, seq FROM l"
+TAIL = f"WITH {L_SQL} SELECT job_id, seq FROM t"
 
 
 def stage_timing(spark, sf_dir):
@@ -232,18 +285,25 @@ def latest_jobs(spark, sf_dir):
 JOBS = "SELECT CAST(o_custkey AS VARCHAR) AS job_id, CASE arg_max(o_orderstatus, (o_orderdate, o_orderkey)) WHEN 'O' THEN 'failed' WHEN 'F' THEN 'done' ELSE 'queued' END AS status FROM orders GROUP BY o_custkey"
 
 
-def run_summary(spark, sf_dir):
+def job_transitions(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.agg(F.count("*").alias("routes"), F.count_if(F.col("o_totalprice") > 1000).alias("long"), portable_round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "running").otherwise("done")
+    rows = o.select(F.col("o_custkey").cast("string").alias("job_id"), F.col("o_orderkey").alias("updated"), status.alias("status"))
+    return records.bad_transitions(rows)
+
 
+TRANSITIONS = """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS job_id, o_orderkey AS updated, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'running' ELSE 'done' END AS status FROM orders),
+b AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY updated) AS before FROM r)
+SELECT job_id, updated, before, status FROM b WHERE NOT ((before IS NULL AND status = 'queued') OR coalesce(before = 'queued' AND status = 'running', FALSE) OR coalesce(before = 'running' AND status = 'done', FALSE))"""
 
-SUMMARY = f"SELECT count(*) AS routes, count(*) FILTER (WHERE o_totalprice > 1000) AS long, {rounded('CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)', 2)} AS total FROM orders"
 
 QUERIES = {
     "area_ring": (area_ring, RING),
     "area_bbox": (area_bbox, BOX),
     "covering_smallest": (covering_smallest, COVERING),
     "nearest_area": (nearest_area, NEAREST),
+    "coverage_hints": (coverage_hints, HINTS),
+    "dem_keys": (dem_keys, DEM_KEYS),
     "cache_keys": (cache_keys, KEYS),
     "stale_entries": (stale_entries, STALE),
     "area_features": (area_features, FEATURES),
@@ -251,6 +311,8 @@ QUERIES = {
     "raster_sample": (raster_sample, SAMPLE),
     "progress_regex": (progress_regex, REGEX),
     "progress_states": (progress_states, STATES),
+    "summary_objectives": (summary_objectives, OBJECTIVES),
+    "job_transitions": (job_transitions, TRANSITIONS),
     "snapshot_tail": (snapshot_tail, TAIL),
     "stage_timing": (stage_timing, TIMING),
     "stagnation": (stagnation, STAGNATION),
@@ -261,5 +323,4 @@ QUERIES = {
     "data_age": (data_age, AGE),
     "place_label": (place_label, LABEL),
     "latest_jobs": (latest_jobs, JOBS),
-    "run_summary": (run_summary, SUMMARY),
 }

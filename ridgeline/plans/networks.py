@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ridgeline.functions.measures import portable_round
-from ridgeline.functions.tags import cap_rank, descends_over, has_road, has_trail, highway_class, keep_way, sac_rank
+from ridgeline.functions.tags import cap_rank, descends_over, has_road, has_trail, highway_class, keep_way, sac_rank, tag_list
 from ridgeline.operators import networks as N
 from ridgeline.plans.polylines import rounded
 
@@ -115,65 +115,78 @@ def orphan_nodes(spark, sf_dir):
 ORPHANS = f"WITH {F_SQL}, k AS (SELECT node_u AS n FROM fl WHERE length_m > 450 UNION SELECT node_v FROM fl WHERE length_m > 450) SELECT p_partkey AS node_id, p_size AS size FROM part WHERE p_partkey IN (SELECT n FROM k)"
 
 
-def steep(spark, sf_dir):
-    return flat(edges(spark, sf_dir)).where("length_m <= 20 and key = 0")
-
-
 def components(spark, sf_dir):
-    return N.weak_components(steep(spark, sf_dir))
+    return N.weak_components(flat(edges(spark, sf_dir)))
 
 
-COMPONENTS = f"""WITH RECURSIVE {F_SQL}, l AS (SELECT node_u AS a, node_v AS b FROM fl WHERE length_m <= 20 AND key = 0 UNION SELECT node_v, node_u FROM fl WHERE length_m <= 20 AND key = 0),
+COMPONENTS = f"""WITH RECURSIVE {F_SQL}, l AS (SELECT node_u AS a, node_v AS b FROM fl UNION SELECT node_v, node_u FROM fl),
 r AS (SELECT DISTINCT a AS n, a AS m FROM l UNION SELECT l.b, r.m FROM r JOIN l ON r.n = l.a)
 SELECT n AS node_id, min(m) AS component FROM r GROUP BY n"""
 
 
 def largest_component(spark, sf_dir):
-    return N.largest_component(N.weak_components(steep(spark, sf_dir)))
+    return N.largest_component(components(spark, sf_dir))
 
 
 LARGEST = COMPONENTS.replace("SELECT n AS node_id, min(m) AS component FROM r GROUP BY n", "") + """, c AS (SELECT n AS node_id, min(m) AS component FROM r GROUP BY n)
 SELECT node_id FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"""
 
 
-def components_whole(spark, sf_dir):
-    """Over all edges; `components` takes only those its SQL takes."""
-    return N.weak_components(flat(edges(spark, sf_dir)))
+def strong_components(spark, sf_dir):
+    return N.strong_components(flat(edges(spark, sf_dir)))
+
+
+STRONG = f"""WITH RECURSIVE {F_SQL}, l AS (SELECT DISTINCT node_u AS a, node_v AS b FROM fl), nd AS (SELECT a AS n FROM l UNION SELECT b FROM l),
+r AS (SELECT n AS s, n FROM nd UNION SELECT r.s, l.b FROM r JOIN l ON r.n = l.a)
+SELECT x.s AS node_id, min(x.n) AS component FROM r x JOIN r y ON x.s = y.n AND x.n = y.s GROUP BY x.s"""
+
+
+def junction_reads(spark, sf_dir):
+    flags = N.junctions(flat(edges(spark, sf_dir)).withColumn("is_super", F.lit(False)))
+    nodes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node_id"))
+    return N.junction_flags(nodes, flags)
+
+
+JUNCTION_READS = f"""WITH {E_SQL}, {TAG_SQL}, n AS (SELECT component * 100 + node_u AS node_id, is_trail, is_road FROM cl UNION ALL SELECT component * 100 + node_v, is_trail, is_road FROM cl),
+j AS (SELECT node_id, bool_or(is_trail) AND bool_or(is_road) AS f FROM n GROUP BY node_id) SELECT p_partkey AS node_id, coalesce(f, FALSE) AS is_junction FROM part LEFT JOIN j ON p_partkey = node_id"""
+
 
+def tag_lists(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, word = F.col("o_orderkey") % 5, F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))
+    raw = F.when(k == 0, word).when(k == 1, F.concat(F.lit("["), word, F.lit(", 3]"))).when(k == 2, F.concat(F.lit('["path", '), word, F.lit("]"))).when(k == 3, F.lit("7"))
+    return o.select("o_orderkey", tag_list(raw).alias("t")).select("o_orderkey", F.array_join("t.values", "|").alias("tags"), "t.had_non_string")
+
+
+TAG_LISTS = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderpriority WHEN 2 THEN 'path|' || o_orderpriority ELSE '' END AS tags, o_orderkey % 5 IN (1, 3) AS had_non_string FROM orders"""
 
-def largest_component_whole(spark, sf_dir):
-    return N.largest_component(components_whole(spark, sf_dir))
+
+AREA = {"lat": 0.2, "lon": 0.2, "half_width_km": 15.0, "half_height_km": 8.0, "angle_deg": 30.0}
 
 
 def truncated(spark, sf_dir):
     e = flat(edges(spark, sf_dir))
     nodes = N.endpoints(e).distinct().select("node_id", (F.col("node_id") % 100 * F.lit(0.01)).alias("lon"), (F.col("node_id") % 37 * F.lit(0.01)).alias("lat"))
-    kept = N.truncate(e, nodes, N.inside_box(F.col("lon"), F.col("lat"), 0.2, 0.2, 0.1, 0.1))
+    kept = N.truncate(e, nodes, N.inside_area(F.col("lon"), F.col("lat"), AREA))
     return kept.groupBy("node_u").agg(F.count("*").alias("n"))
 
 
-TRUNCATED = f"""WITH {F_SQL}, n AS (SELECT DISTINCT unnest([node_u, node_v]) AS node_id FROM fl), k AS (SELECT node_id FROM n WHERE abs(node_id % 100 * 0.01::DOUBLE - 0.2::DOUBLE) <= 0.1::DOUBLE AND abs(node_id % 37 * 0.01::DOUBLE - 0.2::DOUBLE) <= 0.1::DOUBLE)
+TRUNCATED = f"""WITH {F_SQL}, n AS (SELECT DISTINCT unnest([node_u, node_v]) AS node_id FROM fl),
+xy AS (SELECT node_id, (node_id % 100 * 0.01::DOUBLE - 0.2::DOUBLE) * 111 * cos(radians(0.2::DOUBLE)) AS e, (node_id % 37 * 0.01::DOUBLE - 0.2::DOUBLE) * 111 AS n, radians(30.0::DOUBLE) AS a FROM n),
+k AS (SELECT node_id FROM xy WHERE abs(e * cos(a) - n * sin(a)) <= 15 AND abs(e * sin(a) + n * cos(a)) <= 8)
 SELECT node_u, count(*) AS n FROM fl WHERE node_u IN (SELECT node_id FROM k) AND node_v IN (SELECT node_id FROM k) GROUP BY node_u"""
 
 
-def _normalized(e):
+def normalized_edges(spark, sf_dir):
+    e = flat(edges(spark, sf_dir))
     geometry = F.when(F.col("length_m") > 250, F.array(F.struct(F.lit(0.0).alias("lon"), F.lit(1.0).alias("lat")))).alias("geometry")
     nodes = N.endpoints(e).distinct().where("node_id % 5 <> 0").select("node_id", (F.col("node_id") * F.lit(0.5)).alias("lon"), (F.col("node_id") * F.lit(0.25)).alias("lat"))
-    out = N.normalize_edges(e.select("node_u", "node_v", geometry), nodes)
-    return out.select("node_u", "node_v", F.size("geometry").alias("n"), F.col("geometry")[0]["lon"].alias("lon0"), F.element_at("geometry", -1)["lat"].alias("lat1"))
-
-
-def normalized_edges(spark, sf_dir):
-    return _normalized(flat(edges(spark, sf_dir)).where("key = 0"))
-
-
-def normalized_edges_whole(spark, sf_dir):
-    """With parallel edges; `normalized_edges` takes only those its SQL takes."""
-    return _normalized(flat(edges(spark, sf_dir)))
+    out = N.normalize_edges(e.select("node_u", "node_v", "key", geometry), nodes)
+    return out.select("node_u", "node_v", "key", F.size("geometry").alias("n"), F.col("geometry")[0]["lon"].alias("lon0"), F.element_at("geometry", -1)["lat"].alias("lat1"))
 
 
-NORMALIZED = f"""WITH {F_SQL}, g AS (SELECT node_u, node_v, length_m > 250 AS has FROM fl WHERE key = 0)
-SELECT node_u, node_v, CASE WHEN has THEN 1 ELSE 2 END AS n, CASE WHEN has THEN 0.0::DOUBLE WHEN node_u % 5 <> 0 THEN node_u * 0.5::DOUBLE END AS lon0, CASE WHEN has THEN 1.0::DOUBLE WHEN node_v % 5 <> 0 THEN node_v * 0.25::DOUBLE END AS lat1 FROM g"""
+NORMALIZED = f"""WITH {F_SQL}, g AS (SELECT node_u, node_v, key, length_m > 250 AS has FROM fl)
+SELECT node_u, node_v, key, CASE WHEN has THEN 1 ELSE 2 END AS n, CASE WHEN has THEN 0.0::DOUBLE WHEN node_u % 5 <> 0 THEN node_u * 0.5::DOUBLE END AS lon0, CASE WHEN has THEN 1.0::DOUBLE WHEN node_v % 5 <> 0 THEN node_v * 0.25::DOUBLE END AS lat1 FROM g"""
 
 
 def adjacency_top5(spark, sf_dir):
@@ -278,11 +291,11 @@ QUERIES = {
     "orphan_nodes": (orphan_nodes, ORPHANS),
     "components": (components, COMPONENTS),
     "largest_component": (largest_component, LARGEST),
-    "components_whole": (components_whole, None),
-    "largest_component_whole": (largest_component_whole, None),
+    "strong_components": (strong_components, STRONG),
+    "junction_reads": (junction_reads, JUNCTION_READS),
+    "tag_lists": (tag_lists, TAG_LISTS),
     "truncated_edges": (truncated, TRUNCATED),
     "normalized_edges": (normalized_edges, NORMALIZED),
-    "normalized_edges_whole": (normalized_edges_whole, None),
     "adjacency_top5": (adjacency_top5, ADJACENCY),
     "climb_seeds": (climb_seeds, SEEDS),
     "climb_islands": (climb_islands, ISLANDS),

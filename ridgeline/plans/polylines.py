@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions.measures import finite, haversine_m, portable_round
+from ridgeline.functions.measures import haversine_m, portable_round
 from ridgeline.operators import polylines as P
+from ridgeline.operators.networks import broken_vertices
 
 V_SQL = """v AS (
   SELECT user_id AS edge, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
@@ -180,15 +181,70 @@ SELECT edge, idx, {rounded('CASE WHEN run > 0 THEN rise / run ELSE 0 END')} AS s
 
 
 def bbox(spark, sf_dir):
+    return P.margin_box(vertices(spark, sf_dir), 100.0).select(*[r6(c, 9) for c in ("left", "bottom", "right", "top")])
+
+
+BBOX = f"""WITH {V_SQL}, b AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM v WHERE isfinite(lon) AND isfinite(lat)),
+m AS (SELECT *, 100 / 111194.93::DOUBLE AS up, 100 / (111194.93::DOUBLE * cos(radians((s + n) / 2))) AS across FROM b)
+SELECT {rounded('w - across', 9)} AS "left", {rounded('s - up', 9)} AS bottom, {rounded('e + across', 9)} AS "right", {rounded('n + up', 9)} AS top FROM m"""
+
+
+def _odd(spark, sf_dir):
     v = vertices(spark, sf_dir)
-    margin = F.lit(100 / 111194.93)
-    return v.where(finite(F.col("lon")) & finite(F.col("lat"))).agg(
-        portable_round(F.min("lon") - margin, 9).alias("left"), portable_round(F.min("lat") - margin, 9).alias("bottom"), portable_round(F.max("lon") + margin, 9).alias("right"), portable_round(F.max("lat") + margin, 9).alias("top")
-    )
+    odd = v.withColumn("elev", F.when((F.col("edge") % 7 == 0) & (F.col("idx") == 3), F.lit(float("nan"))).otherwise(F.col("elev")))
+    odd = odd.withColumns({x: F.when(F.col("edge") % 11 == 0, F.lit(1.0)).when((F.col("edge") % 17 == 0) & (F.col("idx") == 1), F.lit(float("inf"))).otherwise(F.col(x)) for x in ("lon", "lat")})
+    return odd.where("edge % 13 <> 0 or idx = 0")
+
+
+ODD = """o AS (SELECT edge, idx, CASE WHEN edge % 11 = 0 THEN 1 WHEN edge % 17 = 0 AND idx = 1 THEN 'inf'::DOUBLE ELSE lon END AS lon,
+  CASE WHEN edge % 11 = 0 THEN 1 WHEN edge % 17 = 0 AND idx = 1 THEN 'inf'::DOUBLE ELSE lat END AS lat, CASE WHEN edge % 7 = 0 AND idx = 3 THEN 'nan'::DOUBLE ELSE elev END AS elev FROM v WHERE edge % 13 <> 0 OR idx = 0)"""
+
+
+def metrics_validity(spark, sf_dir):
+    return P.valid_for_metrics(_odd(spark, sf_dir))
+
+
+METRICS_VALIDITY = f"""WITH {V_SQL}, {ODD}
+SELECT edge, count(*) >= 2 AND bool_and(isfinite(lon) AND isfinite(lat) AND isfinite(elev)) AND count(DISTINCT (lon, lat)) > 1 AS valid FROM o GROUP BY edge"""
+
+
+def contract_guards(spark, sf_dir):
+    return broken_vertices(_odd(spark, sf_dir))
+
+
+GUARDS = f"WITH {V_SQL}, {ODD} SELECT count(*) FILTER (WHERE NOT (isfinite(lon) AND isfinite(lat))) AS places, count(*) FILTER (WHERE NOT isfinite(elev)) AS elevations, min(edge) FILTER (WHERE NOT (isfinite(lon) AND isfinite(lat) AND isfinite(elev))) AS edge FROM o"
+
 
+def ends_of(v):
+    """Edges of one network: 40 nodes, of which neighbours in number share ends."""
+    return v.select("edge").distinct().select("edge", (F.col("edge") % 40).alias("node_u"), ((F.col("edge") * 7 + 3) % 40).alias("node_v"))
+
+
+def operationalized(spark, sf_dir):
+    v = vertices(spark, sf_dir)
+    return P.operationalize(v, ends_of(v), 40.0, 15.0).select("edge", "idx", r6("elev", 4))
+
+
+OPERATIONALIZED = f"""WITH RECURSIVE {V_SQL}, lasts AS (SELECT edge, max(idx) AS li FROM v GROUP BY edge),
+p AS (SELECT v.*, CASE WHEN idx = 0 THEN 'n' || edge % 40 WHEN idx = li THEN 'n' || (edge * 7 + 3) % 40 ELSE edge || '-' || idx END AS point FROM v JOIN lasts USING (edge)),
+l AS (SELECT point AS a, lead(point) OVER (PARTITION BY edge ORDER BY idx) AS b FROM p),
+nb AS (SELECT a AS point, b AS other FROM l WHERE b IS NOT NULL UNION ALL SELECT b, a FROM l WHERE b IS NOT NULL),
+f0 AS (SELECT point, arg_min(elev, (edge, idx)) AS elev FROM p GROUP BY point),
+""" + ",\n".join(
+    f"f{k} AS (SELECT f.point, coalesce(0.5 * f.elev + 0.5 * z, f.elev) AS elev FROM f{k - 1} f LEFT JOIN (SELECT nb.point, avg(elev) AS z FROM nb JOIN f{k - 1} g ON nb.other = g.point GROUP BY nb.point) USING (point))"
+    for k in (1, 2, 3)
+) + f""", s AS (SELECT p.edge, p.idx, f3.elev FROM p JOIN f3 USING (point)),
+walk AS (
+  SELECT edge, idx, elev, elev AS ref, TRUE AS kept FROM s WHERE idx = 0
+  UNION ALL
+  SELECT s.edge, s.idx, s.elev, CASE WHEN abs(s.elev - walk.ref) >= 15 THEN s.elev ELSE walk.ref END, abs(s.elev - walk.ref) >= 15
+  FROM walk JOIN s ON s.edge = walk.edge AND s.idx = walk.idx + 1
+), k AS (SELECT edge, idx, elev, kept OR idx = max(idx) OVER (PARTITION BY edge) AS kept FROM walk),
+n AS (SELECT edge, idx, last_value(CASE WHEN kept THEN idx END IGNORE NULLS) OVER b AS ai, last_value(CASE WHEN kept THEN elev END IGNORE NULLS) OVER b AS az,
+  first_value(CASE WHEN kept THEN idx END IGNORE NULLS) OVER f AS bi, first_value(CASE WHEN kept THEN elev END IGNORE NULLS) OVER f AS bz FROM k
+  WINDOW b AS (PARTITION BY edge ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY edge ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT edge, idx, {rounded('az + (CASE WHEN bi > ai THEN (idx - ai) / CAST(bi - ai AS DOUBLE) ELSE 0 END) * (bz - az)', 4)} AS elev FROM n"""
 
-_M = "(CAST(100 AS DOUBLE) / CAST(111194.93 AS DOUBLE))"
-BBOX = f"WITH {V_SQL} SELECT {rounded('min(lon) - ' + _M, 9)} AS \"left\", {rounded('min(lat) - ' + _M, 9)} AS bottom, {rounded('max(lon) + ' + _M, 9)} AS \"right\", {rounded('max(lat) + ' + _M, 9)} AS top FROM v"
 
 QUERIES = {
     "edge_metrics": (edge_metrics, EDGE_METRICS),
@@ -203,4 +259,7 @@ QUERIES = {
     "profile_series": (profile_series, PROFILE),
     "baseline_slope": (baseline_slope, SLOPE),
     "bbox": (bbox, BBOX),
+    "metrics_validity": (metrics_validity, METRICS_VALIDITY),
+    "contract_guards": (contract_guards, GUARDS),
+    "operationalized": (operationalized, OPERATIONALIZED),
 }

@@ -7,9 +7,11 @@ from pyspark.sql.window import Window
 
 from ridgeline.functions.measures import portable_round
 from ridgeline.operators import networks as N
+from ridgeline.operators import polylines as P
 from ridgeline.operators import routes as R
 from ridgeline.operators import search as S
 from ridgeline.plans import networks as plans
+from ridgeline.plans import polylines
 from ridgeline.plans.polylines import rounded, vertices
 
 R_SQL = """r AS (
@@ -186,27 +188,74 @@ GEOJSON = """WITH v AS (SELECT user_id AS edge, row_number() OVER (PARTITION BY
 SELECT edge, CAST(to_json({'type': 'Feature', 'geometry': {'type': 'LineString', 'coordinates': list([lon, lat] ORDER BY idx)}}) AS VARCHAR) AS feature FROM v GROUP BY edge"""
 
 
-def _walk_edges(spark, sf_dir):
-    e = plans.edges(spark, sf_dir).where("key = 0 and length_m > 400").select("component", F.col("node_u"), F.col("node_v"), F.col("length_m"), (F.col("d_plus_m") + F.col("d_minus_m")).alias("gain"))
-    e = e.withColumns({"node_u": F.col("component") * 100 + F.col("node_u"), "node_v": F.col("component") * 100 + F.col("node_v")})
-    return e.select(F.concat_ws(">", "node_u", "node_v").alias("id"), "node_u", "node_v", F.concat_ws("-", F.least("node_u", "node_v"), F.greatest("node_u", "node_v")).alias("segment"), "length_m", "gain")
+def walk_enumeration(spark, sf_dir):
+    """Walks of up to two edges over the whole network, parallel edges included."""
+    e = plans.flat(plans.edges(spark, sf_dir)).withColumn("gain", F.col("d_plus_m") + F.col("d_minus_m"))
+    segment = F.concat_ws("-", F.least("node_u", "node_v"), F.greatest("node_u", "node_v"), "key")
+    e = e.select(F.concat_ws(">", "node_u", "node_v", "key").alias("id"), "node_u", "node_v", segment.alias("segment"), "length_m", "gain")
+    return S.walks(e, 2).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.max("objective").alias("best"), F.sum("length_m").alias("length_m"))
 
 
-def walk_enumeration(spark, sf_dir):
-    return S.walks(_walk_edges(spark, sf_dir), 3).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.max("objective").alias("best"), F.sum("length_m").alias("length_m"))
+WALKS = f"""WITH {plans.F_SQL}, w AS (SELECT node_u AS u, node_v AS v, length_m AS m, d_plus_m + d_minus_m AS g, least(node_u, node_v) || '-' || greatest(node_u, node_v) || '-' || key AS s FROM fl),
+p AS (SELECT 1 AS depth, g, m FROM w UNION ALL SELECT 2, x.g + y.g, x.m + y.m FROM w x JOIN w y ON x.v = y.u AND x.s <> y.s)
+SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n, max(g) AS best, sum(m) AS length_m FROM p GROUP BY depth"""
 
 
-WALKS = f"""WITH RECURSIVE {plans.E_SQL}, w AS (SELECT component * 100 + node_u AS u, component * 100 + node_v AS v, length_m AS m, d_plus_m + d_minus_m AS g, least(node_u, node_v) || '-' || greatest(node_u, node_v) || '-' || component AS s FROM e WHERE key = 0 AND length_m > 400),
-p AS (SELECT 1 AS depth, v AS last, [s] AS segs, g AS objective, m FROM w UNION ALL SELECT depth + 1, w.v, list_append(segs, w.s), objective + w.g, p.m + w.m FROM p JOIN w ON w.u = p.last WHERE depth < 3 AND NOT list_contains(segs, w.s))
-SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n, max(objective) AS best, sum(m) AS length_m FROM p GROUP BY depth"""
+def route_base_ids(spark, sf_dir):
+    n = _network(spark, sf_dir).withColumn("base_segment_ids", F.array(F.struct(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b"), F.col("key").alias("k"))))
+    known = routes(spark, sf_dir).where("route % 10 <> 3")
+    return R.base_ids(known, n).select("route", "seq", F.col("base_segment_ids")[0]["a"].alias("a"), F.col("base_segment_ids")[0]["b"].alias("b"), F.size("base_segment_ids").alias("n"))
 
 
-def walk_enumeration_whole(spark, sf_dir):
-    """Over all edges, parallel ones included; `walk_enumeration` takes only those its SQL takes."""
-    e = plans.flat(plans.edges(spark, sf_dir)).withColumn("gain", F.col("d_plus_m") + F.col("d_minus_m"))
-    segment = F.concat_ws("-", F.least("node_u", "node_v"), F.greatest("node_u", "node_v"), "key")
-    e = e.select(F.concat_ws(">", "node_u", "node_v", "key").alias("id"), "node_u", "node_v", segment.alias("segment"), "length_m", "gain")
-    return S.walks(e, 3).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.max("objective").alias("best"), F.sum("length_m").alias("length_m"))
+BASE_IDS = f"WITH {R_SQL} SELECT route, seq, least(node_u, node_v) AS a, greatest(node_u, node_v) AS b, 1 AS n FROM r WHERE route % 10 <> 3"
+
+
+def run_summary(spark, sf_dir):
+    m = R.route_metrics(routes(spark, sf_dir))
+    return R.run_summary(m.withColumn("objective", F.col("d_plus_m") + F.col("d_minus_m")), m.where("avg_gradient < 0.3"))
+
+
+SUMMARY = f"WITH {R_SQL}, m AS (SELECT sum(d_plus_m) + sum(d_minus_m) AS o, sum(length_m) AS l FROM r GROUP BY route) SELECT count(*) AS routes, sum(o) AS total_objective, count(*) FILTER (WHERE CASE WHEN l > 0 THEN o / l ELSE 0 END < 0.3::DOUBLE) AS failures FROM m"
+
+
+CHAIN = S.Params(theta=0.02, n=5, iterations=300, seed=3, most_shared=0.5, difficulty_cap=3, max_descent=0.9, start_at_junction=True)
+
+
+def chain(spark, sf_dir):
+    """One network from vertices to routes: guards, metrics of smoothed and levelled profiles, climbs, contraction, search. (network, routes, junctions)."""
+    v = vertices(spark, sf_dir)
+    ends = polylines.ends_of(v)
+    valid = P.valid_for_metrics(v).where("valid").select("edge")
+    v = v.join(valid, "edge", "left_semi")
+    N.guard(ends, v, "metrics")
+    metrics = P.edge_metrics(P.operationalize(v, ends, 40.0, 5.0))
+    word = F.when(F.col("edge") % 3 == 0, "path").when(F.col("edge") % 3 == 1, "residential").otherwise("track")
+    numbered = F.row_number().over(Window.partitionBy("node_u", "node_v").orderBy("edge")) - 1
+    base = metrics.join(ends, "edge").withColumns({"key": numbered.cast("int"), "highway": F.array(word), "sac_scale": F.when(F.col("edge") % 5 == 0, F.array(F.lit("alpine_hiking"))), "component": F.lit(0).cast("long")})
+    base = base.drop("edge").checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else base.drop("edge")
+    climbs_ = N.detect_climbs(base, 0.02, 1000.0)
+    network = N.contract(base, climbs_, 3000.0)
+    junctions = N.junctions(network)
+    return network, S.search(spark, network, CHAIN, workers=2, interval=100, junctions=junctions), junctions
+
+
+def chain_violations(spark, sf_dir):
+    """What the validation finds in the routes of the chain: nothing, if all its parts agree."""
+    network, found, junctions = chain(spark, sf_dir)
+    network = network.withColumn("blocking", F.when(F.col("reusable"), F.array().cast(network.schema["base_segment_ids"].dataType)).otherwise(F.col("base_segment_ids")))
+    exempt_only = N.non_exempt_segments(network).select(F.struct("a", "b", "k").alias("s")).withColumn("_once", F.lit(True))
+    once = network.select(*R.ID, F.explode("base_segment_ids").alias("s")).join(exempt_only, "s").groupBy(*R.ID).agg(F.collect_list("s").alias("once"))
+    network = network.join(once, list(R.ID), "left").withColumn("blocking", F.coalesce("once", F.array().cast(network.schema["base_segment_ids"].dataType))).drop("once")
+    walked = found.select("route", "seq", *R.ID).join(network, list(R.ID))
+    starts = junctions.where("is_junction").select("node_id")
+    return R.violations(walked, network, CHAIN.theta, CHAIN.difficulty_cap, CHAIN.max_descent, starts)
+
+
+NO_VIOLATIONS = "SELECT CAST(0 AS INTEGER) AS route, CAST(0 AS INTEGER) AS ord, CAST(0 AS BIGINT) AS seq, '' AS constraint_id, CAST(0 AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS required WHERE FALSE"
+
+
+def chain_routes(spark, sf_dir):
+    return chain(spark, sf_dir)[1]
 
 
 def grasp_routes(spark, sf_dir):
@@ -240,7 +289,10 @@ QUERIES = {
     "golden_diff": (golden_diff, GOLDEN),
     "geojson": (geojson, GEOJSON),
     "walk_enumeration": (walk_enumeration, WALKS),
-    "walk_enumeration_whole": (walk_enumeration_whole, None),
+    "route_base_ids": (route_base_ids, BASE_IDS),
+    "run_summary": (run_summary, SUMMARY),
+    "chain_violations": (chain_violations, NO_VIOLATIONS),
+    "chain_routes": (chain_routes, None),
     "grasp_routes": (grasp_routes, None),
     "blocking_ids": (blocking_ids, BLOCKING),
 }

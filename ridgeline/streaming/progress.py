@@ -1,7 +1,8 @@
 """Progress of jobs: log lines to states, as batch windows and as streams.
 
-A line log is (job_id, seq, line). The grammar: `[k/n] name ...` starts a
-stage, `[k/n] name done in Xs` ends it, `progress: iter=I best=B` reports a search.
+A line log is (job_id, seq, line). `stage: name (note) ...` starts a stage,
+`stage: name: X s` ends it, `progress: iter=...` or `progress: workers=...` reports
+a search, and `total_objective: X` its result.
 """
 
 from __future__ import annotations
@@ -14,60 +15,95 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-START = r"^\[(\d+)/(\d+)\] (\S+) \.\.\.$"
-DONE = r"^\[(\d+)/(\d+)\] (\S+) done in ([0-9.]+)s$"
-SOLVE = r"^progress: iter=(\d+) best=([0-9.]+)$"
+#: The lines that move a state (fixed formats).
+START = r"^stage: (.+?) \.\.\.$"
+DONE = r"^stage: (.+): ([0-9]+(?:\.[0-9]+)?) s$"
+SOLVE = r"^progress: iter=([0-9]+) best_objective=(-?[0-9]+(?:\.[0-9]+)?) elapsed=([0-9]+(?:\.[0-9]+)?)s"
+WORKERS = r"^progress: workers=[0-9]+/[0-9]+ iters=([0-9]+) best_worker_objective=(-?[0-9]+(?:\.[0-9]+)?) elapsed=([0-9]+(?:\.[0-9]+)?)s"
+SUMMARY = r"^total_objective: (-?[0-9]+(?:\.[0-9]+)?)$"
+
+#: Stages of a job of each kind, in order (fixed values).
+STAGES = {
+    "setup": ("osm-load", "trail-filter", "polyline-smoothing", "resampling", "dem-resolve", "elevation-sampling", "cache-write"),
+    "query": ("load-prepared-area", "elevation-reshape", "trail-filter", "climb-detection", "climb-contraction", "validate-render"),
+}
+TAIL = 20
+
 LOG = "job_id string, seq long, line string"
-STATE = "job_id string, seq long, phase string, stage_index int, stage_name string, iter long, best double, elapsed double"
+STATE = "job_id string, seq long, phase string, stage_index int, stage_total int, stage_name string, iter long, best double, elapsed double, log_tail array<string>"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds kind (start, done, solve, other), stage_name, iter, best and elapsed; blank lines go."""
+    """Adds kind (start, done, solve, summary, other), stage_name, iter, best and elapsed; blank lines go. A note in brackets isn't part of a stage's name."""
     line = F.col("line")
-    kind = F.when(line.rlike(START), "start").when(line.rlike(DONE), "done").when(line.rlike(SOLVE), "solve").otherwise("other")
+    kinds = (("start", START), ("done", DONE), ("solve", SOLVE), ("solve", WORKERS), ("summary", SUMMARY))
+    kind = F.lit("other")
+    for name, pattern in reversed(kinds):
+        kind = F.when(line.rlike(pattern), name).otherwise(kind)
     text = lambda pattern, k: F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
+    either = lambda k: F.coalesce(text(SOLVE, k), text(WORKERS, k))
     return lines.where(F.trim(line) != "").withColumns(
         {
             "kind": kind,
-            "stage_name": F.coalesce(text(START, 3), text(DONE, 3)),
-            "iter": text(SOLVE, 1).cast("long"),
-            "best": text(SOLVE, 2).cast("double"),
-            "elapsed": text(DONE, 4).cast("double"),
+            "stage_name": F.coalesce(F.substring_index(text(START, 1), " (", 1), text(DONE, 1)),
+            "iter": either(1).cast("long"),
+            "best": F.coalesce(either(2), text(SUMMARY, 1)).cast("double"),
+            "elapsed": F.coalesce(text(DONE, 2), either(3)).cast("double"),
         }
     )
 
 
-def states(lines: DataFrame) -> DataFrame:
-    """The state after each line: only a start moves the stage, a start ends a search."""
-    w = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = parse_lines(lines).withColumn("stage_index", F.sum((F.col("kind") == "start").cast("int")).over(w).cast("int"))
-    rows = rows.withColumn("_name", F.last(F.when(F.col("kind") == "start", F.col("stage_name")), ignorenulls=True).over(w))
+def states(lines: DataFrame, kind: str = "query") -> DataFrame:
+    """The state after each line. Only a start moves the stage, and it ends a search; a setup job has none; the last lines ride along."""
+    job = Window.partitionBy("job_id").orderBy("seq")
+    w = job.rowsBetween(Window.unboundedPreceding, 0)
+    rows = parse_lines(lines).withColumn("_solves", (F.col("kind") == "solve") & F.lit(kind == "query"))
+    rows = rows.withColumn("stage_index", F.sum((F.col("kind") == "start").cast("int")).over(w).cast("int"))
+    timed = (F.col("kind") == "done") | F.col("_solves")
+    rows = rows.withColumns(
+        {
+            "_name": F.last("stage_name", ignorenulls=True).over(w),
+            "_elapsed": F.last(F.when(timed, F.col("elapsed")), ignorenulls=True).over(w),
+            "log_tail": F.collect_list("line").over(job.rowsBetween(1 - TAIL, 0)),
+        }
+    )
     stage = Window.partitionBy("job_id", "stage_index").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(stage)
-    solving = F.max((F.col("kind") == "solve").cast("int")).over(stage) == 1
-    return rows.select("job_id", "seq", F.when(solving, "solve").otherwise("query").alias("phase"), "stage_index", F.col("_name").alias("stage_name"), last("iter").alias("iter"), last("best").alias("best"), last("elapsed").alias("elapsed"))
+    last = lambda c: F.last(F.when(F.col("_solves"), F.col(c)), ignorenulls=True).over(stage)
+    phase = F.when(F.bool_or("_solves").over(stage), "solve").otherwise(kind)
+    return rows.select(
+        "job_id", "seq", phase.alias("phase"), "stage_index", F.lit(len(STAGES[kind])).alias("stage_total"), F.col("_name").alias("stage_name"),
+        last("iter").alias("iter"), last("best").alias("best"), F.col("_elapsed").alias("elapsed"), "log_tail",
+    )
+
+
+def summary_objective(lines: DataFrame) -> DataFrame:
+    """(job_id, objective): what a finished search reports last."""
+    rows = parse_lines(lines).where("kind = 'summary'")
+    return rows.groupBy("job_id").agg(F.max_by("best", "seq").alias("objective"))
 
 
-def stream_states(lines: DataFrame) -> DataFrame:
+def stream_states(lines: DataFrame, kind: str = "query") -> DataFrame:
     """The same for a stream: state is kept for each job, and rows come out as lines come in (append mode)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, name, phase, done, best, elapsed = state.get if state.exists else (0, None, "query", None, None, None)
+        stage, name, phase, done, best, elapsed, tail = state.get if state.exists else (0, None, kind, None, None, None, "")
+        held = tail.split("\n") if tail else []
         for batch in batches:
             out = []
             for r in batch.sort_values("seq").itertuples():
+                held = [*held, r.line][-TAIL:]
                 if r.kind == "start":
-                    stage, name, phase, done, best, elapsed = stage + 1, r.stage_name, "query", None, None, None
-                elif r.kind == "solve":
-                    phase, done, best = "solve", int(r.iter), float(r.best)
+                    stage, name, phase, done, best = stage + 1, r.stage_name, kind, None, None
+                elif r.kind == "solve" and kind == "query":
+                    phase, done, best, elapsed = "solve", int(r.iter), float(r.best), float(r.elapsed)
                 elif r.kind == "done":
-                    elapsed = float(r.elapsed)
-                out.append((key[0], int(r.seq), phase, stage, name, done, best, elapsed))
+                    name, elapsed = r.stage_name, float(r.elapsed)
+                out.append((key[0], int(r.seq), phase, stage, len(STAGES[kind]), name, done, best, elapsed, list(held)))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
             yield frame.astype({"iter": "Int64", "best": "Float64", "elapsed": "Float64"})
-        state.update((stage, name, phase, done, best, elapsed))
+        state.update((stage, name, phase, done, best, elapsed, "\n".join(held)))
 
-    kept = "stage int, name string, phase string, iter long, best double, elapsed double"
+    kept = "stage int, name string, phase string, iter long, best double, elapsed double, tail string"
     return parse_lines(lines).groupBy("job_id").applyInPandasWithState(step, STATE, kept, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -195,12 +195,97 @@ def test_entries_round_trip(spark, tmp_path):
     assert records.read_entry(spark, root, "k1", ("nodes",))["nodes"].count() == 3
     with pytest.raises(records.CorruptEntry):
         records.read_entry(spark, root, "k2", ("nodes",))
+    assert records.rebuild_index(spark, root) == 1 and json.loads((tmp_path / "index.jsonl").read_text())["key"] == "k1"
+    records.write_entry(spark, root, "k1", {"nodes": spark.range(5)}, {"area": "a"})  # a new generation, and the old one goes
+    assert records.read_entry(spark, root, "k1", ("nodes",))["nodes"].count() == 5
+    assert sum(x.is_dir() for x in (tmp_path / "areas/k1").iterdir()) == 1
+    same = {"area": "a", "policy": "include", "dem_version": "v1"}
+    for key, told in (("o1", same), ("o2", same | {"policy": "exclude"}), ("o3", same | {"dem_version": "v2"}), ("o4", same)):
+        records.write_entry(spark, root, key, {"nodes": nodes}, told)
+    assert records.collect_superseded(spark, root, "o4") == ["o1"]
     records.drop_entries(spark, root, ["k1"])
-    assert not (tmp_path / "areas/k1").exists()
+    assert not (tmp_path / "areas/k1").exists() and records.read_index(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_golden_round_trip(spark, tmp_path):
+    frame = spark.createDataFrame([(0, 3, 10.5, 2.0, 5.0, "ab"), (1, 2, 4.0, 1.0, 2.0, "cd")], records.GOLDEN)
+    records.write_golden(spark, frame, str(tmp_path / "golden.json"), {"n": 2})
+    assert records.read_golden(spark, str(tmp_path / "golden.json"), {"n": 2}).collect() == frame.collect()
+    with pytest.raises(records.CorruptEntry, match="other parameters"):
+        records.read_golden(spark, str(tmp_path / "golden.json"), {"n": 3})
+
+
+def test_nearest_at_the_pole_and_far_away(spark):
+    names = "area_id long, lat double, lon double, half_width_km double, half_height_km double, angle_deg double"
+    asked = spark.createDataFrame([(1, 45.0, 0.0, 1.0, 1.0, 0.0), (2, 90.0, 0.0, 1.0, 1.0, 0.0)], names)
+    held = spark.createDataFrame([(7, 55.0, 2.0, 1.0, 1.0, 0.0), (8, 45.0, 14.27, 1.0, 1.0, 0.0), (9, 90.0, 5.0, 1.0, 1.0, 0.0)], names)
+    got = {r["query_id"]: r["area_id"] for r in areas.nearest(asked, held).collect()}
+
+    def km(a, b):
+        return math.hypot((a[0] - b[0]) * 111, (a[1] - b[1]) * 111 * math.cos(math.radians((a[0] + b[0]) / 2)))
+
+    assert got[1] == min((km((45, 0), p), k) for k, p in ((7, (55, 2)), (8, (45, 14.27))))[1]
+    assert got[2] in (7, 8)  # the entry at the pole has no distance
+
+
+def test_long_edge_is_linear(spark):
+    import time
+
+    n = 100_000
+    frame = spark.range(n).select(F.lit(1).alias("edge"), F.col("id").cast("int").alias("idx"), (5 + F.col("id") * 1e-4).alias("lon"), F.lit(45.0).alias("lat"), (F.col("id") % 50).cast("double").alias("elev"))
+    began = time.time()
+    assert polylines.edge_metrics(frame).count() == 1 and polylines.deadband(frame, 20.0).count() == n
+    assert time.time() - began < 60
+
+
+def test_strong_components(spark):
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (5, 7)]
+    found = networks.strong_components(spark.createDataFrame(pairs, "node_u long, node_v long"))
+    assert {r["node_id"]: r["component"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_guards(spark):
+    edges = spark.createDataFrame([(1,)], "edge long")
+    vertices = spark.createDataFrame([(1, 5.0, 45.0, 1.0), (1, 5.1, 45.0, float("nan"))], "edge long, lon double, lat double, elev double")
+    networks.guard(edges, vertices.limit(1), "here")
+    with pytest.raises(networks.ContractError, match="1 elevations"):
+        networks.guard(edges, vertices, "here")
+    with pytest.raises(networks.ContractError, match="no edges"):
+        networks.guard(edges.limit(0), vertices, "here")
+
+
+def test_search_options(spark, tmp_path):
+    edges = toy(spark, 11)
+    everything = search.load_network(edges)
+    p = search.Params(theta=0.2, n=50, iterations=200, seed=1, start_at_junction=True)
+    flags = spark.createDataFrame([(n, n in (0, 1)) for n in range(15)], "node_id long, is_junction boolean")
+    found = search.search(spark, edges, p, workers=2, interval=100, junctions=flags, snapshots=str(tmp_path / "best")).collect()
+    assert found and {r["node_u"] for r in found if r["seq"] == 0} <= {0, 1}
+    assert sorted(x.name for x in (tmp_path / "best").iterdir()) == ["round=0", "round=1"]
+    with pytest.raises(ValueError, match="junctions"):
+        search.search(spark, edges, p)
+    with pytest.raises(ValueError, match="stored context"):
+        search.search(spark, edges, p._replace(start_at_junction=False), expected="other")
+    assert search.context_key(everything, p) != search.context_key(everything, p._replace(n=3))
+    quick = search.search(spark, edges, search.Params(iterations=10**9, time_budget=0.5), workers=2)
+    assert quick.count() > 0
+    hard = edges.withColumn("sac_scale", F.when(F.col("node_u") < 3, F.array(F.lit("alpine_hiking"))))
+    assert search.usable(hard, search.Params(difficulty_cap=3)).where("node_u < 3").isEmpty() and search.usable(hard, search.Params()).count() == edges.count()
+    assert search.degradation_message(50, p) is None and "start-at-junction" in search.degradation_message(2, p)
+    assert search.exit_code(edges.limit(0), edges.limit(0)) == 0 and search.exit_code(edges, edges.limit(0)) == 1
+
+
+def test_unknown_edge_is_an_error(spark):
+    network = spark.createDataFrame([(1, 2, 0, [1])], "node_u long, node_v long, key int, base_segment_ids array<long>")
+    walked = spark.createDataFrame([(0, 0, 1, 2, 0), (0, 1, 2, 9, 0)], "route int, seq int, node_u long, node_v long, key int")
+    assert routes.base_ids(walked.limit(1), network).first()["base_segment_ids"] == [1]
+    with pytest.raises(Exception, match="no such edge: 2 9 0"):
+        routes.base_ids(walked, network).collect()
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    lines = ["[1/9] load ...", "progress: iter=5 best=2.5", "", "[1/9] load done in 3.5s", "[2/9] solve ...", "progress: iter=9 best=4.5", "noise"]
+    lines = ["stage: load (a note) ...", "progress: iter=5 best_objective=2.5 elapsed=0.1s eta=1s stagnation=0", "", "stage: load: 3.5 s", "stage: solve ..."]
+    lines += ["progress: workers=1/4 iters=9 best_worker_objective=4.5 elapsed=0.9s", "noise", "total_objective: 4.5"] + [f"more {k}" for k in range(30)]
     rows = [{"job_id": j, "seq": k, "line": x} for j in ("a", "b") for k, x in enumerate(lines)]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/log.json").write_text("\n".join(json.dumps(r) for r in [*rows, rows[0]]) + "\n{cut off")
@@ -250,28 +335,28 @@ def test_components_of_all_edges(spark, few_lines):
         for r in rows:
             label[r.node_u] = label[r.node_v] = min(label[r.node_u], label[r.node_v])
     queries = catalog.queries()
-    assert {r.node_id: r.component for r in queries["components_whole"](spark, folder).collect()} == label
+    assert {r.node_id: r.component for r in queries["components"](spark, folder).collect()} == label
     sizes = {c: list(label.values()).count(c) for c in label.values()}
     top = min(sizes, key=lambda c: (-sizes[c], c))
-    assert {r.node_id for r in queries["largest_component_whole"](spark, folder).collect()} == {n for n, c in label.items() if c == top}
+    assert {r.node_id for r in queries["largest_component"](spark, folder).collect()} == {n for n, c in label.items() if c == top}
 
 
 def test_walks_of_all_edges(spark, few_lines):
     folder, rows = few_lines
     segment = lambda r: (min(r.node_u, r.node_v), max(r.node_u, r.node_v), r.key)
     walks, expected = [[r] for r in rows], []
-    for depth in (1, 2, 3):
+    for depth in (1, 2):
         gains = [sum(r.d_plus_m + r.d_minus_m for r in walk) for walk in walks]
         expected.append((depth, len(walks), max(gains), sum(float(r.length_m) for walk in walks for r in walk)))
         walks = [[*walk, r] for walk in walks for r in rows if r.node_u == walk[-1].node_v and segment(r) not in map(segment, walk)]
-    found = catalog.queries()["walk_enumeration_whole"](spark, folder).orderBy("depth").collect()
+    found = catalog.queries()["walk_enumeration"](spark, folder).orderBy("depth").collect()
     assert [(r.depth, r.n, r.best, float(r.length_m)) for r in found] == expected
 
 
 def test_routes_and_geometries_of_all_edges(spark, few_lines):
     folder, rows = few_lines
     queries, ends = catalog.queries(), lambda found: sorted((r.node_u, r.node_v) for r in found)
-    assert ends(queries["normalized_edges_whole"](spark, folder).collect()) == ends(rows)
+    assert ends(queries["normalized_edges"](spark, folder).collect()) == ends(rows)
     used = {(r.node_u, r.node_v, r.key) for r in queries["grasp_routes"](spark, folder).collect()}
     by_place = {(r.node_u, r.node_v, r.key): r for r in rows}
     assert used <= set(by_place) and any(by_place[e].length_m <= 400 or by_place[e].key for e in used)
