@@ -597,6 +597,26 @@ def test_shared_ids_lose_nothing(spark, scratch):
     assert not words(cut[(2, "b")]) and words(cut[(3, "d")]) in ([], ["tail"])  # the last segment is alike enough to go
 
 
+def test_pipeline_on_small_tables(spark, tmp_path):
+    """Each stage's decision shows in the result: rejected, near copies gone, a repeated passage cut, the rest packed whole."""
+    import corpus_pipeline
+
+    base, passage = prose(200).split(), prose(70)
+    near = [*base[:100], "changed", *base[101:]]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, "short"), (5, f"{prose(90)} {passage} {prose(90)}"), (6, f"{prose(80)} {passage} {prose(85)}"), (7, None)]
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "some/documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    total = collections.Counter()
+    for r in packed:
+        total[r["doc_id"]] += r["length"]
+        assert r["bin_used"] <= r["bin_capacity"]
+    assert set(total) == {1, 5, 6} and total[1] == 200 and total[5] == 250 and 80 <= total[6] <= 165
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def paragraphs(text):
     """Lines and segments of a text, by a plain rule."""
     own = words(text, True)
