@@ -21,7 +21,8 @@ are intersected.
 4. Rows of a shingle's posting list meet its most central one (with the least
    rare shingles) first, then ones outside its largest component. Those links are
    contracted to components; at last all pairs of different components are
-   tried, so a group of n near copies costs about n checks, not n * n.
+   tried, so a group of n near copies costs about n checks, not n * n. Such
+   pairs must first pass a bound by sketches of parities, which no link fails.
 
 Scale: shuffles are in proportion to the text and have no hot key: shingles
 spread by hash, a shingle frequent inside a block goes as one count, and the
@@ -64,12 +65,13 @@ BLOCK_SHINGLES = 250_000
 PART_BYTES, LEAST_BITS, MOST_BITS = 2 << 20, 3, 18
 BLOCK_DOCS = 60_000
 NEAREST = 2
+SKETCH_LANES = 4
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
 ANSWER = "block long, kind int, idx binary, tokens binary, info binary"
 INFO = [("id", "<i8"), ("digest", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("n", "<i8"), ("sent", "?")]
-PREFIXES = "doc_id long, digest long, key1 long, key2 long, n long, row long, odd double, shared array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
+PREFIXES = "doc_id long, digest long, key1 long, key2 long, n long, row long, odd double, sketch array<long>, shared array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -226,6 +228,20 @@ def _orders(level: np.ndarray, token: np.ndarray) -> list[tuple[np.ndarray, np.n
     ]
 
 
+def _sketches(idx: np.ndarray, token: np.ndarray, n_docs: int) -> np.ndarray:
+    """SKETCH_LANES numbers of 64 bits for each document: each bit is the parity of its shingles that hash to it."""
+    bits = 64 * SKETCH_LANES
+    place = (mix(token ^ np.uint64(0x3C79AC492BA7B653)) % np.uint64(bits)).astype(np.int64)
+    cells, count = np.unique(idx * bits + place, return_counts=True)
+    cells = cells[count % 2 == 1]
+    lane = cells >> 6
+    begins = np.flatnonzero(np.concatenate((np.ones(min(len(lane), 1), bool), lane[1:] != lane[:-1])))
+    out = np.zeros(n_docs * SKETCH_LANES, np.uint64)
+    if len(begins):
+        out[lane[begins]] = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), begins)
+    return out.view(np.int64).reshape(n_docs, SKETCH_LANES)
+
+
 def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     head = rows[rows["kind"] == 2].iloc[0]
     info = np.frombuffer(head["info"], INFO)
@@ -242,6 +258,7 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     live = quota > 0
     take = live[idx]
     idx, token, level = idx[take], token[take], level[take]
+    sketches = _sketches(idx, token, len(n))
     doc, arrays = np.flatnonzero(live), []
     for order in (None, *_orders(level, token)):
         by = np.lexsort((token, idx)) if order is None else np.lexsort((order[1], order[0], idx))
@@ -254,6 +271,10 @@ def _prefixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame({"doc_id": info["id"], "digest": info["digest"], "key1": info["key1"], "key2": info["key2"], "n": n})
     out["row"] = (int(key[0]) << 16) + np.arange(len(n))
     out["odd"] = odd
+    column = np.full(len(n), None, object)
+    for k in doc:
+        column[k] = sketches[k]
+    out["sketch"] = column
     for name, values in zip(("shared", "pre1", "pre2", "pre3"), arrays, strict=True):
         column = np.full(len(n), None, object)
         for k, value in zip(doc, values, strict=True):
@@ -276,6 +297,14 @@ def _may_link(n_a, s_a, n_b, s_b):
     return (100 + PERCENT) * F.least(s_a, s_b) >= PERCENT * (n_a + n_b)
 
 
+def _near_enough():
+    """Bits that differ in two documents' sketches bound from below how many of the shared shingles only one of them has."""
+    differ = F.lit(0)
+    for k in range(SKETCH_LANES):
+        differ = differ + F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k]))
+    return (100 + PERCENT) * (F.col("s_a") + F.col("s_b") - differ) >= 2 * PERCENT * (F.col("n_a") + F.col("n_b"))
+
+
 def _agree(prefix: str):
     """Whether two documents' prefixes under one order allow a link.
 
@@ -343,13 +372,14 @@ def linked_texts(source: DataFrame, scratch: Scratch) -> DataFrame:
         lists.join(joined, lists["row"] == joined["node"], "left").select("row", "n", "s", "token", F.coalesce("component", "row").alias("comp"))
     )
     mixed = _mixed(placed)
-    members = placed.join(mixed, "token").join(active.select("row", "pre1"), "row")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1")]
+    members = placed.join(mixed, "token").join(active.select("row", "pre1", "sketch"), "row")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1", "sketch")]
     left, right = members.where("comp <> main").select("token", *side("a")), members.select("token", *side("b"))
     # Of the tokens that a pair shares, only the first makes it a candidate.
     rest = left.join(right, "token").where(
         (F.col("comp_a") != F.col("comp_b"))
         & _may_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))
+        & _near_enough()
         & (F.col("token") == F.array_min(F.array_intersect("pre1_a", "pre1_b")))
         & _agree("pre1")
     )
