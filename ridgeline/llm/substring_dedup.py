@@ -14,8 +14,9 @@ Paragraphs are of three kinds, all made by content alone:
 Lines and segments have MinHash bands over 5-word shingles, tuned to a recall
 of 0.99 at Jaccard 0.8. Each kind has bands of its own (a line and a segment
 inside it would always collide; equal ones meet by their words). Paragraphs that share a band are joined: each with the
-band's first one, and their exact shingle sets are compared; links make
-components. Where a band then still holds paragraphs of several components that
+one that occurs most often in the band (in a group of near copies, the words
+that most of them have left unchanged), and their exact shingle sets are
+compared; links make components. Where a band then still holds paragraphs of several components that
 have not been compared, the prefix-filtered exact join does that, so that no
 band makes all its pairs and none is cut short. Equal paragraphs share all bands
 and are folded to one before.
@@ -314,7 +315,7 @@ def near_paragraphs(source: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     collides = banded.groupBy("band").agg(F.min(some_bits).alias("low"), F.max(some_bits).alias("high")).where("low <> high").select("band")
     collides, collides_path = scratch.table(collides)
     at = F.min(F.struct("doc_id", "digest", "start", "end")).alias("at")
-    members, members_path = scratch.table(perhaps_in(banded, "band", collides).join(collides, "band").groupBy("band", "hash").agg(at))
+    members, members_path = scratch.table(perhaps_in(banded, "band", collides).join(collides, "band").groupBy("band", "hash").agg(at, F.count("*").alias("copies")))
     places = members.groupBy("hash").agg(F.min("at").alias("at")).select("hash", "at.*")
     places = places.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("hash", "start", "end")).alias("p"))
     places, places_path = scratch.table(places.select("doc_id", "digest", F.col("p.hash").alias("hashes"), F.col("p.start").alias("starts"), F.col("p.end").alias("ends")))
@@ -322,11 +323,11 @@ def near_paragraphs(source: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     sets, sets_path = scratch.table(texts.mapInPandas(_shingle_sets, SETS).dropDuplicates(["hash"]))
     scratch.drop(collides_path, places_path)
 
-    heads, heads_path = scratch.table(members.groupBy("band").agg(F.min("hash").alias("head")))
+    heads, heads_path = scratch.table(members.groupBy("band").agg(F.max_by("hash", F.struct("copies", "hash")).alias("head")))
     others = members.select("band", "hash").join(heads, "band").where("hash <> head")
     links, links_path = scratch.table(_alike(others.select(F.col("head").alias("a"), F.col("hash").alias("b")).distinct(), sets))
     joined = connected_components(links, scratch)
-    # Members of a band other than its first that are of different components have not been compared.
+    # Members of a band other than its head that are of different components have not been compared.
     placed, placed_path = scratch.table(others.join(joined, F.col("hash") == F.col("node"), "left").select("band", "hash", F.coalesce("component", "hash").alias("comp")))
     open_bands = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     rest, rest_path = scratch.table(sets.join(placed.join(open_bands, "band").select("hash").distinct(), "hash").select(F.col("hash").alias("doc_id"), "text"))
