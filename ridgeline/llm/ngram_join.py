@@ -19,8 +19,9 @@ are intersected.
 3. `_prefixes` takes the prefixes. Shingles without an answer are a document's
    own; a document with enough of them can have no partner and is done.
 4. Rows of a shingle's posting list meet its most central one (with the least
-   rare shingles) first, then ones outside its largest component. Those links are
-   contracted to components; at last all pairs of different components are
+   rare shingles) first, then in ROUNDS rounds DRAWS of its largest component and
+   as many outside it. Links are contracted to components after each round; at last
+   all pairs of different components are
    tried, so a group of n near copies costs about n checks, not n * n. Such
    pairs must first pass a bound by sketches of parities, which no link fails.
 
@@ -65,7 +66,8 @@ BLOCK_SHINGLES = 250_000
 PART_BYTES, LEAST_BITS, MOST_BITS = 2 << 20, 3, 18
 BLOCK_DOCS = 60_000
 NEAREST = 2
-SKETCH_LANES = 4
+ROUNDS, DRAWS = 2, 4
+SKETCH_LANES = 8
 LOW48 = np.uint64((1 << 48) - 1)
 
 REQUEST = "part int, block long, kind int, idx binary, tokens binary, info binary"
@@ -297,12 +299,17 @@ def _may_link(n_a, s_a, n_b, s_b):
     return (100 + PERCENT) * F.least(s_a, s_b) >= PERCENT * (n_a + n_b)
 
 
-def _near_enough():
-    """Bits that differ in two documents' sketches bound from below how many of the shared shingles only one of them has."""
+def _differ():
+    """Bits that differ in two documents' sketches: at most as many as shingles that only one of them has, of those in the sketches."""
     differ = F.lit(0)
     for k in range(SKETCH_LANES):
         differ = differ + F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k]))
-    return (100 + PERCENT) * (F.col("s_a") + F.col("s_b") - differ) >= 2 * PERCENT * (F.col("n_a") + F.col("n_b"))
+    return differ
+
+
+def _near_enough():
+    """Whether the sketches of two documents allow a link."""
+    return (100 + PERCENT) * (F.col("s_a") + F.col("s_b") - _differ()) >= 2 * PERCENT * (F.col("n_a") + F.col("n_b"))
 
 
 def _agree(prefix: str):
@@ -332,6 +339,21 @@ def _met(lists: DataFrame) -> DataFrame:
     return met.select(F.col("row").alias("a"), F.explode("best.other").alias("b"))
 
 
+def _chosen(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each row with up to NEAREST rows of other components, of those that each of its tokens draws: DRAWS of its largest component and DRAWS outside."""
+    fields = ("row", "n", "s", "comp", "sketch")
+    draw = lambda k: F.struct(F.xxhash64("row", "token", F.lit(DRAWS * turn + k)).alias("chance"), *fields)
+    inside = F.col("comp") == F.col("main")
+    drawn = [F.min(F.when(side, draw(k))) for side in (inside, ~inside) for k in range(DRAWS)]
+    chosen = members.groupBy("token").agg(F.array(*drawn).alias("drawn"))
+    met = members.select("token", *[F.col(c).alias(f"{c}_a") for c in fields]).join(chosen, "token")
+    met = met.select(*[f"{c}_a" for c in fields], F.explode("drawn").alias("c"))
+    met = met.select(*[f"{c}_a" for c in fields], *[F.col(f"c.{c}").alias(f"{c}_b") for c in fields])
+    met = met.where((F.col("comp_a") != F.col("comp_b")) & _may_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b")) & _near_enough())
+    best = F.slice(F.array_sort(F.collect_set(F.struct(_differ().alias("differ"), "row_b"))), 1, NEAREST)
+    return met.groupBy("row_a").agg(best.alias("best")).select(F.col("row_a").alias("a"), F.explode("best.row_b").alias("b"))
+
+
 def stars(joined: DataFrame) -> DataFrame:
     """Components as links, each to its smallest node: what later links are added to."""
     return joined.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
@@ -367,14 +389,28 @@ def linked_texts(source: DataFrame, scratch: Scratch) -> DataFrame:
     links, links_path = scratch.table(_verified(pairs, active))
     joined = connected_components(links, scratch)
 
+    def mixed_members() -> tuple[DataFrame, str]:
+        placed, placed_path = scratch.table(
+            lists.join(joined, lists["row"] == joined["node"], "left").select("row", "n", "s", "token", F.coalesce("component", "row").alias("comp"))
+        )
+        members, members_path = scratch.table(placed.join(_mixed(placed), "token").join(active.select("row", "sketch"), "row"))
+        scratch.drop(placed_path)
+        return members, members_path
+
+    members, members_path = mixed_members()
+    for turn in range(ROUNDS):
+        met, met_path = scratch.table(_verified(_chosen(members, turn), active))
+        if met.isEmpty():
+            scratch.drop(met_path)
+            break
+        joined = connected_components(stars(joined).unionByName(met), scratch)
+        scratch.drop(met_path, members_path)
+        members, members_path = mixed_members()
+
     # What is left: pairs of different components that share a token. One of the two isn't of the token's largest component.
-    placed, placed_path = scratch.table(
-        lists.join(joined, lists["row"] == joined["node"], "left").select("row", "n", "s", "token", F.coalesce("component", "row").alias("comp"))
-    )
-    mixed = _mixed(placed)
-    members = placed.join(mixed, "token").join(active.select("row", "pre1", "sketch"), "row")
+    prefixed = members.join(active.select("row", "pre1"), "row")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "s", "comp", "pre1", "sketch")]
-    left, right = members.where("comp <> main").select("token", *side("a")), members.select("token", *side("b"))
+    left, right = prefixed.where("comp <> main").select("token", *side("a")), prefixed.select("token", *side("b"))
     # Of the tokens that a pair shares, only the first makes it a candidate.
     rest = left.join(right, "token").where(
         (F.col("comp_a") != F.col("comp_b"))
@@ -391,7 +427,7 @@ def linked_texts(source: DataFrame, scratch: Scratch) -> DataFrame:
 
     out = labelled.join(named, labelled["rep"] == named["node"], "left")
     out = scratch.keep(out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("low", "label").alias("component_id"), F.coalesce("component", "rep").alias("member")))
-    scratch.drop(labelled_path, active_path, lists_path, placed_path, pairs_path, links_path, named_path, more_path)
+    scratch.drop(labelled_path, active_path, lists_path, members_path, pairs_path, links_path, named_path, more_path)
     return out
 
 

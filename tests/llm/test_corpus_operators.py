@@ -169,6 +169,23 @@ def test_ngram_join_brute_force(spark, scratch):
     assert kept == set(comps)
 
 
+def test_sketches_bound_differences():
+    from ridgeline.llm import ngram_join
+    from ridgeline.llm.texthash import mix
+
+    rng = np.random.default_rng(5)
+    token = mix(np.arange(4000, dtype=np.uint64))
+    sets = [set(rng.choice(4000, size, replace=False).tolist()) for size in (0, 1, 40, 44, 300, 2500)]
+    sets += [sets[3] - {min(sets[3])}, sets[4] | {4, 5, 6}]
+    idx = np.concatenate([np.full(len(x), k) for k, x in enumerate(sets)]).astype(np.int64)
+    found = ngram_join._sketches(idx, token[np.array([y for x in sets for y in sorted(x)], np.int64)], len(sets)).view(np.uint64)
+    for a, left in enumerate(sets):
+        for b, right in enumerate(sets):
+            differ = sum(int(x).bit_count() for x in found[a] ^ found[b])
+            assert differ <= len(left ^ right) and differ % 2 == len(left ^ right) % 2
+    assert not found[0].any() and found[1].any()
+
+
 @pytest.mark.parametrize("bits", [1, 8, 1 << 27])
 def test_one_of_each_edges(edge, nothing, scratch, monkeypatch, bits):
     monkeypatch.setattr(shared, "FILTER_BITS", bits)
