@@ -259,9 +259,10 @@ def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     scratch.drop(marked_path)
     whole, whole_path = _read_beside(source, ends, scratch, False)
     scratch.drop(ends_path)
-    equals = whole.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # Written, so that the join reads it from its own exchange and AQE can split a key of many copies.
+    equals, equals_path = scratch.table(whole.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
     told, told_path = scratch.table(whole.drop("low", "high").join(equals, "key"))
-    scratch.drop(whole_path)
+    scratch.drop(whole_path, equals_path)
     alone = F.col("asks") & F.when(F.col("kept"), F.col("doc_id") == F.col("high")).otherwise(F.col("doc_id") == F.col("low"))
     asked = told.where(alone).select("hash", "side").distinct()
     deputies = told.withColumn("asks", alone).where("asks or doc_id = low").join(asked, ["hash", "side"], "left_semi")
