@@ -25,8 +25,8 @@ A component that occurs in two documents or more repeats. It stays in the
 document with the smallest id and goes from the others. Seeds at the ends of
 a repeated run are extended word by word, as far as another document on the
 right side of the verdict (a smaller id for words that go) has the same words:
-hashes of the 1 to `SEED_WORDS - 1` words beside the seed are met by equality,
-so a hot seed makes no pairs. Neighbouring occurrences are merged to passages,
+the words beside seeds are sorted, and neighbours are compared, so a hot seed
+makes no pairs. Neighbouring occurrences are merged to passages,
 and those of at least `PASSAGE_WORDS` words are removed.
 
 Scale: one Arrow pass makes a row of numbers for each paragraph; counts combine
@@ -50,6 +50,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,7 +71,13 @@ SHINGLE = 5
 
 SEGMENT, LINE, SEED = 0, 1, 2
 OCCURRENCES = "kind int, hash long, doc_id long, digest long, first int, words int, start int, end int, bands array<long>"
-BESIDE = "doc_id long, digest long, first int, side int, kept boolean, hash long, low long, high long, asks boolean, level int, byte int, key long"
+END = "doc_id long, digest long, first int, side int, kept boolean, hash long, low long, high long, asks boolean"
+END_NAMES = [x.split()[0] for x in END.split(", ")]
+BESIDE = END + ", level int, byte int, key long"
+CONTEXT = END + ", words binary, bytes binary"
+MATCH = END + ", level int, byte int, key long"
+PLACE = END_NAMES[:6]
+CHUNK_ROWS = 16_384
 SETS = "hash long, n long, shingles array<long>, text string"
 
 
@@ -202,43 +209,150 @@ def _paragraphs(bands: int, rows: int):
     return run
 
 
-def _beside(all_levels: bool):
-    """For each side of a seed, the hash of the seed and the words beside it: of each number of words, or of the most."""
-    columns = [x.split()[0] for x in BESIDE.split(", ")]
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ends of seeds in some texts: their columns as in END, hashes of seed and side, how many words are beside, and the hashes and outer bytes of these."""
+    hasher = WordHasher(lower=True)
+    for batch in batches:
+        for at, texts in text_groups(batch.column("text"), 1 << 19):
+            words, rows = hasher.words(texts), batch.slice(at, len(texts))
+            text = np.repeat(np.arange(len(texts)), pc.list_value_length(rows.column("first")).to_numpy(zero_copy_only=False))
+            flat = {c: rows.column(c).flatten() for c in END_NAMES[2:]}
+            columns = [rows.column(c).take(pa.array(text)) for c in END_NAMES[:2]] + list(flat.values())
+            begin, after = (np.searchsorted(words.text, text, way) for way in ("left", "right"))
+            side, value = flat["side"].to_numpy(), flat["hash"].to_numpy()
+            place = begin + flat["first"].to_numpy().astype(np.int64)
+            left = side == 0
+            most = np.minimum(np.where(left, place - begin, after - place - SEED_WORDS), SEED_WORDS - 1)
+            step = np.arange(1, SEED_WORDS)
+            word = np.where(left[:, None], place[:, None] - step, place[:, None] + SEED_WORDS - 1 + step)
+            word = np.clip(word, 0, max(len(words.hash) - 1, 0))
+            byte = np.where(left[:, None], words.start[word], words.end[word]).astype(np.int32)
+            yield columns, _seed_key(value, side), most, words.hash[word], byte
+    give_back()
+
+
+def _seed_key(value: np.ndarray, side: np.ndarray) -> np.ndarray:
+    return mix(value.view(np.uint64) + side.astype(np.uint64))
+
+
+def _whole_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each side of a seed, the hash of the seed and of all words beside it, up to SEED_WORDS - 1."""
+    for columns, key, most, words, byte in _ends(batches):
+        for level in range(1, SEED_WORDS):
+            key = np.where(most >= level, mix(key + words[:, level - 1]), key)
+        has = np.flatnonzero(most >= 1)
+        last = [pa.array(most[has].astype(np.int32)), pa.array(byte[has, most[has] - 1]), pa.array(key[has].view(np.int64))]
+        yield pa.RecordBatch.from_arrays([x.take(pa.array(has)) for x in columns] + last, [x.split()[0] for x in BESIDE.split(", ")])
+
+
+def _each_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each side of a seed, the words beside it: 8 bytes of hash and 4 bytes of place each, the nearest one first."""
+    for columns, _, most, words, byte in _ends(batches):
+        inside = np.arange(1, SEED_WORDS) <= most[:, None]
+        cuts = np.concatenate(([0], np.cumsum(most)))
+        packed = lambda x, size: pa.Array.from_buffers(pa.binary(), len(most), [None, pa.py_buffer((cuts * size).astype(np.int32)), pa.py_buffer(x[inside].tobytes())])  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([*columns, packed(words, 8), packed(byte, 4)], [x.split()[0] for x in CONTEXT.split(", ")])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of SEED_WORDS - 1 values for each, zeros at its end; how many are its own)."""
+    raw = column.to_pylist()
+    most = np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
+    out = np.zeros((len(raw), SEED_WORDS - 1), kind)
+    out[np.arange(SEED_WORDS - 1) < most[:, None]] = np.frombuffer(b"".join(raw), kind)
+    return out, most
+
+
+def _longest(chunk_rows: int):
+    """MATCH of ends (CONTEXT) sorted by seed, side and words, a chunk of rows at a time.
+
+    Ends with the same first words lie side by side, so a chunk knows all partners
+    but those that share the words of its own first or last row. For these it
+    asks (asking rows with a key), and tells of its own part (rows with a key
+    that don't ask).
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher(lower=True)
+    def matches(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, most = _unpacked(rows.column("words"), np.uint64)
+        value, side, doc, low, high = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "side", "doc_id", "low", "high"))
+        kept, asks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("kept", "asks"))
+        step = np.arange(1, SEED_WORDS)
+        equal = (words[1:] == words[:-1]) & (step <= np.minimum(most[1:], most[:-1])[:, None])
+        common = np.where((value[1:] == value[:-1]) & (side[1:] == side[:-1]), np.cumprod(equal, axis=1).sum(axis=1), 0)
+        best = np.zeros(len(most), np.int64)
+        for level in step:
+            begins = np.concatenate(([True], common < level))
+            heads, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+            partner = np.where(kept, np.maximum.reduceat(high, heads)[group] > doc, np.minimum.reduceat(low, heads)[group] < doc)
+            best[partner & (most >= level)] = level
+        ahead = np.minimum.accumulate(np.concatenate((most[:1], common)))
+        behind = np.minimum.accumulate(np.concatenate((most[-1:], common[::-1])))[::-1]
+        outer = np.maximum(ahead, behind)
+
+        def key_of(at: np.ndarray, level: np.ndarray) -> np.ndarray:
+            key = _seed_key(value[at], side[at])
+            for k in range(1, SEED_WORDS):
+                key = np.where(level >= k, mix(key + words[at, k - 1]), key)
+            return mix(key + level.astype(np.uint64)).view(np.int64)
+
+        byte, _ = _unpacked(rows.column("bytes"), np.int32)
+        sure = np.flatnonzero(asks & (best > 0))
+        unsure = np.flatnonzero(asks & (outer > best))
+        more = (outer - best)[unsure]
+        at = np.repeat(unsure, more)
+        level = best[at] + 1 + np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more)
+        # What the chunk holds of the first words of its first and last row.
+        edge, edge_level, edge_low, edge_high = [], [], [], []
+        for row, shared in ((0, ahead), (len(most) - 1, behind)):
+            for k in range(1, int(most[row]) + 1):
+                part = shared >= k
+                edge.append(row), edge_level.append(k), edge_low.append(low[part].min()), edge_high.append(high[part].max())
+        edge, edge_level = np.array(edge, np.int64), np.array(edge_level, np.int64)
+        take = np.concatenate((sure, at, edge))
+        levels = np.concatenate((best[sure], level, edge_level))
+        key = pa.array(np.concatenate((np.zeros(len(sure), np.int64), key_of(at, level), key_of(edge, edge_level))), mask=np.arange(len(take)) < len(sure))
+        tells = np.arange(len(take)) >= len(sure) + len(at)
+        place = [rows.column(c).take(pa.array(take)) for c in PLACE]
+        own = [pa.array(np.concatenate((x[sure], x[at], np.array(y, np.int64)))) for x, y in ((low, edge_low), (high, edge_high))]
+        yield pa.RecordBatch.from_arrays([*place, *own, pa.array(~tells), pa.array(levels.astype(np.int32)), pa.array(byte[take, levels - 1]), key], [x.split()[0] for x in MATCH.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for at, texts in byte_batches(list(batch["text"]), 1 << 20):
-                words, rows = hasher.words(texts), batch.iloc[at : at + len(texts)]
-                text = np.repeat(np.arange(len(texts)), rows["first"].map(len).to_numpy())
-                ends = pd.DataFrame({c: np.concatenate(rows[c].to_list()) for c in columns[2:9]})
-                ends.insert(0, "digest", rows["digest"].to_numpy(np.int64)[text])
-                ends.insert(0, "doc_id", rows["doc_id"].to_numpy(np.int64)[text])
-                begin, after = (np.searchsorted(words.text, text, way) for way in ("left", "right"))
-                place = begin + ends["first"].to_numpy(np.int64)
-                left = ends["side"].to_numpy() == 0
-                most = np.minimum(np.where(left, place - begin, after - place - SEED_WORDS), SEED_WORDS - 1)
-                key = mix(ends["hash"].to_numpy(np.int64).view(np.uint64) + ends["side"].to_numpy().astype(np.uint64))
-                for level in range(1, SEED_WORDS):
-                    ends, place, left, most, key = (x[most >= level] for x in (ends, place, left, most, key))
-                    if not len(ends):
-                        break
-                    word = np.where(left, place - level, place + SEED_WORDS - 1 + level)
-                    key = mix(key + words.hash[word])
-                    byte = np.where(left, words.start[word], words.end[word])
-                    out = ends.assign(level=np.int32(level), byte=byte.astype(np.int32), key=key.view(np.int64))
-                    yield out if all_levels else out[most == level]
+            held, size = [*held, batch], size + len(batch)
+            if size >= chunk_rows:
+                yield from matches(pa.concat_batches(held))
+                held, size = [], 0
+        if size:
+            yield from matches(pa.concat_batches(held))
+        give_back()
 
     return run
 
 
-def _read_beside(source: DataFrame, ends: DataFrame, scratch: Scratch, all_levels: bool) -> tuple[DataFrame, str]:
-    names = [x.split()[0] for x in BESIDE.split(", ")][2:9]
+def _read_beside(source: DataFrame, ends: DataFrame, scratch: Scratch, reader, schema: str) -> tuple[DataFrame, str]:
+    names = END_NAMES[2:]
     some = perhaps_in(source, "doc_id", ends.select("doc_id"))
     grouped = ends.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*names)).alias("end")).select("doc_id", "digest", *[F.col(f"end.{c}").alias(c) for c in names])
     # Rows with equal id and text have equal surroundings.
-    return scratch.table(some.join(grouped.hint("merge"), ["doc_id", "digest"]).mapInPandas(_beside(all_levels), BESIDE))
+    return scratch.table(some.join(grouped.hint("merge"), ["doc_id", "digest"]).mapInArrow(reader, schema))
+
+
+def longest_matches(deputies: DataFrame, scratch: Scratch, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(PLACE, level, byte): for each asking end (CONTEXT), the most words that it shares with one on the right side of its verdict.
+
+    Ends are sorted over all partitions, so that a hot seed spreads over many; each
+    chunk of rows compares neighbours, and chunks tell each other of words that
+    go on beyond them.
+    """
+    order = ["hash", "side", "words", "doc_id", "first"]
+    ranked, path = scratch.table(deputies.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_longest(chunk_rows), MATCH))
+    beyond = ranked.where("key is not null and not asks").groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    answered = ranked.where("key is not null and asks").join(beyond, "key").where("if(kept, most > doc_id, least < doc_id)")
+    found = ranked.where("key is null").select(*PLACE, "level", "byte").unionByName(answered.select(*PLACE, "level", "byte"))
+    out = scratch.keep(found.groupBy(*PLACE).agg(F.max(F.struct("level", "byte")).alias("at")).select(*PLACE, "at.level", "at.byte"))
+    scratch.drop(path)
+    return out
 
 
 def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
@@ -257,7 +371,7 @@ def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     ends = marked.join(wanted, "hash").withColumn("asks", F.array_contains("asked", F.col("side"))).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
     ends, ends_path = scratch.table(ends.drop("asked"))
     scratch.drop(marked_path)
-    whole, whole_path = _read_beside(source, ends, scratch, False)
+    whole, whole_path = _read_beside(source, ends, scratch, _whole_beside, BESIDE)
     scratch.drop(ends_path)
     # Written, so that the join reads it from its own exchange and AQE can split a key of many copies.
     equals, equals_path = scratch.table(whole.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
@@ -266,12 +380,9 @@ def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     alone = F.col("asks") & F.when(F.col("kept"), F.col("doc_id") == F.col("high")).otherwise(F.col("doc_id") == F.col("low"))
     asked = told.where(alone).select("hash", "side").distinct()
     deputies = told.withColumn("asks", alone).where("asks or doc_id = low").join(asked, ["hash", "side"], "left_semi")
-    beside, beside_path = _read_beside(source, deputies, scratch, True)
-    shared = beside.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
-    held = beside.where("asks").drop("low", "high").join(shared, "key").where("if(kept, most > doc_id, least < doc_id)")
-    place = ["doc_id", "digest", "first", "side", "kept", "hash"]
-    found = held.groupBy(*place).agg(F.max(F.struct("level", "byte")).alias("at")).select(*place, "at.level", "at.byte")
-    found = found.unionByName(told.where(F.col("asks") & ~alone).select(*place, "level", "byte"))
+    beside, beside_path = _read_beside(source, deputies.select(*END_NAMES), scratch, _each_beside, CONTEXT)
+    found = longest_matches(beside, scratch)
+    found = found.unionByName(told.where(F.col("asks") & ~alone).select(*PLACE, "level", "byte"))
     first = F.when(F.col("side") == 0, F.col("first") - F.col("level")).otherwise(F.col("first") + SEED_WORDS)
     out = scratch.keep(found.select("doc_id", "digest", first.alias("first"), F.col("level").alias("words"), F.col("byte").alias("start"), F.col("byte").alias("end"), F.col("hash").alias("component"), "kept"))
     scratch.drop(told_path, beside_path)

@@ -584,6 +584,26 @@ def test_substring_whole_passages(spark, scratch, vocabulary):
     assert exact >= 50
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 3, 16_384])
+def test_longest_matches_brute_force(spark, scratch, chunk_rows):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        words = rng.integers(0, 2, int(rng.integers(0, 8))).astype(np.uint64)
+        kept = bool(k % 7 == 0)
+        doc = 0 if kept else int(rng.integers(0, 90))  # kept rows are in the first document
+        rows.append((doc, k, 0, int(k % 2), kept, int(rng.integers(0, 3)), doc, doc, bool(k % 3), words.tobytes(), np.arange(len(words), dtype=np.int32).tobytes()))
+    ends = spark.createDataFrame(rows, substring_dedup.CONTEXT).repartition(4)
+    found = {r.digest: (r.level, r.byte) for r in substring_dedup.longest_matches(ends, scratch, chunk_rows).collect()}
+    expected = {}
+    for doc, k, _, side, kept, value, _, _, asks, words, _ in rows:
+        partners = [r[9] for r in rows if (r[3], r[5]) == (side, value) and (r[0] > doc if kept else r[0] < doc)]
+        level = max((sum(words[: 8 * n] == other[: 8 * n] for n in range(1, min(len(words), len(other)) // 8 + 1)) for other in partners), default=0)
+        if asks and level:
+            expected[k] = (level, level - 1)
+    assert found == expected
+
+
 def test_near_lines_meet(spark, scratch):
     line = prose(60).split()
     other = [*line[:30], "changed", *line[31:]]
