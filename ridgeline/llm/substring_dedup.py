@@ -48,7 +48,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -389,26 +388,22 @@ def extensions(source: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     return out
 
 
-def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SETS of some spans (hashes, starts, ends: bytes) of each text."""
     hasher = WordHasher(lower=True)
     for batch in batches:
-        for r in batch.itertuples():
-            raw = r.text.encode("utf-8", "surrogatepass")
-            spans = [raw[a:b] for a, b in zip(r.starts, r.ends, strict=True)]
-            names = np.asarray(r.hashes, np.int64)
+        for first, texts in text_groups(batch.column("text"), 1 << 19):
+            rows = batch.slice(first, len(texts))
+            text = np.repeat(np.arange(len(texts)), pc.list_value_length(rows.column("starts")).to_numpy(zero_copy_only=False))
+            names, starts, ends = (rows.column(c).flatten() for c in ("hashes", "starts", "ends"))
+            spans = [texts[k][a:b] for k, a, b in zip(text.tolist(), starts.to_pylist(), ends.to_pylist(), strict=True)]
             for at, own in byte_batches(spans, 1 << 20):
                 of, token = shingles(hasher.words(own), len(own), SHINGLE)
                 cuts = np.searchsorted(of, np.arange(len(own) + 1))
-                signed = token.view(np.int64)
-                yield pd.DataFrame(
-                    {
-                        "hash": names[at : at + len(own)],
-                        "n": np.diff(cuts),
-                        "shingles": [signed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                        "text": [x.decode("utf-8", "replace") for x in own],
-                    }
-                )
+                sets = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(token.view(np.int64)))
+                columns = [names.slice(at, len(own)), pa.array(np.diff(cuts)), sets, pa.array([x.decode("utf-8", "replace") for x in own])]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SETS.split(", ")])
+    give_back()
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -432,7 +427,7 @@ def near_paragraphs(source: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     places = places.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("hash", "start", "end")).alias("p"))
     places, places_path = scratch.table(places.select("doc_id", "digest", F.col("p.hash").alias("hashes"), F.col("p.start").alias("starts"), F.col("p.end").alias("ends")))
     texts = perhaps_in(source, "doc_id", places.select("doc_id")).join(places.hint("merge"), ["doc_id", "digest"])
-    sets, sets_path = scratch.table(texts.mapInPandas(_shingle_sets, SETS).dropDuplicates(["hash"]))
+    sets, sets_path = scratch.table(texts.mapInArrow(_shingle_sets, SETS).dropDuplicates(["hash"]))
     scratch.drop(collides_path, places_path)
 
     heads, heads_path = scratch.table(members.groupBy("band").agg(F.max_by("hash", F.struct("copies", "hash")).alias("head")))
