@@ -462,10 +462,12 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", te
     equal = perhaps_in(found, "hash", repeats.select("hash")).join(repeats, "hash").withColumn("component", F.col("hash"))
     alike, alike_path = scratch.table(perhaps_in(found.where(F.col("kind") != SEED), "hash", near.select("node")).join(near, F.col("hash") == F.col("node")).drop("node"))
     origins = alike.groupBy("component").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
+    # Written, so that the join reads it from its own exchange and AQE can split a component of many copies.
+    origins, origins_path = scratch.table(origins)
     hits = equal.unionByName(alike.join(origins, "component"))
     hits = hits.select(*place, "component", (F.col("doc_id") == F.col("origin")).alias("kept"), (F.col("kind") == SEED).alias("seed"))
     hits, hits_path = scratch.table(hits.distinct())
-    scratch.drop(found_path, repeats_path, alike_path)
+    scratch.drop(found_path, repeats_path, alike_path, origins_path)
     seeds = hits.where("seed").select("doc_id", "digest", "first", F.col("component").alias("hash"), "kept")
     hits = hits.drop("seed").unionByName(extensions(source, seeds, scratch))
     # Neighbouring occurrences of the same verdict make a passage: gaps and islands in each document.
