@@ -91,8 +91,8 @@ def top_by_objective(candidates: DataFrame, n: int, group: str | None = None) ->
 
 
 def worst_held(held: DataFrame) -> DataFrame:
-    """The member that a better one replaces: least objective, then the largest segments."""
-    return held.groupBy().agg(F.max_by("id", F.struct(-F.col("objective"), F.array_sort("segments"))).alias("id"))
+    """The member that a better one replaces: least objective, then the largest segments, then the least id; no row if none is held."""
+    return held.orderBy(F.asc_nulls_last("objective"), F.desc_nulls_last(F.array_sort("segments")), "id").select("id").limit(1)
 
 
 def with_base_edges(routes: DataFrame, base: DataFrame) -> DataFrame:

@@ -360,3 +360,12 @@ def test_routes_and_geometries_of_all_edges(spark, few_lines):
     used = {(r.node_u, r.node_v, r.key) for r in queries["grasp_routes"](spark, folder).collect()}
     by_place = {(r.node_u, r.node_v, r.key): r for r in rows}
     assert used <= set(by_place) and any(by_place[e].length_m <= 400 or by_place[e].key for e in used)
+
+
+def test_worst_held_of_ties_is_the_least_id(spark):
+    rows = [(5, 1.0, ["b", "a"]), (7, 1.0, ["a", "b"]), (3, 1.0, ["b", "a"]), (1, 1.0, ["a"]), (0, 2.0, ["c"]), (2, float("nan"), ["d"]), (4, None, ["e"])]
+    held = spark.createDataFrame(rows, "id long, objective double, segments array<string>")
+    for order in (F.asc("id"), F.desc("id")):
+        for n in (1, 3, 7):
+            assert routes.worst_held(held.orderBy(order).repartition(n)).collect() == [(3,)]
+    assert routes.worst_held(held.limit(0)).collect() == []
