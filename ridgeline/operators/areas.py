@@ -14,6 +14,8 @@ from ridgeline.session import ensure_checkpoint_dir
 
 EDGE_TOLERANCE = 1e-9
 TILE = 2048
+SHAPE = ("lat", "lon", "half_width_km", "half_height_km", "angle_deg")
+SIGNS = ((-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0))
 
 
 def resolve_area(lat: float, lon: float, radius_km: float | None = None, width_km: float | None = None, height_km: float | None = None, angle_deg: float = 0.0) -> dict:
@@ -38,19 +40,19 @@ def area_km2(half_width: Column, half_height: Column) -> Column:
     return 4 * half_width * half_height
 
 
-def corners(areas: DataFrame) -> DataFrame:
-    """One row for each corner (corner 0 to 3, counterclockwise from the lower left): lon, lat."""
-    signs = F.array(*[F.struct(F.lit(k).alias("corner"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for k, (x, y) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))])
-    rows = areas.withColumn("_c", F.explode(signs))
-    x, y = F.col("_c.x") * F.col("half_width_km"), F.col("_c.y") * F.col("half_height_km")
+def _corner(sign_x: Column, sign_y: Column) -> tuple[Column, Column]:
+    """lon and lat of the corner on these sides of an area."""
+    x, y = sign_x * F.col("half_width_km"), sign_y * F.col("half_height_km")
     a = F.radians("angle_deg")
     east, north = x * F.cos(a) + y * F.sin(a), y * F.cos(a) - x * F.sin(a)
-    return rows.select(
-        "area_id",
-        F.col("_c.corner").alias("corner"),
-        (F.col("lon") + east * degrees_per_km_lon(F.col("lat"))).alias("lon"),
-        (F.col("lat") + north / KM_PER_DEGREE).alias("lat"),
-    )
+    return F.col("lon") + east * degrees_per_km_lon(F.col("lat")), F.col("lat") + north / KM_PER_DEGREE
+
+
+def corners(areas: DataFrame) -> DataFrame:
+    """One row for each corner (corner 0 to 3, counterclockwise from the lower left): lon, lat."""
+    signs = F.array(*[F.struct(F.lit(k).alias("corner"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(SIGNS)])
+    lon, lat = _corner(F.col("_c.x"), F.col("_c.y"))
+    return areas.withColumn("_c", F.explode(signs)).select("area_id", F.col("_c.corner").alias("corner"), lon.alias("lon"), lat.alias("lat"))
 
 
 def bounding_boxes(areas: DataFrame) -> DataFrame:
@@ -66,13 +68,18 @@ def holds(entry: str, lon: Column, lat: Column) -> Column:
     return (F.abs(x) <= c("half_width_km") + EDGE_TOLERANCE) & (F.abs(y) <= c("half_height_km") + EDGE_TOLERANCE)
 
 
+def _with_corners(areas: DataFrame) -> DataFrame:
+    """Areas with their corners as columns lon0, lat0, ..., lon3, lat3."""
+    ring = [(k, *_corner(F.lit(x), F.lit(y))) for k, (x, y) in enumerate(SIGNS)]
+    return areas.withColumns({f"{name}{k}": c for k, lon, lat in ring for name, c in (("lon", lon), ("lat", lat))})
+
+
 def _frame(areas: DataFrame, cell_deg: float) -> DataFrame:
     """Areas with the cells of their boxes, and the numbers that the test of a point needs."""
     cell = lambda x: F.floor(x / cell_deg).cast("int")
-    spread = lambda low, high: F.explode(F.sequence(cell(F.col(low)), cell(F.col(high))))
-    boxes = bounding_boxes(areas).withColumn("cx", spread("left", "right")).withColumn("cy", spread("bottom", "top"))
+    spread = lambda name: F.explode(F.sequence(*[cell(edge(*[F.col(f"{name}{k}") for k in range(4)])) for edge in (F.least, F.greatest)]))
     a = F.radians("angle_deg")
-    return areas.join(boxes, "area_id").select(
+    return _with_corners(areas).withColumn("cx", spread("lon")).withColumn("cy", spread("lat")).select(
         "cx", "cy", F.col("area_id").alias("e_id"), F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat"), F.cos(a).alias("e_cos"), F.sin(a).alias("e_sin"),
         (1 / degrees_per_km_lon(F.col("lat"))).alias("e_scale"), (F.col("half_width_km") + EDGE_TOLERANCE).alias("e_w"), (F.col("half_height_km") + EDGE_TOLERANCE).alias("e_h"),
         area_km2(F.col("half_width_km"), F.col("half_height_km")).alias("e_km2"),
@@ -82,23 +89,23 @@ def _frame(areas: DataFrame, cell_deg: float) -> DataFrame:
 def covering(queries: DataFrame, entries: DataFrame, cell_deg: float = 0.25) -> DataFrame:
     """(query_id, area_id): the smallest entry that holds all four corners of a query, ties by id.
 
-    Entries are listed in the degree cells that their boxes touch and queries
-    look in the cell of their centre, so the range join is an equi-join on cells.
-    Corners are columns, so that the test stays in generated code, and the
-    smallest entry combines on the map side.
+    Entries of one shape and place are folded to their smallest id, and queries
+    of one shape and place are asked once: neither are paired with each other's
+    copies. Entries are listed in the degree cells that their boxes touch and
+    queries look in the cell of their centre, so the range join is an equi-join
+    on cells. Corners are columns, so that the test stays in generated code, and
+    the smallest entry combines on the map side.
     """
     cell = lambda x: F.floor(x / cell_deg).cast("int")
-    wide = queries.select(F.col("area_id").alias("query_id"), cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy"))
-    ring = corners(queries).groupBy(F.col("area_id").alias("query_id"))
-    at = lambda c, k: F.max(F.when(F.col("corner") == k, F.col(c))).alias(f"{c}{k}")
-    points = ring.agg(*[at(c, k) for k in range(4) for c in ("lon", "lat")])
-    met = wide.join(points, "query_id").join(_frame(entries, cell_deg), ["cx", "cy"])
+    folded = entries.groupBy(*SHAPE).agg(F.min("area_id").alias("area_id"))
+    places = _with_corners(queries.select(*SHAPE).distinct()).withColumns({"cx": cell(F.col("lon")), "cy": cell(F.col("lat"))})
+    met = places.join(_frame(folded, cell_deg), ["cx", "cy"])
     inside = F.lit(True)
     for k in range(4):
         east, north = (F.col(f"lon{k}") - F.col("e_lon")) * F.col("e_scale"), (F.col(f"lat{k}") - F.col("e_lat")) * KM_PER_DEGREE
         inside &= (F.abs(east * F.col("e_cos") - north * F.col("e_sin")) <= F.col("e_w")) & (F.abs(east * F.col("e_sin") + north * F.col("e_cos")) <= F.col("e_h"))
-    best = met.where(inside).groupBy("query_id").agg(F.min(F.struct("e_km2", "e_id")).alias("b"))
-    return best.select("query_id", F.col("b.e_id").alias("area_id"))
+    best = met.where(inside).groupBy(*SHAPE).agg(F.min(F.struct("e_km2", "e_id")).alias("b")).select(*SHAPE, "b.e_id")
+    return queries.select(F.col("area_id").alias("query_id"), *SHAPE).join(best, list(SHAPE)).select("query_id", F.col("e_id").alias("area_id")).distinct()
 
 
 def planar_distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -369,3 +369,23 @@ def test_worst_held_of_ties_is_the_least_id(spark):
         for n in (1, 3, 7):
             assert routes.worst_held(held.orderBy(order).repartition(n)).collect() == [(3,)]
     assert routes.worst_held(held.limit(0)).collect() == []
+
+
+def joined_rows(node):
+    """The most rows that a join of an executed plan made."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return joined_rows(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return joined_rows(node.plan())
+    below = [joined_rows(node.children().apply(k)) for k in range(node.children().size())]
+    return max([*below, node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0])
+
+
+def test_covering_does_not_pair_copies(spark):
+    shape = "lat double, lon double, half_width_km double, half_height_km double, angle_deg double, area_id long"
+    entries = [(45.0, 5.0, w, 20.0, a, k) for k, (w, a) in enumerate([(40.0, 0.0), (30.0, 0.0), (30.0, 90.0)] * 60, 7)]
+    queries = [(45.0, lon, 1.0, 1.0, 0.0, k) for k, lon in enumerate([5.0, 5.45, 9.0, None] * 60)]
+    queries.append(queries[0])
+    found = areas.covering(spark.createDataFrame(queries, shape), spark.createDataFrame(entries, shape))
+    assert sorted(found.collect()) == sorted((k, {0: 8, 1: 7}[k % 4]) for k in range(240) if k % 4 < 2)
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) <= len(queries)
