@@ -28,15 +28,16 @@ cl AS (SELECT *, CASE WHEN is_trail THEN 'trail' WHEN pure THEN 'connector' END
 
 
 def edges(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """Ends are columns before keys are numbered, so that a choice of nodes is made before lines are sorted."""
     u, v, c = F.col("l_partkey") % NODES_A_COMPONENT, F.col("l_orderkey") % NODES_A_COMPONENT, F.col("l_suppkey")
-    order = Window.partitionBy(c, u, v).orderBy(*"l_orderkey l_linenumber l_partkey l_shipdate l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split())
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"component": c, "node_u": u, "node_v": v})
+    order = Window.partitionBy("component", "node_u", "node_v").orderBy(*"l_orderkey l_linenumber l_partkey l_shipdate l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split())
     words = lambda *x: F.array(*[F.lit(w) for w in x]) if x else F.array().cast("array<string>")
     flag, status, line, seven = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber"), F.col("l_linenumber") % 7
     return lines.select(
-        c.alias("component"),
-        u.alias("node_u"),
-        v.alias("node_v"),
+        "component",
+        "node_u",
+        "node_v",
         (F.row_number().over(order) - 1).alias("key"),
         (F.col("l_quantity") * 10).alias("length_m"),
         F.floor(F.col("l_extendedprice") / 500).cast("double").alias("d_plus_m"),

@@ -389,3 +389,30 @@ def test_covering_does_not_pair_copies(spark):
     found = areas.covering(spark.createDataFrame(queries, shape), spark.createDataFrame(entries, shape))
     assert sorted(found.collect()) == sorted((k, {0: 8, 1: 7}[k % 4]) for k in range(240) if k % 4 < 2)
     assert joined_rows(found._jdf.queryExecution().executedPlan()) <= len(queries)
+
+
+def test_search_of_a_network_that_is_not_broadcast(spark, few_lines, monkeypatch):
+    """Both ways make the same routes, with any number of walks at a time and with pieces of way that lie under several edges."""
+    rows = few_lines[1]
+    plain_edges = spark.createDataFrame([r.asDict() for r in rows], "node_u long, node_v long, key int, length_m double, d_plus_m double, d_minus_m double").withColumn("reusable", F.col("length_m") < 250)
+    piece = lambda a, b, k: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), k.cast("long").alias("k"))
+    u, v, k = F.col("node_u"), F.col("node_v"), F.col("key")
+    shared = plain_edges.withColumn("base_segment_ids", F.array(piece(F.least(u, v), F.greatest(u, v), k), piece(u % 4, v % 4, F.lit(9))))
+    flags = spark.createDataFrame([(n, n % 2 == 0) for n in range(100, 400)], "node_id long, is_junction boolean")
+    p = search.Params(theta=0.2, n=6, iterations=60, seed=5, most_shared=0.4)
+    cases = [(plain_edges, p, {}), (shared, p._replace(stagnation=9), {}), (shared, p._replace(start_at_junction=True), {"junctions": flags})]
+    run = lambda e, q, more: search.search(spark, e, q, workers=3, interval=30, **more).collect()
+    want = [run(*case) for case in cases]
+    assert all(want) and any(x != want[0] for x in want)
+    monkeypatch.setattr(search, "BROADCAST_EDGES", len(rows) - 1)
+    assert [run(*case) for case in cases] == want
+    monkeypatch.setattr(search, "WALKS_AT_ONCE", 25)
+    monkeypatch.setattr(search, "HOPS", 1)
+    monkeypatch.setattr(search, "FEW_NODES", 3)
+    assert run(*cases[1]) == want[1]
+    with pytest.raises(ValueError, match="stored context"):
+        search.search(spark, plain_edges, p, expected="other")
+    assert search.search(spark, plain_edges, p, workers=3, interval=30, expected=search.edges_key(plain_edges, None, p)).collect() == want[0]
+    assert search.search(spark, plain_edges, p._replace(iterations=10**9, time_budget=0.1), workers=3).count() > 0
+    monkeypatch.setattr(search, "BROADCAST_EDGES", -1)
+    assert search.search(spark, plain_edges.limit(0), p, workers=3).collect() == []
